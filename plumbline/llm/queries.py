@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate
+from . import decontaminate, ngram_join
 from .store import table
 
 
@@ -12,5 +12,9 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op6_benchmark_decontamination": op6_benchmark_decontamination}
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
 SQL: dict[str, str] = {}
