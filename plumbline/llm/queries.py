@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join
+from . import decontaminate, ngram_join, repeats
 from .store import table
 
 
@@ -16,5 +16,9 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
+def op4_suffix_array_dedup(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {"op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
 SQL: dict[str, str] = {}
