@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, repeats
+from . import bpe, decontaminate, media, ngram_join, repeats
 from .store import table
 
 
@@ -20,5 +20,19 @@ def op4_suffix_array_dedup(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {"op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe_encode_decode(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op7_media_tiff(spark, sf_dir):
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
 SQL: dict[str, str] = {}
