@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, ngram_join, repeats
+from . import bpe, decontaminate, licenses, media, ngram_join, quotes, repeats
 from .store import table
 
 
@@ -34,5 +34,14 @@ def op7_media_tiff(spark, sf_dir):
     return media.store_and_read(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
-SQL: dict[str, str] = {}
+def op2_quotation_linking(spark, sf_dir):
+    rows = quotes.reply_order(table(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", "role", "n_passages", "n_linked", "max_level", "reply_to", "thread", "position", F.sha2("body", 256).alias("body_sha256"))
+
+
+def op8_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op8_license_scan": op8_license_scan, "op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
+SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql()}
