@@ -1,10 +1,55 @@
-"""A corpus pipeline of the operators in plumbline.llm: score, join, decontaminate, redact, encode."""
+"""A corpus pipeline of the operators in plumbline.llm: score, join, decontaminate, redact, encode.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
+last return the columns of documents. Rows that share a doc_id are kept or dropped together; rows
+without a doc_id are kept by the filters.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from plumbline.llm import bpe, decontaminate, ngram_join, secrets, toxicity
+from plumbline.llm.queries import vocabulary_path
 from plumbline.llm.store import materialize, table
 
-STAGES: list = []
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the factorization machine scores at its threshold or above go."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score(docs.withColumn("text", F.col("text").cast("string")), machine)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def keep_one_of_each_group(spark, docs, sf_dir):
+    """Of the documents connected by links the one with the least doc_id stays."""
+    links = ngram_join.link_documents(docs)
+    others = links.where("doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(others, "doc_id", "left_anti")
+    return kept.select(docs.columns)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents of which a twentieth of the words stand in benchmark passages go."""
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark, docs, sf_dir):
+    """Secrets become a mark; every document stays."""
+    return secrets.redact(docs, secrets.fit(docs)).select(docs.columns)
+
+
+def encode(spark, docs, sf_dir):
+    """Tokens of each document, and the digest of what they decode to."""
+    path = vocabulary_path()
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", keep_one_of_each_group), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("tokens", encode)]
+#: A trained model decides in two stages, which SQL cannot express.
 ORACLE_SQL = None
 
 

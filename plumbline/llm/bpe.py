@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that a task remembers before it starts afresh.
 MEMORY_WORDS = 400_000
@@ -243,7 +244,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in model.encode(texts)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, len(texts)) for c in own), pa.array(ids, pa.list_(pa.int32()))], names=[*own, "ids"])
 
-    schema = docs.select(*own).schema.add("ids", "array<int>")
+    schema = docs.select(*own).schema.add("ids", T.ArrayType(T.IntegerType()))
     return docs.select(*own).mapInArrow(rows, schema)
 
 

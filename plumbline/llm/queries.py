@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, media, ngram_join, quotes, repeats
+from . import bpe, decontaminate, langid, licenses, media, ngram_join, quotes, repeats, secrets, toxicity
 from .store import table
 
 
@@ -43,5 +43,17 @@ def op8_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_quotation_linking": op2_quotation_linking, "op8_license_scan": op8_license_scan, "op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
+def op1_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark, sf_dir):
+    return langid.judge(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark, sf_dir):
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_language_id": op9_language_id, "op10_secret_scan": op10_secret_scan, "op1_toxicity": op1_toxicity, "op2_quotation_linking": op2_quotation_linking, "op8_license_scan": op8_license_scan, "op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
 SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql()}
