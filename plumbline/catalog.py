@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from .queries.registry import QUERIES, SQL
+
+MODULES = ("provenance", "triage")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"plumbline.queries.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
