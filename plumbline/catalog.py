@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .queries.registry import QUERIES, SQL
 
-MODULES = ("provenance", "triage")
+MODULES = ("provenance", "triage", "texts")
 
 
 def _load() -> None:
