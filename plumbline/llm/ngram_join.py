@@ -4,10 +4,10 @@
    equal sets form a class, so copies never meet again. The same pass reports shingles that are
    frequent within a task's share; the `MAX_FREQUENT` most frequent go last in the global order of
    shingles (any order is valid, so this only saves work).
-2. A second pass emits the first n - ceil(0.8 n) + 1 shingles of each set in that order. Two sets that
-   link share one of them. Pairs within short lists are counted, and dropped where the count plus
+2. A second pass emits the first n - ceil(0.75 n) + 1 shingles of each set in that order. Two sets that
+   link share many of them. Pairs within short lists are counted, and dropped where the count plus
    what can still follow is below the overlap that both sizes demand; long lists only say which
-   classes must stand in the same block.
+   classes must stand in the same block, after filters by size and position.
 3. Classes connected in this way form blocks. A block holds whole rows of the class by shingle
    incidence matrix; large ones are cut into tiles of neighbouring sizes, and only tile pairs whose
    sizes can link are multiplied. The product's overlap counts decide every link; a tile pair returns
@@ -21,7 +21,6 @@ broken by the shingle's hash; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ from .textbytes import LOWER, SPACE, mix, ragged, text_slices, word_hashes, word
 WORDS = 5
 #: Shingles that stand last in the global order; 1.6 MB for every task.
 MAX_FREQUENT = 200_000
+#: Percent of a set behind its prefix. Less than the threshold, so that a few common shingles do not make a pair.
+REST = 75
 #: Lists of up to this many classes give pairs; longer ones give block membership only.
 SHORT_LIST = 24
 #: Classes and shingles of one tile.
@@ -105,7 +106,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     return _texts(docs).mapInArrow(profile, "kind tinyint, doc_id bigint, n bigint, key bigint, key2 bigint")
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: int) -> DataFrame:
     """(shingle, cls, n, pos) of each set's prefix; a class comes once from each slice of texts."""
 
     def prefixes(batches):
@@ -124,7 +125,7 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: in
                     weight = np.where(frequent[k] == x, rank[k], 0)
                 order = np.lexsort((x, weight, row))
                 _, at = ragged(n)
-                take = chosen[row] & (at < (n - (percent * n + 99) // 100 + 1)[row])
+                take = chosen[row] & (at < (n - (REST * n + 99) // 100 + 1)[row])
                 row, at, s = row[take], at[take], x[order][take]
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(cls[row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["s", "cls", "n", "pos"])
 
@@ -132,21 +133,35 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: in
 
 
 def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose components hold every pair of classes that can link."""
+    """Edges (a, b) whose components hold every pair of classes that can link.
+
+    Of two sets the one whose prefix ends first has all common shingles up to there in both prefixes, so
+    their overlap is at most the prefixes' common shingles and what lies behind that prefix. A pair's first
+    common shingle stands within the first n - ceil(percent n) + 1 of both and, in the smaller set, so early
+    that the overlap both sizes demand can still follow."""
     lists = prefixes.repartition("s").groupBy("s", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     every = Window.partitionBy("s")
-    lists = lists.withColumn("size", F.count("*").over(every)).where("size > 1").withColumn("least", F.min("cls").over(every))
-    lists = materialize(lists, "lists")
+    lists = materialize(lists.withColumn("size", F.count("*").over(every)).where("size > 1"), "lists")
+    long = lists.where(F.col("size") > SHORT_LIST)
+    hidden = long.groupBy("cls").agg(F.count("*").alias("hidden"))
     short = lists.where(F.col("size") <= SHORT_LIST).groupBy("s").agg(F.collect_list(F.struct("cls", "n", "pos")).alias("of"))
     pairs = (
         short.select("of", F.explode("of").alias("x"))
         .select("x", F.explode(F.filter("of", lambda y: (y["cls"] > F.col("x.cls")) & (100 * y["n"] >= percent * F.col("x.n")) & (100 * F.col("x.n") >= percent * y["n"]))).alias("y"))
         .groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        .agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
+        .agg(F.count("*").alias("c"))
     )
-    pairs = pairs.where(f"({100 + percent}) * (c + least(na - pa, nb - pb) - 1) >= {percent} * (na + nb)").select("a", "b")
-    long = lists.where(F.col("size") > SHORT_LIST).select(F.col("least").alias("a"), F.col("cls").alias("b"))
-    return pairs.union(long.where("a != b")).distinct()
+    need = f"{percent} * (na + nb)"
+    rest = "greatest(({0} * na + 99) div 100 - 1, ({0} * nb + 99) div 100 - 1)".format(REST)
+    pairs = pairs.join(hidden.select(F.col("cls").alias("a"), F.col("hidden").alias("ha")), "a", "left").join(hidden.select(F.col("cls").alias("b"), F.col("hidden").alias("hb")), "b", "left")
+    pairs = pairs.where(f"{100 + percent} * (c + least(coalesce(ha, 0), coalesce(hb, 0)) + {rest}) >= {need}").select("a", "b")
+    # a pair that meets in long lists only needs this many of them, whatever the other's size
+    long = long.join(hidden, "cls").where(f"pos < n - ({percent} * n + 99) div 100 + 1")
+    enough = f"100 * (hidden + 1) >= ({percent} - {REST}) * n"
+    long = long.where(enough).withColumn("index", F.expr(f"{100 + percent} * (n - pos) >= {2 * percent} * n"))
+    upto = Window.partitionBy("s").orderBy("n", F.expr("not index"), "cls").rowsBetween(Window.unboundedPreceding, -1)
+    long = long.withColumn("y", F.last(F.when(F.col("index"), F.struct("cls", "n")), ignorenulls=True).over(upto)).where(f"100 * y.n >= {percent} * n")
+    return pairs.union(long.select(F.col("y.cls").alias("a"), F.col("cls").alias("b"))).distinct()
 
 
 def _links(cls, n, sets, weight, percent, tile_a, tile_b):
@@ -194,18 +209,26 @@ def _links(cls, n, sets, weight, percent, tile_a, tile_b):
     return partners, label
 
 
-def _multiply(blocks: DataFrame, percent: int) -> DataFrame:
+def _multiply(blocks: DataFrame, words: int, percent: int) -> DataFrame:
     """(cls, other, partners): other is the class's tree neighbour in its tile pair, partners are linked documents."""
 
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        cls, n, weight = pdf["cls"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["weight"].to_numpy(np.int64)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        tile = pdf["tile"].to_numpy()
-        partners, label = _links(cls, n, sets, weight, percent, tile == pdf["ta"].iloc[0], tile == pdf["tb"].iloc[0])
+    def multiply(block: pa.Table) -> pa.Table:
+        cls, n, weight, tile = (block.column(c).to_numpy() for c in ("cls", "n", "weight", "tile"))
+        got, sets = [], []
+        for _, bounds, x in shingle_sets(block.column("text"), words):
+            got.append(_signatures(bounds, x)[0])
+            sets += np.split(x, bounds[1:-1])
+        # another row may carry the doc_id of a class, or the same row come twice
+        _, first = np.unique(cls, return_index=True)
+        if len(first) < len(cls) or (np.concatenate(got) != cls).any():
+            fits = np.flatnonzero(np.concatenate(got) == cls)
+            first = fits[np.unique(cls[fits], return_index=True)[1]]
+        cls, n, weight, tile, sets = cls[first], n[first].astype(np.int64), weight[first], tile[first], [sets[i] for i in first]
+        partners, label = _links(cls, n, sets, weight, percent, tile == block.column("ta")[0].as_py(), tile == block.column("tb")[0].as_py())
         keep = partners > 0
-        return pd.DataFrame({"cls": cls[keep], "other": cls[label[keep]], "partners": partners[keep]})
+        return pa.table({"cls": cls[keep], "other": cls[label[keep]], "partners": partners[keep]})
 
-    return blocks.groupBy("block", "ta", "tb").applyInPandas(multiply, "cls bigint, other bigint, partners bigint")
+    return blocks.groupBy("block", "ta", "tb").applyInArrow(multiply, "cls bigint, other bigint, partners bigint")
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -216,7 +239,7 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Da
     top = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()
     frequent, rank = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(frequent)
-    edges = _candidates(_prefixes(docs, frequent[order], rank[order], words, percent), percent)
+    edges = _candidates(_prefixes(docs, frequent[order], rank[order], words), percent)
     member = connected_components(edges, "blocks")
     sized = classes.join(member.select(F.col("node").alias("cls"), F.col("root").alias("block")), "cls")
     by_size = Window.partitionBy("block").orderBy("n", "cls")
@@ -226,22 +249,11 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Da
     x, y = (span.select("block", F.col("tile").alias(t), F.col("lo").alias(f"lo_{t}"), F.col("hi").alias(f"hi_{t}")) for t in ("ta", "tb"))
     pairs = x.join(y, "block").where(f"ta <= tb and 100 * hi_ta >= {percent} * lo_tb").select("block", "ta", "tb")
     own = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("ta", "tb"))))
-    wanted = sized.select("rep", "cls")
-
-    def rows(batches):
-        for batch in batches:
-            for lo, bounds, h in shingle_sets(batch.column("text"), words):
-                got, _ = _signatures(bounds, h)
-                cls = batch.column("cls").slice(lo, len(got)).to_numpy()
-                keep = np.flatnonzero(got == cls)  # another row may carry the same doc_id
-                yield pa.RecordBatch.from_arrays([pa.array(cls[keep]), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], names=["cls", "shingles"])
-
+    wanted = sized.join(own, ["block", "tile"]).groupBy("rep", "cls", "n", "weight", "block", "tile").agg(F.collect_list(F.struct("ta", "tb")).alias("of"))
     texts = _texts(docs)
-    named = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
-    incidence = named.mapInArrow(rows, "cls bigint, shingles binary")
-    incidence = incidence.dropDuplicates(["cls"])
-    blocks = incidence.join(sized, "cls").join(own, ["block", "tile"])
-    found = materialize(_multiply(blocks, percent), "links")
+    named = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]))
+    blocks = named.select("cls", "n", "weight", "block", "tile", "text", F.expr("inline(of)"))
+    found = materialize(_multiply(blocks, words, percent), "links")
     forest = found.where("cls != other").select(F.col("cls").alias("a"), F.col("other").alias("b"))
     root = connected_components(forest, "forest").select(F.col("node").alias("cls"), "root")
     count = found.groupBy("cls").agg(F.sum("partners").alias("partners"))
