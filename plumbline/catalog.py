@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .queries.registry import QUERIES, SQL
 
-MODULES = ("provenance", "triage", "texts")
+MODULES = ("provenance", "triage", "texts", "metrics")
 
 
 def _load() -> None:
