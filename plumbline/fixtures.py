@@ -99,7 +99,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "labels")
     u = uniform(7, F.col("doc_id").cast("string"))
     third = F.when(u < 0.8, F.floor(u * 5) % 2)
-    rows = own.select("doc_id", F.explode(F.array(F.struct(F.lit("a").alias("coder"), F.col("quality").cast("double").alias("value")), F.struct(F.lit("b"), F.when(u < 0.9, F.col("toxic").cast("double"))), F.struct(F.lit("c"), third.cast("double")))).alias("x"))
+    rows = own.select("doc_id", F.explode(F.array(F.struct(F.lit("a").alias("coder"), F.col("quality").cast("double").alias("value")), F.struct(F.lit("b").alias("coder"), F.when(u < 0.9, F.col("toxic").cast("double")).alias("value")), F.struct(F.lit("c").alias("coder"), third.cast("double").alias("value")))).alias("x"))
     return rows.select(F.col("doc_id").alias("unit_id"), "x.coder", "x.value").where("value is not null")
 
 
