@@ -30,8 +30,10 @@ from .store import materialize
 from .textbytes import mix, prefix_hash, ragged, span_hash, text_slices
 
 LENGTH, CORE = 200, 64
+#: Bytes of text whose anchors are sought at once.
+SLICE = 1 << 19
 #: Different contexts of one anchor string that one call sorts.
-MAX_GROUP = 1024
+MAX_GROUP = 512
 
 
 def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, core: int):
@@ -88,7 +90,7 @@ def find_anchors(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> Dat
     def rows(batches):
         for batch in batches:
             ids = batch.column("row").to_numpy()
-            for lo_row, _, buf, offsets in text_slices(batch.column("text")):
+            for lo_row, _, buf, offsets in text_slices(batch.column("text"), SLICE):
                 owner, begin, last, h, least, running = _anchors(buf, offsets, length, core)
                 if not len(begin):
                     continue
@@ -135,35 +137,51 @@ def _matrix(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width), sizes
 
 
-def maximal_repeats(left: list[bytes], right: list[bytes], length: int) -> list[tuple[int, int, np.ndarray]]:
-    """(bytes before the anchor, bytes from it, members) of every maximal repeat of at least `length` bytes.
+def extensions(left: list[bytes], right: list[bytes], length: int):
+    """Yields, for each common-prefix interval of what follows the anchor that can hold repeats of `length` bytes,
+    (common length, first, last, lcp, members by what stands before the anchor, common lengths of neighbours there, order).
 
     left is reversed: it starts with the byte before the anchor."""
     order = sorted(range(len(right)), key=right.__getitem__)
     ahead, n_ahead = _matrix([right[i] for i in order])
     behind, n_behind = _matrix([left[i] for i in order])
     n = len(order)
-    by_left = np.lexsort(tuple(behind.T[::-1]) if behind.shape[1] else (np.zeros(n),))
     rank = np.empty(n, np.int64)
-    rank[by_left] = np.arange(n)
+    rank[np.lexsort(tuple(behind.T[::-1]))] = np.arange(n)
     lcp = np.zeros(n, np.int64)
     lcp[1:] = _common(ahead, n_ahead, np.arange(n - 1), np.arange(1, n))
-    out = []
+    order = np.array(order)
     for depth, first, last in intervals(lcp):
         member = np.arange(first, last + 1)
         member = member[np.argsort(rank[member])]
-        ext = np.zeros(len(member), np.int64)
-        ext[1:] = _common(behind, n_behind, member[:-1], member[1:])
-        if ext.max() + depth < length:
-            continue
-        for reach, i, j in intervals(ext):
+        ext = np.zeros(len(member) + 1, np.int64)
+        ext[1:-1] = _common(behind, n_behind, member[:-1], member[1:])
+        if ext.max() + depth >= length:
+            yield depth, first, last, lcp, member, ext, order
+
+
+def maximal_repeats(left: list[bytes], right: list[bytes], length: int):
+    """Yields (bytes before the anchor, bytes from it, members) of every maximal repeat of at least `length` bytes."""
+    for depth, first, last, lcp, member, ext, order in extensions(left, right, length):
+        for reach, i, j in intervals(ext[:-1]):
+            group = member[i : j + 1]
             if reach + depth < length:
                 continue
-            group = member[i : j + 1]
             if group.max() - group.min() < last - first and (lcp[group.min() + 1 : group.max() + 1] > depth).all():
                 continue  # all go on alike on the right: a deeper interval reports it
-            out.append((reach, depth, np.array([order[k] for k in group])))
-    return out
+            yield reach, depth, order[group]
+
+
+def _cover(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each member's repeats reach before and after its anchor, or -1."""
+    most_before, most_after = np.full(len(left), -1, np.int64), np.full(len(left), -1, np.int64)
+    for depth, _, _, _, member, ext, order in extensions(left, right, length):
+        reach = np.maximum(ext[:-1], ext[1:])  # the best partner is a neighbour by left text
+        ok = reach + depth >= length
+        at = order[member[ok]]
+        most_before[at] = np.maximum(most_before[at], reach[ok])
+        most_after[at] = np.maximum(most_after[at], depth)
+    return most_before, most_after
 
 
 def _pairs(left: list[bytes], right: list[bytes], length: int):
@@ -221,6 +239,9 @@ def context_repeats(contexts: DataFrame, length: int, cover: bool) -> DataFrame:
                 add(int(key[take[x]]), take[x : x + 2], int(reach), int(depth))
         for k in np.flatnonzero(size > 2):
             lo, hi = cut[k], cut[k + 1]
+            if cover:
+                most_before[lo:hi], most_after[lo:hi] = _cover(before[lo:hi], after[lo:hi], length)
+                continue
             for reach, depth, member in maximal_repeats(before[lo:hi], after[lo:hi], length):
                 add(int(key[lo]), lo + member, reach, depth)
         hit = np.flatnonzero(most_before >= 0)
