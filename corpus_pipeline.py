@@ -37,8 +37,9 @@ def drop_contaminated(spark, docs, sf_dir):
 
 
 def redact_secrets(spark, docs, sf_dir):
-    """Secrets become a mark; every document stays."""
-    return secrets.redact(docs, secrets.fit(docs)).select(docs.columns)
+    """Secrets become a mark and n_chars follows; every document stays."""
+    clean = secrets.redact(docs, secrets.fit(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def encode(spark, docs, sf_dir):
