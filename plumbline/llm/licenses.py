@@ -91,10 +91,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: tupl
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("row", F.xxhash64("doc_id", "text"))
     found = template_matches(own, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("method"), F.max("containment").alias("containment"))
-    w = words(F.col("text"))
     may = F.col("text").rlike(r"(?i)license|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by")
     none = F.array().cast("array<int>")
-    per = own.select("doc_id", "row", F.size(w).cast("bigint").alias("n_words"), F.when(may, F.struct(*(_places(w, p).alias(label) for p, label in PHRASES.items()))).alias("at"))
+    # a lambda variable, so that a text is split once and not for each word looked at
+    at = F.transform(F.array(words(F.col("text"))), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), F.when(may, F.struct(*(_places(w, p).alias(label) for p, label in PHRASES.items()))).alias("at")))
+    per = own.select("doc_id", "row", F.get(at, F.lit(0)).alias("x")).select("doc_id", "row", F.col("x.n").alias("n_words"), F.col("x.at").alias("at"))
     for label in PHRASES.values():
         per = per.withColumn(f"at_{label}", F.coalesce(F.col("at").getField(label), none))
     places = F.concat(*(F.col(f"at_{x}") for x in PHRASES.values()))
