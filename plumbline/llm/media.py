@@ -29,7 +29,7 @@ TAG = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometri
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I"}
 
-PAGES = "page int, width int, height int, channels int, bits int, compression int, samples binary, error string"
+PAGES = "page integer, width integer, height integer, channels integer, bits integer, compression integer, samples binary, error string"
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:

@@ -283,7 +283,8 @@ def _small_groups(contexts: DataFrame, length: int, core: int, max_group: int) -
 def find_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_group: int = MAX_GROUP, cover: bool = False) -> DataFrame:
     """(repeat, row, start, end) in bytes: every maximal group with all its occurrences.
 
-    docs: row (bigint, equal only for rows that are equal), text. Contexts found more than once, and
+    A repeat that is longer than the windows of one anchor comes as one group for each of its anchors; together
+    they cover it. docs: row (bigint, equal only for rows that are equal), text. Contexts found more than once, and
     windows of split groups, are listed by their first anchor; cover leaves out the groups' names."""
     found = find_anchors(docs, length, core).repartition("g")
     by_context, by_anchor = Window.partitionBy("g", "c"), Window.partitionBy("g")
