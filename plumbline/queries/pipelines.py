@@ -33,7 +33,7 @@ def s04(spark, sf):
     body = F.regexp_replace("text", "chest", "XXXX")
     xml = F.concat(F.lit('<eCitation><uId id="'), F.col("report_id").cast("string"), F.lit('"/><MedlineCitation><Article><Abstract><AbstractText Label="FINDINGS">'), body, F.lit("</AbstractText></Abstract></Article></MedlineCitation><MeSH><major>"), F.col("sex"), F.lit("/x</major></MeSH></eCitation>"))
     reports(spark, sf).where("report_id % 3 = 2").select(xml.alias("value")).write.text(path)
-    return S.read_xml_reports(spark, path).select("uid", "findings", F.size("terms").alias("n_terms"))
+    return S.read_xml_reports(spark, path, False).select("uid", "findings", F.size("terms").alias("n_terms"))
 
 
 _MAP = [("effusion", "Pleural Effusion"), ("pneumo", "Pneumothorax"), ("fracture", "Fracture")]
@@ -63,7 +63,7 @@ def s07(spark, sf):
     part = claims(spark, sf).where("report_id % 50 = 0").select("claim", "pathology", F.col("patient_id").cast("string").alias("patient_id"), "label", "score")
     by = part.groupBy("pathology").agg(F.collect_list(F.struct("claim", "pathology", "patient_id", "label", "score")).alias("claims"))
     by.select(F.to_json(F.struct("claims")).alias("value")).repartition("value").write.text(path)
-    return S.read_scored_claims(spark, path).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+    return S.read_scored_claims(spark, path, False).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
 @query("S08_report_formats", "SELECT text FROM reports WHERE report_id % 2 = 0", "reports")

@@ -83,10 +83,10 @@ def term_labels(rows: DataFrame, terms: Column, mapping: list[tuple[str, str]],
     return flat.groupBy(key).agg(*(F.max(F.when(F.col("label") == l, 1).otherwise(0)).alias(l) for l in labels))
 
 
-def read_xml_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(uid, findings, impression, terms) of report files; those without either section go, XXXX becomes redacted, terms are cut at /."""
+def read_xml_reports(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(uid, findings, impression, terms) of report files, one report for each file (or line, if not whole); those without either section go, XXXX becomes redacted, terms are cut at /."""
     schema = T.StructType().add("uId", T.StructType().add("_id", "string")).add("MedlineCitation", T.StructType().add("Article", T.StructType().add("Abstract", T.StructType().add("AbstractText", T.ArrayType(T.StructType().add("_Label", "string").add("_VALUE", "string")))))).add("MeSH", T.StructType().add("major", T.ArrayType(T.StringType())))
-    rows = spark.read.format("xml").option("rowTag", "eCitation").schema(schema).load(path)
+    rows = spark.read.text(path, wholetext=whole).select(F.from_xml("value", schema).alias("x")).select("x.*")
     sections = F.col("MedlineCitation.Article.Abstract.AbstractText")
     of = lambda n: F.regexp_replace(F.get(F.filter(sections, lambda x: x["_Label"] == n), F.lit(0))["_VALUE"], "XXXX", "redacted")
     out = rows.select(F.col("uId._id").alias("uid"), of("FINDINGS").alias("findings"), of("IMPRESSION").alias("impression"), F.transform(F.coalesce("MeSH.major", F.array().cast("array<string>")), lambda t: F.trim(F.split(t, "/")[0])).alias("terms"))
@@ -104,10 +104,10 @@ def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return entities.drop("relations"), relations
 
 
-def read_scored_claims(spark: SparkSession, path: str) -> DataFrame:
-    """Claims of a JSON list, or of one under `claims`; a missing required field is an error."""
+def read_scored_claims(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Claims of a JSON list, or of one under `claims`, in each file (or line, if not whole); a missing required field is an error."""
     one = "struct<claim:string,pathology:string,patient_id:string,label:int,score:double>"
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=whole)
     rows = text.select(F.explode(F.coalesce(F.from_json("value", f"struct<claims:array<{one}>>")["claims"], F.from_json("value", f"array<{one}>"))).alias("c")).select("c.*")
     missing = F.lit(False)
     for c in rows.columns:
