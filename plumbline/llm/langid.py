@@ -49,32 +49,53 @@ class Model:
     grams: dict[str, np.ndarray]
     memory: dict[str, int] = field(default_factory=dict)
     rows: list[np.ndarray] = field(default_factory=list)
-
-    def unseen(self, word: str) -> np.ndarray:
-        padded = f" {word} "
-        total, n = np.zeros(len(self.langs)), 0
-        for i in range(len(padded)):
-            for k in range(LONGEST, 0, -1):
-                v = self.grams.get(padded[i : i + k]) if i + k <= len(padded) else None
-                if v is not None:
-                    total += v
-                    n += 1
-                    break
-        return total / max(1, n)
+    flat_rows: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.place = {g: i for i, g in enumerate(self.grams)}
+        self.table = np.array([*self.grams.values()]) if self.grams else np.zeros((0, len(self.langs)))
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words by the longest known n-gram at each place, all words at once."""
+        get, flat, counts = self.place.get, [], []
+        for word in words:
+            padded, before = f" {word} ", len(flat)
+            n = len(padded)
+            for i in range(n):
+                for k in range(min(LONGEST, n - i), 0, -1):
+                    j = get(padded[i : i + k])
+                    if j is not None:
+                        flat.append(j)
+                        break
+            counts.append(len(flat) - before)
+        size = np.array(counts)
+        running = np.zeros((len(flat) + 1, len(self.langs)))
+        np.cumsum(self.table[np.array(flat, np.int64)], axis=0, out=running[1:])
+        end = np.cumsum(size)
+        return (running[end] - running[end - size]) / np.maximum(1, size)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not self.langs:
+            return ["und"] * len(texts), [0.0] * len(texts)
         found = [_WORD.findall((t or "").lower()) for t in texts]
         if len(self.memory) > MEMORY_WORDS:
-            self.memory, self.rows = {}, []
-        for w in {w for ws in found for w in ws}:
-            if w not in self.memory:
-                self.memory[w] = len(self.rows)
-                v = self.words.get(w)
-                self.rows.append(self.unseen(w) if v is None else v)
-        table = np.array(self.rows) if self.rows else np.zeros((0, len(self.langs)))
+            self.memory, self.rows, self.flat_rows = {}, [], None
+        new = [w for w in set().union(*found) if w not in self.memory]
+        known = [w for w in new if w in self.words]
+        other = [w for w in new if w not in self.words]
+        for w in known:
+            self.memory[w] = len(self.rows)
+            self.rows.append(self.words[w])
+        for w, v in zip(other, self.unseen(other) if other else (), strict=True):
+            self.memory[w] = len(self.rows)
+            self.rows.append(v)
+        if self.flat_rows is None or len(self.flat_rows) < len(self.rows):
+            fresh = np.array(self.rows[0 if self.flat_rows is None else len(self.flat_rows) :]).reshape(-1, len(self.langs))
+            self.flat_rows = fresh if self.flat_rows is None else np.concatenate([self.flat_rows, fresh])
+        table = self.flat_rows
         langs, scores = [], []
         for ws in found:
-            if not ws or not self.langs:
+            if not ws:
                 langs.append("und")
                 scores.append(0.0)
                 continue
