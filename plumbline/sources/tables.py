@@ -42,7 +42,7 @@ def standard_columns(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def read_metadata(spark: SparkSession, root: str, schema: T.StructType, names: tuple[str, ...] = ("metadata.csv", "df_chexpert.csv", "train.csv", "reports.csv")) -> DataFrame:
+def read_metadata(spark: SparkSession, root: str, schema: T.StructType, names: tuple[str, ...] = ("metadata.csv", "reports.csv", "train.csv", "data.csv")) -> DataFrame:
     """The first of the named files that exists, with standard column names."""
     for n in names:
         if exists(spark, f"{root}/{n}"):

@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB over the smallest tables."""
+"""Every registered query with SQL against DuckDB over small tables."""
 
 import math
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from plumbline import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"  # claim ids are not unique in the smallest tables
 SQL = catalog.oracle_sql()
 
 
