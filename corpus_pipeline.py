@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, ngram_join, secrets, toxicity
 from plumbline.llm.queries import vocabulary_path
-from plumbline.llm.store import materialize, table
+from plumbline.llm.store import bound_batches, materialize, table
 
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the factorization machine scores at its threshold or above go."""
+    bound_batches(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
     scored = toxicity.score(docs.withColumn("text", F.col("text").cast("string")), machine)
@@ -24,6 +25,7 @@ def drop_toxic(spark, docs, sf_dir):
 
 def keep_one_of_each_group(spark, docs, sf_dir):
     """Of the documents connected by links the one with the least doc_id stays."""
+    bound_batches(spark)
     links = ngram_join.link_documents(docs)
     others = links.where("doc_id != component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti")
@@ -32,18 +34,21 @@ def keep_one_of_each_group(spark, docs, sf_dir):
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents of which a twentieth of the words stand in benchmark passages go."""
+    bound_batches(spark)
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark, docs, sf_dir):
     """Secrets become a mark and n_chars follows; every document stays."""
+    bound_batches(spark)
     clean = secrets.redact(docs, secrets.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def encode(spark, docs, sf_dir):
     """Tokens of each document, and the digest of what they decode to."""
+    bound_batches(spark)
     path = vocabulary_path()
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

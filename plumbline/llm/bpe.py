@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that a task remembers before it starts afresh.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 100_000
 #: Characters of text whose words are encoded together.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
 
 # The Unicode property White_Space, which the file's `\s` stands for.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -239,6 +239,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         model = tokenizer(path)
+        model.memory.clear()
         for batch in batches:
             for lo, texts in _slices(batch.column("text")):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in model.encode(texts)]
@@ -266,6 +267,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         model = tokenizer(path)
+        model.memory.clear()
         for batch in batches:
             for lo, texts in _slices(batch.column("text")):
                 ids = model.encode(texts)

@@ -97,7 +97,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id").slice(lo, n), pa.array(np.diff(bounds)), pa.array(a), pa.array(b)], names=names)
                 seen.append(x)
                 held += len(x)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     yield frequent()
                     seen, held = [], 0
         if held:
