@@ -60,8 +60,8 @@ def s06(spark, sf):
 @query("S07_scored_claims", "SELECT count(*) AS n, round(sum(score), 6) AS total FROM claims WHERE report_id % 50 = 0", "claims")
 def s07(spark, sf):
     path = S.scratch(spark)
-    part = claims(spark, sf).where("report_id % 50 = 0").select("claim", "pathology", F.col("patient_id").cast("string").alias("patient_id"), "label", "score")
-    by = part.groupBy("pathology").agg(F.collect_list(F.struct("claim", "pathology", "patient_id", "label", "score")).alias("claims"))
+    part = claims(spark, sf).where("report_id % 50 = 0").select("report_id", "claim", "pathology", F.col("patient_id").cast("string").alias("patient_id"), "label", "score")
+    by = part.groupBy("report_id").agg(F.collect_list(F.struct("claim", "pathology", "patient_id", "label", "score")).alias("claims"))
     by.select(F.to_json(F.struct("claims")).alias("value")).repartition("value").write.text(path)
     return S.read_scored_claims(spark, path, False).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
@@ -121,7 +121,7 @@ def a35(spark, sf):
 def u02(spark, sf):
     hooks = {"claims": T.claims_of}
     rows = reports(spark, sf)
-    return rows.select(F.lit("claims").alias("extractor"), hooks["claims"](F.col("text")).alias("c")).groupBy("extractor").agg(F.count("*").alias("n"))
+    return rows.select(F.lit("claims").alias("extractor"), hooks["claims"](F.col("text")).alias("c")).groupBy("extractor").agg(F.count("c").alias("n"))
 
 
 @query("A17_by_group", None)

@@ -111,3 +111,22 @@ def test_partitioning_does_not_matter(spark):
         seen.append(sorted(map(tuple, q(spark, "/root/testdata/sf0.001").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert seen[0] == seen[1]
+
+
+def test_scored_claims_are_stored_by_report(spark, tmp_path, monkeypatch):
+    from plumbline.queries import pipelines as Q
+
+    monkeypatch.setattr(Q.S, "scratch", lambda _: f"file://{tmp_path}/claims")
+    n = Q.s07(spark, "/root/testdata/sf0.001").first().n
+    stored = spark.read.text(f"{tmp_path}/claims").select(F.size(F.from_json("value", "struct<claims:array<struct<claim:string>>>")["claims"]).alias("k"))
+    reports = Q.claims(spark, "/root/testdata/sf0.001").where("report_id % 50 = 0").groupBy("report_id").count()
+    assert sorted(r.k for r in stored.collect()) == sorted(r[1] for r in reports.collect())
+    assert stored.agg(F.sum("k")).first()[0] == n
+
+
+def test_extractor_query_extracts(spark, monkeypatch):
+    from plumbline.queries import pipelines as Q
+
+    monkeypatch.setattr(Q.T, "claims_of", lambda c: F.when(c.startswith("FINDINGS"), F.array(c)))
+    rows = Q.reports(spark, "/root/testdata/sf0.001")
+    assert Q.u02(spark, "/root/testdata/sf0.001").first().n == rows.where("text like 'FINDINGS%'").count() < rows.count()
