@@ -209,14 +209,23 @@ def _labelled(line: str):
     return features, labels
 
 
+def _least(lines: DataFrame, cond, most: int) -> DataFrame:
+    """The distinct lines under cond of least hash h, `most` of them or all. Only hashes below a bound are made
+    distinct; a bound below which too few lie is raised, so what is shuffled is small and the result exact."""
+    for bits in (10, 5, 0):
+        part = lines.where(F.col("h") < F.lit(2 ** (64 - bits) - 2**63)) if bits else lines
+        found = materialize(part.where(cond).distinct().orderBy("h", "line").limit(most), "least")
+        if bits == 0 or found.count() == most:
+            return found
+
+
 def fit(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Field | None:
-    """Learns from a bounded sample of lines, half of them with a base match; None if there is no match."""
+    """Learns from a bounded sample of distinct lines, half of them with a base match; None if there is no match."""
     own = docs.select(F.col("text").cast("string").alias("text"))
-    lines = own.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 1 and 4000")
+    lines = own.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 1 and 4000").withColumn("h", F.xxhash64("line"))
     hint = F.col("line").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]") | F.col("line").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    sample = lines.withColumn("hint", hint).withColumn("h", F.xxhash64("line"))
-    halves = [sample.where(c).orderBy("h", "line").limit(sample_lines // 2).select("line") for c in (F.col("hint"), ~F.col("hint"))]
-    sample = materialize(halves[0].unionByName(halves[1]), "lines")
+    halves = [_least(lines, c, sample_lines // 2) for c in (hint, ~hint)]
+    sample = materialize(halves[0].unionByName(halves[1]).select("line"), "lines")
 
     def learn(batches):
         rows = []

@@ -277,6 +277,21 @@ def test_secrets(spark):
     assert secrets.digest(frame(spark, [(1, None), (2, "")])).where("spans <> ''").count() == 0
 
 
+def test_secret_training_takes_distinct_lines(spark, monkeypatch):
+    rows = [(i, "password=aaaaaaaa\nthe same line") for i in range(1500)] + [(2000 + i, f"password=abc{i:05d}\nplain line {i}") for i in range(40)]
+    seen = []
+
+    def keep(df, name):
+        out = df.persist()
+        seen.extend([out] if name == "lines" else [])
+        return out
+
+    monkeypatch.setattr(secrets, "materialize", keep)
+    assert secrets.fit(frame(spark, rows)) is not None
+    lines = [r.line for r in seen[0].collect()]
+    assert len(lines) == len({*lines}) == 82
+
+
 def test_viterbi_is_exact():
     """Runs between certain tokens give the same labels as the best of all paths."""
     from itertools import product
