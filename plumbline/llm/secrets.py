@@ -2,9 +2,10 @@
 
 Tokens are runs of [A-Za-z0-9+/_.-] and non-ASCII bytes, or single other characters; white space parts
 them. Each is tagged as outside, begin or inside of a secret from its shape (length and kinds of
-characters), the shapes and hashed words beside it, and features of its file (how much of it is digits
-and assignment signs). The field is trained here, by the log likelihood, on a bounded sample of lines
-(`SAMPLE_LINES`) that the base patterns label. Viterbi decoding is exact: a token whose outside score
+characters), its mixture of digits and letters, the shapes and hashed words beside it, and features of its file (how much of it is digits
+and assignment signs). The field is trained here, by the log likelihood, on windows of tokens round a
+bounded sample of distinct lines (`SAMPLE_LINES`; long lines in pieces) that the base patterns label, with
+features of the whole document as in decoding. Half of the windows hide words, a quarter shapes too. Viterbi decoding is exact: a token whose outside score
 leads by more than any two transitions can make up is outside on every best path, so paths are
 computed for the runs between such tokens, all runs of a slice of texts at once.
 
@@ -52,9 +53,18 @@ _CLASS[0x30:0x3A, 0] = _CLASS[0x41:0x5B, 1] = _CLASS[0x61:0x7B, 2] = _CLASS[0x61
 _CLASS[:, 4] = ~_CLASS[:, :3].any(1)
 
 SHAPES = 6 * 16 + 1  # length range by kinds of characters; the last stands for no token
-#: Starts of the feature groups: own, previous and next shape, two words before, one after, file.
-GROUPS = np.cumsum([0, SHAPES, SHAPES, SHAPES, WORD_BUCKETS + 1, WORD_BUCKETS + 1, WORD_BUCKETS + 1])
-N_FEATURES = int(GROUPS[-1]) + 16
+#: Starts of the feature groups: own, previous and next shape, two words before, one after, file, own mixture (length range by digits among letters).
+GROUPS = np.cumsum([0, SHAPES, SHAPES, SHAPES, WORD_BUCKETS + 1, WORD_BUCKETS + 1, WORD_BUCKETS + 1, 16])
+N_FEATURES = int(GROUPS[-1]) + 12
+#: Groups that training hides in some windows, their sizes, and what stands for a hidden feature of each.
+HIDEABLE = {0: SHAPES - 1, 3: WORD_BUCKETS, 4: WORD_BUCKETS, 5: WORD_BUCKETS}
+HIDDEN = {g: N_FEATURES + k for k, g in enumerate(HIDEABLE)}
+#: What the sample is drawn from: lines, long ones in pieces. The same in both languages.
+_PIECE, _PIECE_JAVA = re.compile("[^\n]{1,4000}"), "[^\n]{1,4000}"
+
+
+#: Buckets of tokens that are one sign.
+_SIGNS = word_hashes(np.arange(0x21, 0x7F, dtype=np.uint8), np.arange(94), np.arange(94) + 1)[_KIND[0x21:0x7F] == 2] % np.uint64(WORD_BUCKETS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
@@ -103,7 +113,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray):
     share = (np.diff(counts[0][offsets]) * 20 // np.maximum(1, np.diff(offsets))).clip(0, 3)
     file = share * 4 + (np.diff(signs) * 200 // np.maximum(1, np.diff(offsets))).clip(0, 3) if m else np.zeros(0, np.int64)
     none = SHAPES - 1
-    features = np.stack([shape, moved(shape, -1, none), moved(shape, 1, none), moved(word, -1, WORD_BUCKETS), moved(word, -2, WORD_BUCKETS), moved(word, 1, WORD_BUCKETS), file[text]], 1) + GROUPS
+    features = np.stack([shape, moved(shape, -1, none), moved(shape, 1, none), moved(word, -1, WORD_BUCKETS), moved(word, -2, WORD_BUCKETS), moved(word, 1, WORD_BUCKETS), file[text], band * 2 + ((digits > 0) & (letters > 0))], 1) + GROUPS
     return start, end, text, features
 
 
@@ -190,52 +200,114 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: flo
             mean[i] = 0.9 * mean[i] + 0.1 * g
             var[i] = 0.99 * var[i] + 0.01 * g * g
             params[i] -= rate * mean[i] / (1 - 0.9**t) / (np.sqrt(var[i] / (1 - 0.99**t)) + 1e-8)
-    full = np.zeros((N_FEATURES, 3))
+    full = np.zeros((N_FEATURES + len(HIDDEN), 3))
     full[used] = w
-    return Field(full, m)
+    known = np.isin(np.arange(N_FEATURES), used)
+    for g, size in HIDEABLE.items():  # what no window holds weighs as what was hidden
+        own = GROUPS[g] + np.arange(size)
+        full[own[~known[own]]] = full[HIDDEN[g]]
+    return Field(full[:N_FEATURES], m)
 
 
-def _labelled(line: str):
-    """Features and labels of a line's tokens, by the base patterns."""
-    data = np.frombuffer(line.encode(), np.uint8)
+def _labelled(text: str):
+    """Byte places, features and labels of a document's tokens, by the base patterns."""
+    raw = text.encode()
+    data = np.frombuffer(raw, np.uint8)
     start, end, _, features = tokens(data, np.array([0, len(data)]))
     labels = np.zeros(len(start), np.int64)
-    for _, _, _, e, secret in base_spans(line):
-        a, z = len(line[:secret].encode()), len(line[:e].encode())
-        at = np.flatnonzero((start >= a) & (end <= z))
-        labels[at] = np.where(labels[at] > 0, labels[at], INSIDE)
-        if len(at) and labels[at[0]] == INSIDE:
-            labels[at[0]] = BEGIN
-    return features, labels
-
-
-def _least(lines: DataFrame, cond, most: int) -> DataFrame:
-    """The distinct lines under cond of least hash h, `most` of them or all. Only hashes below a bound are made
-    distinct; a bound below which too few lie is raised, so what is shuffled is small and the result exact."""
+    at_byte = _byte_places(text, raw)
+    for _, _, _, e, secret in base_spans(text):
+        lo, hi = np.searchsorted(start, at_byte(secret)), np.searchsorted(end, at_byte(e), side="right")
+        if hi > lo:
+            part = labels[lo:hi]
+            part[part == OUT] = INSIDE
+            if part[0] == INSIDE:
+                part[0] = BEGIN
+    return start, features, labels
+
+
+def _byte_places(text: str, raw: bytes):
+    """A function from places in code points to places in bytes."""
+    if len(raw) == len(text):
+        return lambda k: k
+    data = np.frombuffer(raw, np.uint8)
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(raw))
+    return lambda k: int(first[k])
+
+
+def _windows(text: str, picks: list[tuple[int, int]]):
+    """(hash, features, labels) of LINE_TOKENS tokens round each picked piece's hit, or a place by hash; picks: (hash, number of the piece)."""
+    start, features, labels = _labelled(text)
+    at_byte = _byte_places(text, text.encode())
+    wanted = {}
+    for h, pos in picks:
+        wanted.setdefault(pos, []).append(h)
+    for pos, m in enumerate(_PIECE.finditer(text)):
+        for h in wanted.get(pos, ()):
+            lo, hi = np.searchsorted(start, [at_byte(m.start()), at_byte(m.end())])
+            if hi > lo:
+                hits = lo + np.flatnonzero(labels[lo:hi] == BEGIN)
+                centre = int(hits[h % len(hits)]) if len(hits) else int(lo + h % (hi - lo))
+                a = max(0, centre - LINE_TOKENS // 2)
+                yield h, features[a : a + LINE_TOKENS], labels[a : a + LINE_TOKENS]
+
+
+def _hide(features: np.ndarray, k: int) -> np.ndarray:
+    """In the second and fourth of every four windows the words beside each token (not signs) are hidden, in the fourth
+    its shape too, so that neighbours and mixture carry over to keys and shapes that training never saw."""
+    out = features.copy()
+    for g in (3, 4, 5) if k % 2 else ():
+        own = out[:, g] - GROUPS[g]
+        out[(own < WORD_BUCKETS) & ~np.isin(own, _SIGNS), g] = HIDDEN[g]
+    if k % 4 == 3:
+        out[:, 0] = HIDDEN[0]
+    return out
+
+
+def _least(pieces: DataFrame, cond, most: int) -> DataFrame:
+    """(h, doc, pos) of the distinct pieces under cond of least hash, `most` of them or all, each at one of its places.
+    Only hashes below a bound are grouped; a bound below which too few lie is raised, so little is shuffled and the result exact."""
     for bits in (10, 5, 0):
-        part = lines.where(F.col("h") < F.lit(2 ** (64 - bits) - 2**63)) if bits else lines
-        found = materialize(part.where(cond).distinct().orderBy("h", "line").limit(most), "least")
+        part = pieces.where(F.col("h") < F.lit(2 ** (64 - bits) - 2**63)) if bits else pieces
+        found = part.where(cond).groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("at")).orderBy("h").limit(most)
+        found = materialize(found.select("h", "at.doc", "at.pos"), "least")
         if bits == 0 or found.count() == most:
             return found
 
 
-def fit(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Field | None:
-    """Learns from a bounded sample of distinct lines, half of them with a base match; None if there is no match."""
-    own = docs.select(F.col("text").cast("string").alias("text"))
-    lines = own.select(F.explode(F.split("text", "\n")).alias("line")).where("length(line) between 1 and 4000").withColumn("h", F.xxhash64("line"))
+def training_windows(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataFrame:
+    """(h, x, y) of a bounded sample of distinct pieces of lines, half of them with a base match: features in their whole document, and labels."""
+    own = docs.select(F.col("text").cast("string").alias("text")).select("text", F.xxhash64("text").alias("doc"))
+    pieces = own.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(_PIECE_JAVA), F.lit(0))).alias("pos", "line")).withColumn("h", F.xxhash64("line"))
     hint = F.col("line").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]") | F.col("line").rlike(r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    halves = [_least(lines, c, sample_lines // 2) for c in (hint, ~hint)]
-    sample = materialize(halves[0].unionByName(halves[1]).select("line"), "lines")
+    halves = [_least(pieces, c, sample_lines // 2) for c in (hint, ~hint)]
+    picks = halves[0].unionByName(halves[1]).groupBy("doc").agg(F.collect_list(F.struct("h", "pos")).alias("picks"))
+    texts = own.join(F.broadcast(picks), "doc").dropDuplicates(["doc"]).select("text", "picks")
+
+    def cut(batches):
+        for batch in batches:
+            for text, picks in zip(batch.column("text"), batch.column("picks"), strict=True):
+                found = list(_windows(text.as_py(), [(p["h"], p["pos"]) for p in picks.as_py()]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in found], pa.int64()), pa.array([x.astype(np.int32).tobytes() for _, x, _ in found], pa.binary()), pa.array([y.astype(np.int8).tobytes() for _, _, y in found], pa.binary())], names=["h", "x", "y"])
+
+    return materialize(texts.mapInArrow(cut, "h bigint, x binary, y binary"), "windows")
+
+
+def fit(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Field | None:
+    """Learns from training_windows; None if there is no match. Windows hide features as _hide says."""
+    sample = training_windows(docs, sample_lines)
 
     def learn(batches):
         rows = []
         for batch in batches:
-            for line in batch.column("line").to_pylist():
-                f, y = _labelled(line)
-                hit = np.flatnonzero(y)
-                lo = max(0, (hit[0] if len(hit) else 0) - LINE_TOKENS // 2)
-                if len(y):
-                    rows.append((f[lo : lo + LINE_TOKENS], y[lo : lo + LINE_TOKENS]))
+            for h, x, y in zip(*(batch.column(c).to_pylist() for c in ("h", "x", "y")), strict=True):
+                rows.append((h, np.frombuffer(x, np.int32).reshape(-1, len(GROUPS)).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64)))
+        rows.sort(key=lambda r: r[0])
+        hits = [(x, y) for _, x, y in rows if y.any()]
+        rest = [(x, y) for _, x, y in rows if not y.any()]
+        turns = max(1, len(rest) // max(1, len(hits)))  # as many hits as others, in all ways of hiding
+        rows = [(_hide(x, k + t), y) for part, n in ((hits, turns), (rest, 1)) for t in range(n) for k, (x, y) in enumerate(part)]
         if any(y.any() for _, y in rows):
             field = train(rows)
             used = np.flatnonzero(field.weights.any(1))

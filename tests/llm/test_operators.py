@@ -283,15 +283,27 @@ def test_secret_training_takes_distinct_lines(spark, monkeypatch):
 
     def keep(df, name):
         out = df.persist()
-        seen.extend([out] if name == "lines" else [])
+        seen.extend([out] if name == "windows" else [])
         return out
 
     monkeypatch.setattr(secrets, "materialize", keep)
     assert secrets.fit(frame(spark, rows)) is not None
-    lines = [r.line for r in seen[0].collect()]
+    lines = [r.h for r in seen[0].collect()]
     assert len(lines) == len({*lines}) == 82
 
 
+def test_secret_training_sees_whole_documents(spark):
+    rnd = random.Random(2)
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"number {i}: 1234567890\n" * 20 + "plain words " * 500 + f'token = "{key()}" ' + "more words " * 500) for i in range(30)]
+    windows = secrets.training_windows(frame(spark, rows)).collect()
+    seen = {row.tobytes() for _, t in rows for row in secrets._labelled(t)[1].astype(np.int32)}
+    width = 4 * len(secrets.GROUPS)
+    assert all(r.x[k : k + width] in seen for r in windows for k in range(0, len(r.x), width))
+    assert sum(secrets.BEGIN in r.y for r in windows) >= 30
+    assert secrets.fit(frame(spark, rows)) is not None  # every secret is in a line of more than 4,000 characters
+
+
 def test_viterbi_is_exact():
     """Runs between certain tokens give the same labels as the best of all paths."""
     from itertools import product
