@@ -62,16 +62,35 @@ def mismatched_evidence(claims: DataFrame, group: str, seed: int) -> DataFrame:
     """(claim_id, other_id): a claim of another category and patient for each claim, without a cross join.
 
     Claims are ranked by hash within their category and take the claim of that rank (modulo its size) in the
-    next category; where that has the same patient, the one after it."""
+    next category; where that has the same patient, the first one after it, in a circle, that has another. Where
+    the whole category is the patient's own, the next category that is not serves. Claims without a patient are left out."""
     order = Window.partitionBy(group).orderBy(uniform(seed, F.col("claim_id")), "claim_id")
-    ranked = claims.select("claim_id", "patient_id", group).withColumn("k", F.row_number().over(order) - 1)
-    sizes = ranked.groupBy(group).agg(F.count("*").alias("n"))
-    names = sizes.withColumn("i", F.row_number().over(Window.orderBy(group)) - 1).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(0))))
-    shifted = names.select(F.col(group).alias("from"), ((F.col("i") + 1) % F.col("m")).alias("i")).join(names.select("i", F.col(group).alias("to"), "n"), "i").drop("i")
-    asked = ranked.join(F.broadcast(shifted), F.col(group) == F.col("from")).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", (F.col("k") + F.col("step")) % F.col("n"))
-    given = ranked.select(F.col("claim_id").alias("other_id"), F.col("patient_id").alias("other_patient"), F.col(group).alias("to"), "k")
-    found = asked.join(given, ["to", "k"]).where(F.col("patient_id") != F.col("other_patient"))
-    return found.groupBy("claim_id").agg(F.min_by("other_id", "step").alias("other_id"))
+    known = claims.where("patient_id is not null").select("claim_id", "patient_id", group)
+    ranked = known.withColumn("k", F.row_number().over(order) - 1)
+    # the first row of the next run of one patient; seen from the end, as frames that end with the partition are slow
+    up, down = Window.partitionBy(group).orderBy("k"), Window.partitionBy(group).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.when(F.lag("patient_id").over(up) != F.col("patient_id"), F.col("claim_id"))
+    ranked = ranked.withColumn("starts", starts).withColumn("after", F.last("starts", ignorenulls=True).over(down))
+    head = F.min_by(F.struct("claim_id", "patient_id", "after"), "k").alias("head")
+    sole = F.when(F.min("patient_id") == F.max("patient_id"), F.min("patient_id")).alias("sole")
+    sizes = ranked.groupBy(group).agg(F.count("*").alias("n"), head, sole)
+    every = Window.orderBy(group)
+    names = sizes.withColumn("i", F.row_number().over(every) - 1).withColumn("m", F.count("*").over(Window.partitionBy(F.lit(0))))
+    # two turns of the circle, so that the next category of another sole patient may lie behind the last one
+    turns = names.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn")).withColumn("at", F.col("i") + F.col("turn") * F.col("m"))
+    circle, back = Window.partitionBy(F.lit(0)).orderBy("at"), Window.partitionBy(F.lit(0)).orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("new", F.when(~F.col("sole").eqNullSafe(F.lag("sole").over(circle)) & (F.col("at") > 0), F.col("at"))).withColumn("jump", F.last("new", ignorenulls=True).over(back))
+    jumps = turns.where("turn = 0").select("i", F.when(F.col("jump") - F.col("i") < F.col("m") - 1, F.col("jump") % F.col("m")).alias("jump"))
+    shifted = names.select(F.col(group).alias("from"), ((F.col("i") + 1) % F.col("m")).alias("i")).join(names.select("i", F.col(group).alias("to"), "n", "sole"), "i").join(jumps, "i").drop("i")
+    shifted = shifted.join(names.select(F.col("i").alias("jump"), F.col(group).alias("to2"), F.col("n").alias("n2")), "jump", "left")
+    asked = ranked.select("claim_id", "patient_id", group, "k").join(F.broadcast(shifted), F.col(group) == F.col("from"))
+    own = F.col("sole").eqNullSafe(F.col("patient_id"))
+    asked = asked.withColumn("to", F.when(own, F.col("to2")).otherwise(F.col("to"))).withColumn("k", F.col("k") % F.when(own, F.col("n2")).otherwise(F.col("n")))
+    around = F.when(F.col("head.patient_id") != F.col("patient_id"), F.col("head.claim_id")).otherwise(F.col("head.after"))
+    given = ranked.join(F.broadcast(sizes.select(group, "head")), group)
+    given = given.select(F.col("claim_id").alias("other_id"), F.col("patient_id").alias("other_patient"), F.coalesce("after", around).alias("after"), F.col(group).alias("to"), "k")
+    found = asked.select("claim_id", "patient_id", "to", "k").join(given, ["to", "k"])
+    return found.select("claim_id", F.when(F.col("patient_id") != F.col("other_patient"), F.col("other_id")).otherwise(F.col("after")).alias("other_id")).where("other_id is not null")
 
 
 def pair_runs(claims: DataFrame, run_a: DataFrame, run_b: DataFrame) -> DataFrame:

@@ -130,3 +130,14 @@ def test_extractor_query_extracts(spark, monkeypatch):
     monkeypatch.setattr(Q.T, "claims_of", lambda c: F.when(c.startswith("FINDINGS"), F.array(c)))
     rows = Q.reports(spark, "/root/testdata/sf0.001")
     assert Q.u02(spark, "/root/testdata/sf0.001").first().n == rows.where("text like 'FINDINGS%'").count() < rows.count()
+
+
+def test_mismatched_evidence_with_a_hot_patient(spark):
+    rows = [(f"a{i}", "hot" if i % 3 else f"p{i}", "a") for i in range(60)] + [(f"b{i}", "hot" if i else "q", "b") for i in range(40)] + [(f"c{i}", "hot", "c") for i in range(20)] + [("d0", "hot", "d")]
+    got = J.mismatched_evidence(spark.createDataFrame(rows, "claim_id string, patient_id string, g string"), "g", 9).collect()
+    of = {c: (p, g) for c, p, g in rows}
+    assert sorted(r.claim_id for r in got) == sorted(of)
+    assert all(of[r.claim_id][0] != of[r.other_id][0] and of[r.claim_id][1] != of[r.other_id][1] for r in got)
+    alone = [("x", "p", "a"), ("y", "p", "b"), ("z", "q", "a")]
+    got = J.mismatched_evidence(spark.createDataFrame(alone, "claim_id string, patient_id string, g string"), "g", 9).collect()
+    assert {(r.claim_id, r.other_id) for r in got} == {("y", "z"), ("z", "y")}
