@@ -65,7 +65,7 @@ def finding_substitution(text: Column) -> Column:
 def negation(text: Column) -> Column:
     """Drops a no, turns without, absent and present round, puts no behind a copula, else in front."""
     copula = F.coalesce(*(F.when(has_word(text, c), F.regexp_replace(text, rf"(?is)^(.*?{word(c)})", "$1 no")) for c in ("is", "are", "was", "were")))
-    front = F.concat(F.lit("No "), F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+    front = F.concat(F.lit("No "), F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
     return (
         F.when(has_word(text, "no"), F.trim(replace_first(text, r"\bno\s+", "")))
         .when(has_word(text, "without"), replace_first(text, word("without"), "with"))

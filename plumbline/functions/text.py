@@ -70,7 +70,7 @@ def merged_sentences(text: Column, most: int = 20) -> Column:
         init = F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0)))
         free = (F.size(a["out"]) > 0) & ~a["merged"]
         cont, ana = free & starts(s, V.CONTINUATIONS), free & starts(s, V.ANAPHORA)
-        joined = F.when(cont, F.concat(bare(last), F.lit(", "), F.lower(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))).otherwise(F.concat(bare(last), F.lit("; "), s))
+        joined = F.when(cont, F.concat(bare(last), F.lit(", "), F.lower(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))).otherwise(F.concat(bare(last), F.lit("; "), s))
         return F.struct(F.when(cont | ana, F.concat(init, F.array(joined))).otherwise(F.concat(a["out"], F.array(s))).alias("out"), (cont | ana).alias("merged"))
 
     done = F.aggregate(parts, F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("merged")), step)
@@ -83,7 +83,7 @@ def chained_claims(text: Column) -> Column:
 
     def step(a, s):
         go_on = (F.size(a) > 0) & F.lower(s).rlike("^(or|and|nor) ")
-        joined = F.concat(F.regexp_replace(F.element_at(a, -1), r"\.+$", ""), F.lit(", "), F.lower(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))
+        joined = F.concat(F.regexp_replace(F.element_at(a, -1), r"\.+$", ""), F.lit(", "), F.lower(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s)))
         return F.when(go_on, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(a, F.array(s)))
 
     found = F.aggregate(parts, F.array().cast("array<string>"), step)
@@ -219,7 +219,7 @@ def patient_of_file(name: Column) -> Column:
 
 def without_prompt(text: Column, prompt: str) -> Column:
     at = F.locate(prompt, text)
-    return F.when(at > 0, F.trim(F.substring(text, at + len(prompt), F.lit(1_000_000)))).otherwise(F.trim(text))
+    return F.when(at > 0, F.trim(F.substring(text, at + len(prompt), F.length(text)))).otherwise(F.trim(text))
 
 
 def grader_label(raw: Column) -> Column:

@@ -141,3 +141,11 @@ def test_mismatched_evidence_with_a_hot_patient(spark):
     alone = [("x", "p", "a"), ("y", "p", "b"), ("z", "q", "a")]
     got = J.mismatched_evidence(spark.createDataFrame(alone, "claim_id string, patient_id string, g string"), "g", 9).collect()
     assert {(r.claim_id, r.other_id) for r in got} == {("y", "z"), ("z", "y")}
+
+
+def test_long_texts_keep_their_end(spark):
+    tail = F.concat(F.repeat(F.lit("x"), 1_200_000), F.lit(" END"))
+    first = "There is no edema here. "
+    rows = spark.range(1).select(tail.alias("t"))
+    got = rows.select(T.merged_sentences(F.concat(F.lit(first + "Or any "), "t"))[0], T.chained_claims(F.concat(F.lit(first + "Or any "), "t"))[0], T.without_prompt(F.concat(F.lit("ask: "), "t"), "ask: "), H.negation(F.col("t"))).first()
+    assert all(x.endswith(" END") and len(x) > 1_200_000 for x in got)
