@@ -4,7 +4,8 @@ Speculate: a word is cut greedily into the longest tokens of the vocabulary. Ver
 what merging would give if and only if every token merges to itself and no merge crosses the border
 of two adjacent tokens before both are complete; all distinct adjacent pairs of a slice of texts are
 tested at once with array operations. Only words with a failing pair go through exact merging.
-Words are encoded once per task and remembered within a fixed number of entries.
+Encoded words are remembered by the worker within a fixed number of bytes: what was not used while
+one half of the memory filled is forgotten, so common words stay.
 
 The vocabulary's file is named by path; each task opens it once. Special tokens in a text are taken
 whole, as the file says. Rows: null is the empty text, which has no tokens; repeated rows and
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -25,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words that a task remembers before it starts afresh.
-MEMORY_WORDS = 100_000
+#: Bytes that each of the two halves of a worker's memory of words may take, and those that a word takes beside its letters and ids.
+MEMORY_BYTES, ENTRY_BYTES = 40_000_000, 200
+#: Bytes up to which a word's pairs are scanned for the next merge; longer words go by a heap.
+SHORT_WORD = 64
 #: Characters of text whose words are encoded together.
 SLICE_CHARS = 400_000
 
@@ -58,11 +62,14 @@ class WordBPE:
         self.left, self.right = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         self.rank = np.full(size, -1, np.int64)
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: dict[int, int] = {}
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             x, y, z = ids[a], ids[b], ids[a + b]
             if (x, y) not in self.merge:
                 self.merge[x, y] = (r, z)
+                self.ranks[x, y], self.made[r] = r, z
             if self.rank[z] < 0:
                 self.left[z], self.right[z], self.rank[z] = x, y, r
         keys = np.array([x * size + y for x, y in self.merge], np.int64)
@@ -79,13 +86,13 @@ class WordBPE:
         self.body = {i: (b, n) for n, d in ((False, self.inner), (True, self.final)) for b, i in d.items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.special_ids = {k: np.array([v], "<u4").tobytes() for k, v in specials.items()}
-        self.space = regex.compile(f"[{WHITE_SPACE}]+")
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+")
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.used = 0
 
     def words(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
-        text = self.space.sub(" ", text)
         # each character by itself: no final sigma
         return self.word.findall(text.replace("Σ", "σ").lower())
 
@@ -135,6 +142,22 @@ class WordBPE:
         """Merges by rank, from the left among equals."""
         n = len(word)
         part = [self.inner[word[i : i + 1]] for i in range(n - 1)] + [self.final[word[-1:]]]
+        if n <= SHORT_WORD:
+            never = 1 << 40
+            get, made = self.ranks.get, self.made
+            rank = [get(p, never) for p in zip(part, part[1:], strict=False)]
+            while rank:
+                r = min(rank)
+                if r == never:
+                    break
+                i = rank.index(r)
+                part[i : i + 2] = [made[r]]
+                del rank[i]
+                if i:
+                    rank[i - 1] = get((part[i - 1], part[i]), never)
+                if i < len(rank):
+                    rank[i] = get((part[i], part[i + 1]), never)
+            return part
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(*self.merge[p], i) for i, p in enumerate(zip(part, part[1:], strict=False)) if p in self.merge]
         heap = [(r, i, z, part[i], part[i + 1]) for r, z, i in heap]
@@ -173,7 +196,9 @@ class WordBPE:
         fails[owner[1:][near][~good[back]]] = True
         for i in np.flatnonzero(fails):
             guess[i] = self.exact(raw[i])
-        self.memory.update((w, np.array(g, "<u4").tobytes()) for w, g in zip(words, guess, strict=True))
+        pack = [struct.pack(f"<{len(g)}I", *g) for g in guess]
+        self.memory.update(zip(words, pack, strict=True))
+        self.used += ENTRY_BYTES * len(words) + 2 * sum(map(len, raw)) + sum(map(len, pack))
 
     def _inner_whole(self, token: int, body: bytes) -> int:
         """Whether a token that does not end a word merges to itself when nothing follows."""
@@ -196,15 +221,17 @@ class WordBPE:
                 pieces.append(own + self.words(text[at:]))
             else:
                 pieces.append(self.words(text))
-        if len(self.memory) > MEMORY_WORDS:
-            self.memory.clear()
-        seen: set[str] = set()
-        for own in pieces:
-            seen.update(w for w in own if w.__class__ is str) if self.special else seen.update(own)
-        if new := [w for w in seen if w not in self.memory]:
+        if self.used > MEMORY_BYTES:
+            self.memory, self.older, self.used = {}, self.memory, 0
+        memory, older = self.memory, self.older
+        seen = {w for w in set().union(*pieces) if w not in memory}
+        for w in seen & older.keys():
+            memory[w] = older[w]
+            self.used += ENTRY_BYTES + 2 * len(w) + len(older[w])
+        if new := [w for w in seen if w not in memory and w.__class__ is str]:
             self.learn(new)
-        memory = self.memory
-        return [b"".join([memory[w] if w.__class__ is str else w for w in own]) for own in pieces]
+        memory.update((w, w) for w in seen if w.__class__ is bytes)  # ids of special tokens
+        return [b"".join(map(memory.__getitem__, own)) for own in pieces]
 
     def decode(self, ids: bytes) -> str:
         """The vocabulary has no decoder: its tokens' names, parted by spaces."""
@@ -239,7 +266,6 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         model = tokenizer(path)
-        model.memory.clear()
         for batch in batches:
             for lo, texts in _slices(batch.column("text")):
                 ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in model.encode(texts)]
@@ -267,7 +293,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         model = tokenizer(path)
-        model.memory.clear()
         for batch in batches:
             for lo, texts in _slices(batch.column("text")):
                 ids = model.encode(texts)
