@@ -9,12 +9,15 @@ LCPs gives the common-prefix intervals; within each, the same scan over the text
 tests left extension: an interval whose members go on with different bytes on the left is a maximal
 repeat, and all its members are its occurrences.
 
-Anchor strings with more than `MAX_GROUP` different contexts are never gathered: they are re-keyed
-by longer pieces of text, halving the range of window offsets, until groups are small or the piece
-is a whole window, where equality of keys is the answer.
+Occurrences are counted by anchor string and context before anything is gathered, so a passage that
+everyone holds stands once in a group, and its occurrences join its groups afterwards. Anchor strings
+with more than `MAX_GROUP` different contexts are never gathered either: they are re-keyed by longer
+pieces of text, halving the range of window offsets, until groups are small or the piece is a whole
+window, where equality of keys is the answer. Their keys are named by a broadcast, up to `BROADCAST_KEYS`.
 
 Rows: null is empty; texts shorter than `length` have no repeats; repeated rows repeat each other;
-a doc_id that stands on several rows keeps them apart; extra columns are ignored.
+a doc_id that stands on several rows keeps them apart (rows go by 128 bits of doc_id and text); extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -34,6 +37,8 @@ LENGTH, CORE = 200, 64
 SLICE = 1 << 19
 #: Different contexts of one anchor string that one call sorts.
 MAX_GROUP = 512
+#: Keys of large groups that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, core: int):
@@ -89,7 +94,7 @@ def find_anchors(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> Dat
 
     def rows(batches):
         for batch in batches:
-            ids = batch.column("row").to_numpy()
+            ids = batch.column("row")
             for lo_row, _, buf, offsets in text_slices(batch.column("text"), SLICE):
                 owner, begin, last, h, least, running = _anchors(buf, offsets, length, core)
                 if not len(begin):
@@ -102,10 +107,10 @@ def find_anchors(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> Dat
                 new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
                 bounds = np.concatenate([np.flatnonzero(new), [len(g)]]).astype(np.int32)
                 base = offsets[owner]
-                occ = pa.StructArray.from_arrays([pa.array(ids[lo_row + owner]), *(pa.array(x.astype(np.int32)) for x in (begin - base, last + length - base, place - base))], names=["row", "a", "z", "p"])
+                occ = pa.StructArray.from_arrays([ids.take(pa.array(lo_row + owner)), *(pa.array(x.astype(np.int32)) for x in (begin - base, last + length - base, place - base))], names=["row", "a", "z", "p"])
                 yield pa.RecordBatch.from_arrays([pa.array(g[new].view(np.int64)), pa.array(c[new].view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), occ)], names=["g", "c", "occ"])
 
-    return docs.select("row", "text").mapInArrow(rows, "g bigint, c bigint, occ array<struct<row:bigint,a:int,z:int,p:int>>")
+    return docs.select("row", "text").mapInArrow(rows, "g bigint, c bigint, occ array<struct<row:binary,a:int,z:int,p:int>>")
 
 
 def intervals(lcp: np.ndarray) -> list[tuple[int, int, int]]:
@@ -172,18 +177,6 @@ def maximal_repeats(left: list[bytes], right: list[bytes], length: int):
             yield reach, depth, order[group]
 
 
-def _cover(left: list[bytes], right: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far each member's repeats reach before and after its anchor, or -1."""
-    most_before, most_after = np.full(len(left), -1, np.int64), np.full(len(left), -1, np.int64)
-    for depth, _, _, _, member, ext, order in extensions(left, right, length):
-        reach = np.maximum(ext[:-1], ext[1:])  # the best partner is a neighbour by left text
-        ok = reach + depth >= length
-        at = order[member[ok]]
-        most_before[at] = np.maximum(most_before[at], reach[ok])
-        most_after[at] = np.maximum(most_after[at], depth)
-    return most_before, most_after
-
-
 def _pairs(left: list[bytes], right: list[bytes], length: int):
     """The commonest groups, two contexts each, all at once."""
     ahead, n_ahead = _matrix(right)
@@ -193,10 +186,12 @@ def _pairs(left: list[bytes], right: list[bytes], length: int):
     return x[l + r >= length], l[l + r >= length], r[l + r >= length]
 
 
-def context_repeats(contexts: DataFrame, length: int, cover: bool) -> DataFrame:
-    """(repeat, row, start, end) over contexts (key, row, p, before, after), in groups of one key.
+_CONTEXT = ("key", "g", "c", "row", "p", "before", "after")
 
-    cover: one row for each repeated context, from the least start to the greatest end of its repeats.
+
+def context_repeats(contexts: DataFrame, length: int, cover: bool) -> DataFrame:
+    """(repeat, g, c, row, p, reach, depth): the members of every maximal repeat of contexts of one key, by how far it
+    goes before and after their anchors. cover: one row for each context, with the most of both over its repeats.
 
     Partitions are sorted by key; a task holds a few groups at a time, each of MAX_GROUP contexts at most."""
 
@@ -215,54 +210,55 @@ def context_repeats(contexts: DataFrame, length: int, cover: bool) -> DataFrame:
     def groups(part):
         if not part.num_rows:
             return
-        key, row, p = (part.column(c).to_numpy() for c in ("key", "row", "p"))
+        key, c = part.column("key").to_numpy(), part.column("c").to_numpy()
         before, after = part.column("before").to_pylist(), part.column("after").to_pylist()
         cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         size = np.diff(cut)
-        out = {"repeat": [], "row": [], "start": [], "end": []}
+        names, members, reaches, depths = [], [], [], []
         most_before, most_after = np.full(len(key), -1, np.int64), np.full(len(key), -1, np.int64)
 
-        def add(group_key, member, reach, depth):
+        def add(member, reach, depth):
             if cover:
-                np.maximum.at(most_before, member, reach)
-                np.maximum.at(most_after, member, depth)
+                most_before[member] = np.maximum(most_before[member], reach)
+                most_after[member] = np.maximum(most_after[member], depth)
                 return
-            out["repeat"] += [f"{group_key & (2**64 - 1):016x}-{reach}-{depth}-{int(row[member].min())}"] * len(member)
-            out["row"] += row[member].tolist()
-            out["start"] += (p[member] - reach).tolist()
-            out["end"] += (p[member] + depth).tolist()
+            names.extend([f"{int(key[member[0]]) & (2**64 - 1):016x}-{reach}-{depth}-{int(c[member].min()) & (2**64 - 1):016x}"] * len(member))
+            members.extend(member.tolist())
+            reaches.extend([reach] * len(member))
+            depths.extend([depth] * len(member))
 
         two = np.flatnonzero(size == 2)
         if len(two):
             take = np.stack([cut[two], cut[two] + 1], 1).ravel()
             for x, reach, depth in zip(*_pairs([before[i] for i in take], [after[i] for i in take], length), strict=True):
-                add(int(key[take[x]]), take[x : x + 2], int(reach), int(depth))
+                add(take[x : x + 2], int(reach), int(depth))
         for k in np.flatnonzero(size > 2):
             lo, hi = cut[k], cut[k + 1]
-            if cover:
-                most_before[lo:hi], most_after[lo:hi] = _cover(before[lo:hi], after[lo:hi], length)
-                continue
             for reach, depth, member in maximal_repeats(before[lo:hi], after[lo:hi], length):
-                add(int(key[lo]), lo + member, reach, depth)
-        hit = np.flatnonzero(most_before >= 0)
+                add(lo + member, reach, depth)
         if cover:
-            out = {"repeat": [""] * len(hit), "row": row[hit], "start": (p - most_before)[hit], "end": (p + most_after)[hit]}
-        types = (pa.string(), pa.int64(), pa.int32(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(out.values(), types, strict=True)], names=[*out])
+            members = np.flatnonzero(most_before >= 0)
+            names, reaches, depths = [""] * len(members), most_before[members], most_after[members]
+        own = part.select(["g", "c", "row", "p"]).take(pa.array(members, pa.int64())).combine_chunks()
+        columns = [pa.array(names, pa.string()), *(own.column(x).combine_chunks() for x in own.column_names), pa.array(reaches).cast(pa.int32()), pa.array(depths).cast(pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["repeat", "g", "c", "row", "p", "reach", "depth"])
 
     sorted_contexts = contexts.repartition("key").sortWithinPartitions("key")
-    return sorted_contexts.select("key", "row", "p", "before", "after").mapInArrow(scan, "repeat string, row bigint, start int, end int")
+    return sorted_contexts.select(*_CONTEXT).mapInArrow(scan, "repeat string, g bigint, c bigint, row binary, p int, reach int, depth int")
+
+
+def _large_keys(sizes: DataFrame, max_group: int) -> DataFrame:
+    """(key) of the groups of more than max_group contexts among (key, k)."""
+    keys = materialize(sizes.where(F.col("k") > max_group).select("key"), "large")
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def _small_groups(contexts: DataFrame, length: int, core: int, max_group: int) -> tuple[DataFrame, DataFrame | None]:
+def _split_large(large: DataFrame, length: int, core: int, max_group: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Splits groups of more than max_group contexts by longer pieces of text.
 
-    Returns groups fit for one call, and whole windows found equal on the way (or None)."""
-    every = Window.partitionBy("key")
-    sized = materialize(contexts.withColumn("size", F.count("*").over(every)), "sized")
-    small = sized.where((F.col("size") > 1) & (F.col("size") <= max_group)).drop("size")
-    large = sized.where(F.col("size") > max_group).drop("size").withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - core))
-    equal = None
+    Returns groups fit for one call, and whole windows that more contexts share: (key, g, c, row, p, lo)."""
+    large = large.select(*_CONTEXT).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(length - core))
+    small = equal = None
     while not large.isEmpty():
         # offsets lo..hi: windows that start that many bytes before the anchor; all contain [p - lo, p - hi + length)
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
@@ -270,13 +266,13 @@ def _small_groups(contexts: DataFrame, length: int, core: int, max_group: int) -
         halves = halves.withColumn("lo", F.col("half.lo")).withColumn("hi", F.col("half.hi")).drop("half")
         halves = halves.where(f"length(before) >= lo and length(after) >= {length} - hi")
         piece = F.expr(f"concat(substring(before, 1, lo), substring(after, 1, {length} - hi))")
-        halves = halves.withColumn("key", F.xxhash64(F.col("key"), F.col("lo"), F.col("hi"), piece))
-        halves = materialize(halves.withColumn("size", F.count("*").over(every)).where("size > 1"), "halves")
-        same = halves.where("lo = hi").select(F.format_string("%016x-whole", "key").alias("repeat"), "row", (F.col("p") - F.col("lo")).alias("start"), (F.col("p") - F.col("lo") + length).alias("end"))
-        equal = same if equal is None else equal.unionByName(same)
-        rest = halves.where("lo < hi")
-        small = small.unionByName(rest.where(F.col("size") <= max_group).select(small.columns))
-        large = rest.where(F.col("size") > max_group).drop("size")
+        halves = materialize(halves.withColumn("key", F.xxhash64(F.col("key"), F.col("lo"), F.col("hi"), piece)), "halves")
+        keys = _large_keys(halves.groupBy("key").agg(F.count("*").alias("k")), max_group)
+        part = halves.join(keys, "key", "left_anti").select(*_CONTEXT)
+        large = halves.join(keys, "key", "left_semi")
+        same = large.where("lo = hi").select("key", "g", "c", "row", "p", "lo")
+        large = large.where("lo < hi")
+        small, equal = (part, same) if small is None else (small.unionByName(part), equal.unionByName(same))
     return small, equal
 
 
@@ -284,20 +280,22 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_gr
     """(repeat, row, start, end) in bytes: every maximal group with all its occurrences.
 
     A repeat that is longer than the windows of one anchor comes as one group for each of its anchors; together
-    they cover it. docs: row (bigint, equal only for rows that are equal), text. Contexts found more than once, and
-    windows of split groups, are listed by their first anchor; cover leaves out the groups' names."""
-    found = find_anchors(docs, length, core).repartition("g")
-    by_context, by_anchor = Window.partitionBy("g", "c"), Window.partitionBy("g")
-    found = (
-        found.withColumn("n", F.sum(F.size("occ")).over(by_context))
-        .withColumn("differ", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
-        .where("n > 1 or differ")
-        .withColumn("one", F.row_number().over(by_context.orderBy(F.col("occ").getItem(0))) == 1)
-    )
-    found = materialize(found, "anchors")
-    whole = found.where("n > 1").select(F.format_string("%016x-%016x", "g", "c").alias("repeat"), F.explode("occ").alias("x")).select("repeat", "x.row", F.col("x.a").alias("start"), F.col("x.z").alias("end"))
-    contexts = found.where("one and differ").select(F.col("g").alias("key"), F.expr("inline(slice(occ, 1, 1))"))
-    contexts = contexts.groupBy("row").agg(F.collect_list(F.struct("key", "a", "z", "p")).alias("of"))
+    they cover it. Groups of anchors with more than max_group contexts are maximal among the contexts that share
+    the longer piece, or whole windows. docs: row (binary, equal only for rows that are equal), text. cover leaves
+    out the groups' names and gives each context once, from the least start to the greatest end of its groups."""
+    found = materialize(find_anchors(docs, length, core), "anchors")
+    again = found.groupBy("g").agg(F.sum(F.size("occ")).alias("n")).where("n > 1").select("g")
+    found = materialize(found.join(again, "g", "left_semi"), "shared")
+    per = found.groupBy("g", "c").agg(F.sum(F.size("occ")).alias("n"), F.min(F.col("occ").getItem(0)).alias("one"))
+    per = materialize(per, "contexts")
+    twice = per.where("n > 1").select("g", "c")
+    whole = found.join(twice, ["g", "c"], "left_semi").select(F.format_string("%016x-%016x", "g", "c").alias("repeat"), F.explode("occ").alias("x")).select("repeat", "x.row", F.col("x.a").alias("start"), F.col("x.z").alias("end"))
+    sizes = per.groupBy(F.col("g").alias("key")).agg(F.count("*").alias("k"))
+    keys = _large_keys(sizes, max_group)
+    keyed = per.select(F.col("g").alias("key"), "g", "c", "one.*")
+    small = keyed.join(keys, "key", "left_anti").join(sizes.where(F.col("k").between(2, max_group)), "key", "left_semi").withColumn("large", F.lit(False))
+    large = keyed.join(keys, "key", "left_semi").withColumn("large", F.lit(True))
+    contexts = small.unionByName(large).groupBy("row").agg(F.collect_list(F.struct("key", "g", "c", "large", "a", "z", "p")).alias("of"))
     joined = docs.select("row", "text").join(contexts, "row")
 
     def cut(batches):
@@ -305,28 +303,37 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_gr
             rows, texts = batch.column("row"), batch.column("text")
             for i in range(batch.num_rows):
                 data = texts[i].as_py().encode()
-                of = batch.column("of")[i].as_py()
+                of = batch.column("of")[i].values
+                a, p, z = (of.field(x).to_pylist() for x in ("a", "p", "z"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x["key"] for x in of], pa.int64()),
-                        pa.array([rows[i].as_py()] * len(of), pa.int64()),
-                        pa.array([x["p"] for x in of], pa.int32()),
-                        pa.array([data[x["a"] : x["p"]][::-1] for x in of], pa.binary()),
-                        pa.array([data[x["p"] : x["z"]] for x in of], pa.binary()),
+                        *(of.field(x) for x in ("key", "g", "c")),
+                        rows.take(pa.array(np.full(len(of), i))),
+                        of.field("p"),
+                        pa.array([data[x:y][::-1] for x, y in zip(a, p, strict=True)], pa.binary()),
+                        pa.array([data[y:x] for y, x in zip(p, z, strict=True)], pa.binary()),
+                        of.field("large"),
                     ],
-                    names=["key", "row", "p", "before", "after"],
+                    names=[*_CONTEXT, "large"],
                 )
 
-    cuts = joined.mapInArrow(cut, "key bigint, row bigint, p int, before binary, after binary")
-    small, equal = _small_groups(cuts, length, core, max_group)
-    out = whole.unionByName(context_repeats(small, length, cover))
-    return out if equal is None else out.unionByName(equal)
+    cuts = materialize(joined.mapInArrow(cut, "key bigint, g bigint, c bigint, row binary, p int, before binary, after binary, large boolean"), "cuts")
+    small, equal = _split_large(cuts.where("large"), length, core, max_group)
+    groups = cuts.where("not large").select(*_CONTEXT)
+    members = context_repeats(groups if small is None else groups.unionByName(small), length, cover)
+    if equal is not None:
+        own = equal.select(F.format_string("%016x-whole", "key").alias("repeat"), "g", "c", "row", "p", F.col("lo").alias("reach"), (F.lit(length) - F.col("lo")).alias("depth"))
+        members = members.unionByName(own)
+    if not cover:  # contexts stand for all their occurrences
+        every = found.select("g", "c", F.explode("occ").alias("x")).select("g", "c", "x.row", "x.p")
+        members = members.drop("row", "p").join(every, ["g", "c"])
+    return whole.unionByName(members.select("repeat", "row", (F.col("p") - F.col("reach")).alias("start"), (F.col("p") + F.col("depth")).alias("end")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_group: int = MAX_GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (byte ranges removed), kept_sha256: one row per row of docs."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("row", F.xxhash64("doc_id", "text"))
+    own = own.withColumn("row", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text"))))
     found = find_repeats(own, length, core, max_group, cover=True)
     spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("of"))
     joined = own.join(spans, "row", "left").select("doc_id", "text", "of")
