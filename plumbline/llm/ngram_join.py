@@ -14,8 +14,9 @@
    link counts and a spanning forest, never its pairs.
 
 Rows: null, empty and word-free texts have n_shingles 0, link with nothing and are their own
-component; repeated rows are rows of their own that link with each other; ties in the order are
-broken by the shingle's hash; other columns are ignored.
+component; repeated rows are rows of their own that link with each other; rows without a doc_id link
+by their texts like all others and give no component its id; ties in the order are broken by the
+shingle's hash; other columns are ignored. Shingles are told apart by 64 bits.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .store import materialize
 from .textbytes import LOWER, SPACE, mix, ragged, text_slices, word_hashes, word_spans
 
 WORDS = 5
+#: A class of equal sets: its 128-bit signature.
+CLASS = "struct<a:bigint,b:bigint>"
 #: Shingles that stand last in the global order; 1.6 MB for every task.
 MAX_FREQUENT = 200_000
 #: Percent of a set behind its prefix. Less than the threshold, so that a few common shingles do not make a pair.
@@ -73,12 +76,26 @@ def _signatures(bounds: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(mix(s[bounds[1:]] - s[bounds[:-1]] + n).view(np.int64) for s in (a, b))
 
 
+def _classes(a: np.ndarray, b: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of each different class (a, b), in the order of classes."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    return order[new]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, text, and what tells rows without a doc_id apart."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.withColumn("alike", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of kind 0: doc_id, set size and signature. Of kind 1: a shingle frequent in this task and its count."""
+    """Rows of kind 0: doc_id, alike, set size and class. Of kind 1: a shingle frequent in this task (alike) and its count."""
 
     def profile(batches):
         seen, held = [], 0
@@ -87,14 +104,14 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
             x, n = np.unique(np.concatenate(seen), return_counts=True)
             keep = n >= max(4, len(x) // MAX_FREQUENT)
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(n[keep].astype(np.int64)), pa.array(x[keep].view(np.int64)), pa.array(np.zeros(k, np.int64))], names=names)
+            none = np.zeros(k, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.array(x[keep].view(np.int64)), pa.array(n[keep].astype(np.int64)), _classes(none, none)], names=names)
 
-        names = ["kind", "doc_id", "n", "key", "key2"]
+        names = ["kind", "doc_id", "alike", "n", "cls"]
         for batch in batches:
             for lo, bounds, x in shingle_sets(batch.column("text"), words):
                 n = len(bounds) - 1
-                a, b = _signatures(bounds, x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), batch.column("doc_id").slice(lo, n), pa.array(np.diff(bounds)), pa.array(a), pa.array(b)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), *(batch.column(c).slice(lo, n) for c in ("doc_id", "alike")), pa.array(np.diff(bounds)), _classes(*_signatures(bounds, x))], names=names)
                 seen.append(x)
                 held += len(x)
                 if held > 2_000_000:
@@ -103,7 +120,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return _texts(docs).mapInArrow(profile, "kind tinyint, doc_id bigint, n bigint, key bigint, key2 bigint")
+    return _texts(docs).mapInArrow(profile, f"kind tinyint, doc_id bigint, alike bigint, n bigint, cls {CLASS}")
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: int) -> DataFrame:
@@ -112,11 +129,10 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: in
     def prefixes(batches):
         for batch in batches:
             for _, bounds, x in shingle_sets(batch.column("text"), words):
-                cls, _ = _signatures(bounds, x)
+                a, b = _signatures(bounds, x)
                 n = np.diff(bounds)
-                _, once = np.unique(cls, return_index=True)
                 chosen = np.zeros(len(n), bool)
-                chosen[once] = True
+                chosen[_once(a, b)] = True
                 chosen &= n > 0
                 row, _ = ragged(n)
                 weight = np.zeros(len(x), np.int64)
@@ -127,9 +143,9 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: in
                 _, at = ragged(n)
                 take = chosen[row] & (at < (n - (REST * n + 99) // 100 + 1)[row])
                 row, at, s = row[take], at[take], x[order][take]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(cls[row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["s", "cls", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), _classes(a[row], b[row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["s", "cls", "n", "pos"])
 
-    return _texts(docs).mapInArrow(prefixes, "s bigint, cls bigint, n int, pos int")
+    return _texts(docs).mapInArrow(prefixes, f"s bigint, cls {CLASS}, n int, pos int")
 
 
 def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +180,7 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     return pairs.union(long.select(F.col("y.cls").alias("a"), F.col("cls").alias("b"))).distinct()
 
 
-def _links(cls, n, sets, weight, percent, tile_a, tile_b):
+def _links(n, sets, weight, percent, tile_a, tile_b):
     """Links between two tiles (or within one): per class the number of linked documents, and a forest."""
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, columns, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -189,7 +205,7 @@ def _links(cls, n, sets, weight, percent, tile_a, tile_b):
         right[place_b[r[in_b]], c[in_b]] = 1
         overlap += left @ right.T
     linked = (100 + percent) * overlap.astype(np.int64) >= percent * (n[a][:, None] + n[b][None, :])
-    linked &= cls[a][:, None] != cls[b][None, :]
+    linked &= a[:, None] != b[None, :]
     same = len(a) == len(b) and (a == b).all()
     partners = np.zeros(len(sets), np.int64)
     partners[a] += linked @ weight[b]
@@ -213,30 +229,29 @@ def _multiply(blocks: DataFrame, words: int, percent: int) -> DataFrame:
     """(cls, other, partners): other is the class's tree neighbour in its tile pair, partners are linked documents."""
 
     def multiply(block: pa.Table) -> pa.Table:
-        cls, n, weight, tile = (block.column(c).to_numpy() for c in ("cls", "n", "weight", "tile"))
+        a, b, n, weight, tile = (block.column(c).to_numpy() for c in ("a", "b", "n", "weight", "tile"))
         got, sets = [], []
         for _, bounds, x in shingle_sets(block.column("text"), words):
-            got.append(_signatures(bounds, x)[0])
+            got.append(_signatures(bounds, x))
             sets += np.split(x, bounds[1:-1])
         # another row may carry the doc_id of a class, or the same row come twice
-        _, first = np.unique(cls, return_index=True)
-        if len(first) < len(cls) or (np.concatenate(got) != cls).any():
-            fits = np.flatnonzero(np.concatenate(got) == cls)
-            first = fits[np.unique(cls[fits], return_index=True)[1]]
-        cls, n, weight, tile, sets = cls[first], n[first].astype(np.int64), weight[first], tile[first], [sets[i] for i in first]
-        partners, label = _links(cls, n, sets, weight, percent, tile == block.column("ta")[0].as_py(), tile == block.column("tb")[0].as_py())
-        keep = partners > 0
-        return pa.table({"cls": cls[keep], "other": cls[label[keep]], "partners": partners[keep]})
+        fits = np.flatnonzero((np.concatenate([g for g, _ in got]) == a) & (np.concatenate([g for _, g in got]) == b))
+        first = fits[_once(a[fits], b[fits])]
+        a, b, n, weight, tile, sets = a[first], b[first], n[first].astype(np.int64), weight[first], tile[first], [sets[i] for i in first]
+        partners, label = _links(n, sets, weight, percent, tile == block.column("ta")[0].as_py(), tile == block.column("tb")[0].as_py())
+        keep, other = partners > 0, label[partners > 0]
+        return pa.table({"cls": _classes(a[keep], b[keep]), "other": _classes(a[other], b[other]), "partners": partners[keep]})
 
-    return blocks.groupBy("block", "ta", "tb").applyInArrow(multiply, "cls bigint, other bigint, partners bigint")
+    return blocks.groupBy("block", "ta", "tb").applyInArrow(multiply, f"cls {CLASS}, other {CLASS}, partners bigint")
 
 
 def link_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), n_links (documents linked with): one row per row of docs."""
     profile = materialize(_profile(docs, words), "profile")
-    sizes = profile.where("kind = 0").select("doc_id", "n", F.col("key").alias("cls"))
-    classes = materialize(sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.count("*").alias("weight")), "classes")
-    top = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()
+    sizes = profile.where("kind = 0").select("doc_id", "alike", "n", "cls")
+    classes = sizes.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("alike").alias("alike"), F.first("n").cast("int").alias("n"), F.count("*").alias("weight"))
+    classes = materialize(classes.withColumn("alike", F.when(F.col("rep").isNull(), F.col("alike")).otherwise(F.lit(0))), "classes")
+    top = profile.where("kind = 1").groupBy(F.col("alike").alias("key")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()
     frequent, rank = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(frequent)
     edges = _candidates(_prefixes(docs, frequent[order], rank[order], words), percent)
@@ -249,10 +264,10 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Da
     x, y = (span.select("block", F.col("tile").alias(t), F.col("lo").alias(f"lo_{t}"), F.col("hi").alias(f"hi_{t}")) for t in ("ta", "tb"))
     pairs = x.join(y, "block").where(f"ta <= tb and 100 * hi_ta >= {percent} * lo_tb").select("block", "ta", "tb")
     own = pairs.withColumn("tile", F.explode(F.array_distinct(F.array("ta", "tb"))))
-    wanted = sized.join(own, ["block", "tile"]).groupBy("rep", "cls", "n", "weight", "block", "tile").agg(F.collect_list(F.struct("ta", "tb")).alias("of"))
+    wanted = sized.join(own, ["block", "tile"]).groupBy("rep", "alike", "cls", "n", "weight", "block", "tile").agg(F.collect_list(F.struct("ta", "tb")).alias("of"))
     texts = _texts(docs)
-    named = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]))
-    blocks = named.select("cls", "n", "weight", "block", "tile", "text", F.expr("inline(of)"))
+    named = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]) & (texts["alike"] == wanted["alike"]))
+    blocks = named.select("cls.a", "cls.b", "n", "weight", "block", "tile", "text", F.expr("inline(of)"))
     found = materialize(_multiply(blocks, words, percent), "links")
     forest = found.where("cls != other").select(F.col("cls").alias("a"), F.col("other").alias("b"))
     root = connected_components(forest, "forest").select(F.col("node").alias("cls"), "root")
