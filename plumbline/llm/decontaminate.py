@@ -113,8 +113,10 @@ class Items:
                 if n[s + order[0]]:
                     picked.setdefault((k, int(order[0])), set()).add(int(order[min(1, size - 1)]))
         self.anchor = np.array([(k, a, b) for (k, a), bs in sorted(picked.items()) for b in sorted(bs)], np.int64).reshape(-1, 3)
-        rare = [np.argsort(n[s : s + m], kind="stable")[:3] for s, m in zip(self.start, self.length, strict=True)]
-        self.rarest = [self.flat[s + r] for s, r in zip(self.start, rare, strict=True)]
+        self.rarest = []  # of each item its three rarest different terms
+        for s, m in zip(self.start, self.length, strict=True):
+            own, at = np.unique(self.flat[s : s + m], return_index=True)
+            self.rarest.append(own[np.lexsort((at, n[s + at]))[:3]])
 
 
 def _lookup(items: Items, terms, bounds, where, total, window, slop):
