@@ -324,9 +324,9 @@ def fit(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Field | None:
 _SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
 
 
-def find(docs: DataFrame, field: Field | None) -> DataFrame:
-    """All columns of docs and spans (which replaces one of that name): base spans, and decoded ones that touch none of them."""
-    own = [c for c in docs.columns if c != "spans"]
+def find(docs: DataFrame, field: Field | None, name: str = "spans") -> DataFrame:
+    """All columns of docs and the spans under a name (which replaces a column of that name): base spans, and decoded ones that touch none of them."""
+    own = [c for c in docs.columns if c != name]
 
     def rows(batches):
         for batch in batches:
@@ -345,9 +345,9 @@ def find(docs: DataFrame, field: Field | None) -> DataFrame:
                         if all(z <= x or y <= a for x, k, _, y in found[d] if k < 3) and a < len(data):
                             found[d].append((a, 3, "crf", z))
                 spans = [[{"kind": k, "start": s, "end": e} for s, _, k, e in sorted(x)] for x in found]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, n) for c in own), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], names=[*own, "spans"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, n) for c in own), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))], names=[*own, name])
 
-    return docs.select(*own).mapInArrow(rows, docs.select(*own).schema.add("spans", _SPANS))
+    return docs.select(*own).mapInArrow(rows, docs.select(*own).schema.add(name, _SPANS))
 
 
 def _chunks(labels, start, end, text):
@@ -371,6 +371,9 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", line), ",").alias("spans"))
 
 
+_FOUND = "_found_spans"  # beside the caller's columns
+
+
 def redact(docs: DataFrame, field: Field | None, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of text replaced by mark; all columns stay."""
     own = docs.columns
@@ -378,7 +381,7 @@ def redact(docs: DataFrame, field: Field | None, mark: str = "[SECRET]") -> Data
     def rows(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column(_FOUND), strict=True):
                 text, out, at = text.as_py(), [], 0
                 for s in spans.as_py():
                     if s["end"] > at:
@@ -387,4 +390,4 @@ def redact(docs: DataFrame, field: Field | None, mark: str = "[SECRET]") -> Data
                 texts.append(text if text is None else "".join([*out, text[at:]]))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in own], names=own)
 
-    return find(docs, field).mapInArrow(rows, docs.schema)
+    return find(docs, field, _FOUND).mapInArrow(rows, docs.schema)

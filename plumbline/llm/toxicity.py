@@ -139,13 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     return Machine(kept, model.b, np.array(model.w), np.array(model.f).reshape(len(kept), factors))
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """All columns of docs and score (which replaces one of that name)."""
-    own = [c for c in docs.columns if c != "score"]
+def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """All columns of docs and the score under a name (which replaces a column of that name)."""
+    own = [c for c in docs.columns if c != name]
 
     def rows(batches):
         terms = machine.terms
-        slot = np.full(BUCKETS, -1, np.int16)
+        slot = np.full(BUCKETS, -1, np.int32)
         slot[terms] = np.arange(len(terms))
         for batch in batches:
             out = [np.zeros(0)]
@@ -153,9 +153,9 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 k = slot[term]
                 hit = k >= 0
                 out.append(machine.score(n, row[hit], k[hit].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(np.concatenate(out))], names=[*own, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(np.concatenate(out))], names=[*own, name])
 
-    return docs.select(*own).mapInArrow(rows, docs.select(*own).schema.add("score", "double"))
+    return docs.select(*own).mapInArrow(rows, docs.select(*own).schema.add(name, "double"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -48,9 +48,23 @@ def copies(seed=5):
 def test_ngram_join(spark, monkeypatch, short, tile):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     monkeypatch.setattr(ngram_join, "TILE_CLASSES", tile)
-    rows = copies() + [r for r in EDGE if r[0]]
+    rows = copies() + EDGE + [(None, t) for _, t in copies()[::9]] + [(None, "some other words of no id at all"), (None, None)]
     got = ngram_join.link_documents(frame(spark, rows)).collect()
-    assert sorted(map(tuple, got)) == sorted(brute.components(rows))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.components(rows)))
+
+
+def twins():
+    """Two words of 1,024 letters that are one to polynomial hashes modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_different_long_words_differ(spark):
+    a, b = twins()
+    rows = [(1, f"{a} two three four five"), (2, f"{b} two three four five"), (3, a[:64] + "x"), (4, a[:64] + "y")]
+    assert {r.n_links for r in ngram_join.link_documents(frame(spark, rows)).collect()} == {0}
+    found = decontaminate.find_contamination(frame(spark, rows), spark.createDataFrame([(1, a), (2, a[:64] + "x")], "item_id bigint, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {1: 1, 2: 0, 3: 1, 4: 0}
 
 
 def test_ngram_join_empty(spark):
@@ -72,15 +86,38 @@ def test_repeat_groups_list_all_occurrences(spark):
     rnd = random.Random(1)
     shared = "".join(rnd.choice("abcdefgh") for _ in range(260))
     rows = [(i, f"{i}{chr(97 + i) * 9}{shared}{chr(110 + i) * 9}{i}") for i in range(4)]
-    docs = spark.createDataFrame(rows, "row bigint, text string")
-    found = repeats.find_repeats(docs)
+    docs = spark.createDataFrame(rows, "row bigint, text string").withColumn("row", F.col("row").cast("string").cast("binary"))
+    found = repeats.find_repeats(docs).withColumn("row", F.col("row").cast("string").cast("bigint"))
     groups = found.groupBy("repeat").agg(F.collect_set("row").alias("rows"), F.collect_set(F.col("end") - F.col("start")).alias("n")).collect()
     assert any(len(g.rows) == 4 and len(g.n) == 1 and g.n[0] >= 200 for g in groups)
     reach = found.groupBy("row").agg(F.min("start").alias("a"), F.max("end").alias("z")).collect()
     assert {(r.a, r.z) for r in reach} == {(10, 270)}
+    alike = docs.withColumn("text", F.lit(shared[:205])).unionByName(docs.withColumn("text", F.lit("x" + shared[:204])))
+    groups = repeats.find_repeats(alike.withColumn("row", F.concat("row", F.left("text", F.lit(1)).cast("binary")))).groupBy("repeat").agg(F.countDistinct("row").alias("n"), F.countDistinct(F.col("end") - F.col("start")).alias("sizes"))
+    assert groups.where("n = 8 and sizes = 1").count()
     assert repeats.find_repeats(docs.limit(0)).count() == 0
 
 
+def test_maximal_repeats_like_brute_force():
+    """All groups of contexts that share bytes round the anchor and go on differently on either side."""
+    rnd = random.Random(9)
+    for _ in range(60):
+        left = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 6))).encode() for _ in range(rnd.randint(2, 9))]
+        right = ["".join(rnd.choice("ab") for _ in range(rnd.randint(2, 6))).encode() for _ in left]
+        want = set()
+        for i in range(len(left)):
+            for r in range(len(left[i]) + 1):
+                for d in range(len(right[i]) + 1):
+                    group = [k for k in range(len(left)) if left[k][:r] == left[i][:r] and len(left[k]) >= r and right[k][:d] == right[i][:d] and len(right[k]) >= d]
+                    more_left = len({left[k][: r + 1] for k in group}) == 1 and all(len(left[k]) > r for k in group)
+                    more_right = len({right[k][: d + 1] for k in group}) == 1 and all(len(right[k]) > d for k in group)
+                    if len(group) > 1 and r + d >= 4 and not more_left and not more_right:
+                        want.add((r, d, tuple(sorted(group))))
+        got = [(int(r), int(d), tuple(sorted(m.tolist()))) for r, d, m in repeats.maximal_repeats(left, right, 4)]
+        assert len(got) == len(set(got))
+        assert set(got) == want
+
+
 def test_intervals():
     lcp = np.array([0, 2, 3, 1, 0])
     assert sorted(repeats.intervals(lcp)) == [(0, 0, 4), (1, 0, 3), (2, 0, 2), (3, 1, 2)]
@@ -138,6 +175,9 @@ def test_proximity(spark):
     rows = [(1, "gamma x alpha y beta"), (2, "alpha " + "z " * 50 + "beta gamma"), (3, "alpha beta gamma")]
     got = {r.doc_id: (r.n_near, r.n_hit) for r in decontaminate.find_contamination(frame(spark, rows), items).collect()}
     assert got == {1: (1, 0), 2: (0, 0), 3: (1, 3)}
+    items = spark.createDataFrame([(1, "zeta zeta zeta eta theta")], "item_id bigint, text string")
+    rows = [(1, "zeta"), (2, "zeta zeta zeta"), (3, "theta zeta x eta")]
+    assert {r.doc_id: r.n_near for r in decontaminate.find_contamination(frame(spark, rows), items).collect()} == {1: 0, 2: 0, 3: 1}
 
 
 def test_tiff_codecs():
@@ -341,3 +381,27 @@ def test_pipeline(spark):
     out = p.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
     assert len(out) == len(rows)
     assert all(r.n_tokens == len(r.ids) for r in out)
+
+
+CLASHING = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, spans string, row bigint, ids string, contaminated boolean"
+
+
+@pytest.mark.parametrize("rows", [[], EDGE])
+def test_pipeline_stages_on_edge_rows(spark, rows):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), "kept", "kept", 1, "kept", None) for i, t in rows] + [(i, f"plain words number {i} and password=abc{i:05d}", None, "s", 1, "kept", "kept", 1, "kept", True) for i in range(100, 130 if rows else 100)], CLASHING)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        if name == "tokens":
+            assert out.count() == docs.count()
+            continue
+        assert out.columns == docs.columns
+        out = out.collect()
+        assert all(r.score == r.spans == r.ids == "kept" for r in out)
+        if name == "near_duplicates":
+            assert len(out) == (docs.count() and docs.count() - 1)  # 5 goes with the rows of 4, which share their doc_id and stay
+        else:
+            assert len(out) == docs.count()
+        if name == "secrets":
+            assert all("[SECRET]" in r.text for r in out if (r.doc_id or 0) >= 100)
