@@ -13,14 +13,17 @@ from plumbline.llm import bpe, decontaminate, ngram_join, secrets, toxicity
 from plumbline.llm.queries import vocabulary_path
 from plumbline.llm.store import bound_batches, materialize, table
 
+#: The stages' own column beside a caller's, whatever those are named.
+_MARK = "_pipeline_mark"
+
 
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the factorization machine scores at its threshold or above go."""
     bound_batches(spark)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
-    scored = toxicity.score(docs.withColumn("text", F.col("text").cast("string")), machine)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    scored = toxicity.score(docs.withColumn("text", F.col("text").cast("string")), machine, _MARK)
+    return scored.where(F.col(_MARK) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def keep_one_of_each_group(spark, docs, sf_dir):
