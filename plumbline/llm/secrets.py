@@ -2,10 +2,11 @@
 
 Tokens are runs of [A-Za-z0-9+/_.-] and non-ASCII bytes, or single other characters; white space parts
 them. Each is tagged as outside, begin or inside of a secret from its shape (length and kinds of
-characters), its mixture of digits and letters, the shapes and hashed words beside it, and features of its file (how much of it is digits
+characters), its mixture of digits and letters, how often the kind changes within it (random strings change
+often, words and numbers seldom), the shapes and hashed words beside it, and features of its file (how much of it is digits
 and assignment signs). The field is trained here, by the log likelihood, on windows of tokens round a
 bounded sample of distinct lines (`SAMPLE_LINES`; long lines in pieces) that the base patterns label, with
-features of the whole document as in decoding. Half of the windows hide words, a quarter shapes too. Viterbi decoding is exact: a token whose outside score
+features of the whole document as in decoding. Half of the windows hide what stands beside tokens, half their own shapes. Viterbi decoding is exact: a token whose outside score
 leads by more than any two transitions can make up is outside on every best path, so paths are
 computed for the runs between such tokens, all runs of a slice of texts at once.
 
@@ -53,20 +54,20 @@ _CLASS[0x30:0x3A, 0] = _CLASS[0x41:0x5B, 1] = _CLASS[0x61:0x7B, 2] = _CLASS[0x61
 _CLASS[:, 4] = ~_CLASS[:, :3].any(1)
 
 SHAPES = 6 * 16 + 1  # length range by kinds of characters; the last stands for no token
-#: Starts of the feature groups: own, previous and next shape, two words before, one after, file, own mixture (length range by digits among letters).
-GROUPS = np.cumsum([0, SHAPES, SHAPES, SHAPES, WORD_BUCKETS + 1, WORD_BUCKETS + 1, WORD_BUCKETS + 1, 16])
+#: Starts of the feature groups: own, previous and next shape, two words before, one after, file, own mixture (length range by
+#: digits among letters), own changes of kind (how many between digits, upper and lower letters, by length from 16).
+GROUPS = np.cumsum([0, SHAPES, SHAPES, SHAPES, WORD_BUCKETS + 1, WORD_BUCKETS + 1, WORD_BUCKETS + 1, 16, 12])
 N_FEATURES = int(GROUPS[-1]) + 12
 #: Groups that training hides in some windows, their sizes, and what stands for a hidden feature of each.
-HIDEABLE = {0: SHAPES - 1, 3: WORD_BUCKETS, 4: WORD_BUCKETS, 5: WORD_BUCKETS}
+HIDEABLE = {0: SHAPES - 1, 1: SHAPES, 2: SHAPES, 3: WORD_BUCKETS, 4: WORD_BUCKETS, 5: WORD_BUCKETS}
 HIDDEN = {g: N_FEATURES + k for k, g in enumerate(HIDEABLE)}
+#: Long tokens of four changes or more. Where the base patterns do not label them they may be secrets of other forms, so
+#: windows are cut there.
+_RANDOM = GROUPS[-1] + np.array([7, 9, 11])
 #: What the sample is drawn from: lines, long ones in pieces. The same in both languages.
 _PIECE, _PIECE_JAVA = re.compile("[^\n]{1,4000}"), "[^\n]{1,4000}"
 
 
-#: Buckets of tokens that are one sign.
-_SIGNS = word_hashes(np.arange(0x21, 0x7F, dtype=np.uint8), np.arange(94), np.arange(94) + 1)[_KIND[0x21:0x7F] == 2] % np.uint64(WORD_BUCKETS)
-
-
 def base_spans(text: str) -> list[tuple[int, int, str, int, int]]:
     """(start, order of kind, kind, end, start of the secret itself) by start, then kind."""
     out = []
@@ -98,6 +99,11 @@ def tokens(buf: np.ndarray, offsets: np.ndarray):
     letters = upper + lower
     form = (digits > 0) * 1 + (upper > 0) * 2 + (lower > 0) * 4 + ((other > 0) | ((letters == hexes) & (digits > 0) & (letters > 0) & (upper == 0))) * 8
     shape = band * 16 + form
+    changed = np.zeros(n + 1, np.int64)
+    kinds = _CLASS[buf, 0] + 2 * _CLASS[buf, 1] + 3 * _CLASS[buf, 2]
+    np.cumsum((kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0), out=changed[2:]) if n > 1 else None
+    changes = np.searchsorted([1, 2, 4, 7, 12], changed[end] - changed[np.minimum(start + 1, n)], side="right")
+    change = changes * 2 + (size >= 16)
     word = (word_hashes(LOWER[buf], start, end) % np.uint64(WORD_BUCKETS)).astype(np.int64) if n else np.zeros(0, np.int64)
 
     def moved(x, by, fill):
@@ -113,7 +119,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray):
     share = (np.diff(counts[0][offsets]) * 20 // np.maximum(1, np.diff(offsets))).clip(0, 3)
     file = share * 4 + (np.diff(signs) * 200 // np.maximum(1, np.diff(offsets))).clip(0, 3) if m else np.zeros(0, np.int64)
     none = SHAPES - 1
-    features = np.stack([shape, moved(shape, -1, none), moved(shape, 1, none), moved(word, -1, WORD_BUCKETS), moved(word, -2, WORD_BUCKETS), moved(word, 1, WORD_BUCKETS), file[text], band * 2 + ((digits > 0) & (letters > 0))], 1) + GROUPS
+    features = np.stack([shape, moved(shape, -1, none), moved(shape, 1, none), moved(word, -1, WORD_BUCKETS), moved(word, -2, WORD_BUCKETS), moved(word, 1, WORD_BUCKETS), file[text], band * 2 + ((digits > 0) & (letters > 0)), change], 1) + GROUPS
     return start, end, text, features
 
 
@@ -156,8 +162,38 @@ class Field:
         return labels
 
 
-def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: float = 0.2, decay: float = 1e-3) -> Field:
-    """Maximises the log likelihood of labelled lines (features, labels) by Adam; deterministic."""
+def minimise(loss, x: np.ndarray, steps: int, keep: int = 8) -> np.ndarray:
+    """L-BFGS with backtracking; loss gives value and gradient."""
+    value, grad = loss(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, alphas = -grad, []
+        for s, y in reversed(past):
+            alphas.append(s @ d / (s @ y))
+            d = d - alphas[-1] * y
+        d = d * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(grad).sum()))
+        for (s, y), a in zip(past, reversed(alphas), strict=True):
+            d = d + s * (a - y @ d / (s @ y))
+        slope, size = grad @ d, 1.0
+        for _ in range(20):
+            new, new_grad = loss(x + size * d)
+            if new <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            return x
+        s, y = size * d, new_grad - grad
+        if s @ y > 1e-12:
+            past = [*past[1 - keep :], (s, y)]
+        x, fell, value, grad = x + s, value - new, new, new_grad
+        if fell < 1e-6 * max(1.0, abs(value)):
+            return x
+    return x
+
+
+def likelihood(lines: list[tuple[np.ndarray, np.ndarray]], decay: float):
+    """The features in use, and a function from weights (features by labels, then label by next label) to the mean negative
+    log likelihood of labelled lines with its squared penalty, and the gradient."""
     n, width = len(lines), max(len(y) for _, y in lines)
     x = np.zeros((n, width, len(GROUPS)), np.int64)
     y = np.zeros((n, width), np.int64)
@@ -170,14 +206,13 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: flo
     np.add.at(gold_w, flat.ravel(), np.repeat(np.eye(3)[y[mask]], len(GROUPS), 0))
     both = mask[:, 1:]
     np.add.at(gold_m, (y[:, :-1][both], y[:, 1:][both]), 1)
-    w, m = np.zeros((len(used), 3)), np.zeros((3, 3))
-    params, mean, var = [w, m], [np.zeros_like(w), np.zeros_like(m)], [np.zeros_like(w), np.zeros_like(m)]
-
+    gold = np.concatenate([gold_w.ravel(), gold_m.ravel()])
     def lse(a, axis):
         top = a.max(axis, keepdims=True)
         return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
 
-    for t in range(1, steps + 1):
+    def loss(x_):
+        w, m = x_[:-9].reshape(-1, 3), x_[-9:].reshape(3, 3)
         e = np.zeros((n, width, 3))
         e[mask] = w[flat].sum(1)
         alpha, beta = np.zeros((n, width, 3)), np.zeros((n, width, 3))
@@ -190,16 +225,19 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int = 60, rate: flo
             beta[:, k] = np.where(on, lse(m + (e[:, k + 1] + beta[:, k + 1])[:, None, :], 2), 0)
         z = lse(alpha[:, -1], 1)
         p = np.exp(alpha + beta - z[:, None, None])
-        grad_w = np.zeros_like(w)
-        for lab in range(3):
-            grad_w[:, lab] = np.bincount(flat.ravel(), np.repeat(p[mask][:, lab], len(GROUPS)), len(used))
+        grad_w = np.stack([np.bincount(flat.ravel(), np.repeat(p[mask][:, lab], len(GROUPS)), len(used)) for lab in range(3)], 1)
         pair = np.exp(alpha[:, :-1, :, None] + m + (e + beta)[:, 1:, None, :] - z[:, None, None, None])
-        grad_m = pair[both].sum(0)
-        for i, (gold, got) in enumerate(((gold_w, grad_w), (gold_m, grad_m))):
-            g = (got - gold) / n + decay * params[i]
-            mean[i] = 0.9 * mean[i] + 0.1 * g
-            var[i] = 0.99 * var[i] + 0.01 * g * g
-            params[i] -= rate * mean[i] / (1 - 0.9**t) / (np.sqrt(var[i] / (1 - 0.99**t)) + 1e-8)
+        got = np.concatenate([grad_w.ravel(), pair[both].sum(0).ravel()])
+        return (z.sum() - gold @ x_) / n + decay / 2 * (x_ @ x_), (got - gold) / n + decay * x_
+
+    return used, loss
+
+
+def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int = 80, decay: float = 1e-5) -> Field:
+    """The field that maximises the penalised likelihood of labelled lines (features, labels); deterministic."""
+    used, loss = likelihood(lines, decay)
+    best = minimise(loss, np.zeros(3 * len(used) + 9), steps)
+    w, m = best[:-9].reshape(-1, 3), best[-9:].reshape(3, 3)
     full = np.zeros((N_FEATURES + len(HIDDEN), 3))
     full[used] = w
     known = np.isin(np.arange(N_FEATURES), used)
@@ -252,14 +290,21 @@ def _windows(text: str, picks: list[tuple[int, int]]):
                 yield h, features[a : a + LINE_TOKENS], labels[a : a + LINE_TOKENS]
 
 
+def _sure_parts(features: np.ndarray, labels: np.ndarray):
+    """What stands between the tokens of a window that look random but have no label."""
+    doubt = np.flatnonzero((labels == OUT) & np.isin(features[:, -1], _RANDOM))
+    for a, z in zip([0, *doubt + 1], [*doubt, len(labels)], strict=True):
+        if z > a:
+            yield features[a:z], labels[a:z]
+
+
 def _hide(features: np.ndarray, k: int) -> np.ndarray:
-    """In the second and fourth of every four windows the words beside each token (not signs) are hidden, in the fourth
-    its shape too, so that neighbours and mixture carry over to keys and shapes that training never saw."""
+    """In the second and fourth of every four windows the words and shapes beside each token are hidden, in the third and
+    fourth its shape, so that neighbours, mixture and changes carry over to keys and shapes that training never saw."""
     out = features.copy()
-    for g in (3, 4, 5) if k % 2 else ():
-        own = out[:, g] - GROUPS[g]
-        out[(own < WORD_BUCKETS) & ~np.isin(own, _SIGNS), g] = HIDDEN[g]
-    if k % 4 == 3:
+    for g in (1, 2, 3, 4, 5) if k % 2 else ():
+        out[:, g] = HIDDEN[g]
+    if k % 4 > 1:
         out[:, 0] = HIDDEN[0]
     return out
 
@@ -295,7 +340,8 @@ def training_windows(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> DataF
 
 
 def fit(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Field | None:
-    """Learns from training_windows; None if there is no match. Windows hide features as _hide says."""
+    """Learns from training_windows, without their random-looking tokens that have no label; None if there is no match.
+    Windows hide features as _hide says."""
     sample = training_windows(docs, sample_lines)
 
     def learn(batches):
@@ -304,8 +350,8 @@ def fit(docs: DataFrame, sample_lines: int = SAMPLE_LINES) -> Field | None:
             for h, x, y in zip(*(batch.column(c).to_pylist() for c in ("h", "x", "y")), strict=True):
                 rows.append((h, np.frombuffer(x, np.int32).reshape(-1, len(GROUPS)).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64)))
         rows.sort(key=lambda r: r[0])
-        hits = [(x, y) for _, x, y in rows if y.any()]
-        rest = [(x, y) for _, x, y in rows if not y.any()]
+        parts = [part for _, x, y in rows for part in _sure_parts(x, y)]
+        hits, rest = [(x, y) for x, y in parts if y.any()], [(x, y) for x, y in parts if not y.any()]
         turns = max(1, len(rest) // max(1, len(hits)))  # as many hits as others, in all ways of hiding
         rows = [(_hide(x, k + t), y) for part, n in ((hits, turns), (rest, 1)) for t in range(n) for k, (x, y) in enumerate(part)]
         if any(y.any() for _, y in rows):
