@@ -4,8 +4,9 @@ score = sigmoid(w0 + sum w_i x_i + sum <v_i, v_j> x_i x_j) over the terms presen
 of terms count beyond their single weights. Terms are the lower-cased words and the pairs of adjacent
 words, hashed. Training takes a bounded sample of labelled rows (`SAMPLE_ROWS`, chosen by a hash of
 doc_id, both classes alike); Spark counts terms in it and keeps the `FEATURES` that tell the classes
-apart best (chi-squared); one task fits the machine on the sample. Scoring runs over all rows, whole
-texts, with a model of fixed size.
+apart best (chi-squared). Among the `CANDIDATES` commonest terms, those join them of which a pair
+together tells the classes apart though its terms alone do not (`PAIRS` of them at most). One task fits the
+machine on the sample. Scoring runs over all rows, whole texts, with a model of fixed size.
 
 Rows: null and empty texts have no terms and score sigmoid(w0); repeated rows score alike; labels of
 unknown documents and null labels are ignored, a document with several labels takes the greatest; with no
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
 from .textbytes import LOWER, NOT_ALNUM, mix, ragged, text_slices, word_hashes, word_spans
 
 #: Most labelled rows that training sees, half of each class where there are as many.
@@ -30,6 +32,9 @@ SAMPLE_ROWS = 12_000
 FEATURES, FACTORS = 1024, 8
 #: Terms below this chi-squared value are noise.
 LEAST_CHI = 12.0
+#: Commonest terms of the sample whose pairs are tested, pairs that bring their terms into the model, and the least
+#: chi-squared value of a pair: above what the best of two million pairs of noise reaches.
+CANDIDATES, PAIRS, LEAST_PAIR_CHI = 2048, 128, 50.0
 #: Terms are hashed to this many values.
 BUCKETS = 1 << 22
 THRESHOLD = 0.7
@@ -74,7 +79,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int
     x = np.zeros((len(rows), n_terms), np.float32)
     for i, r in enumerate(rows):
         x[i, r] = 1
-    y = labels.astype(np.float32)
+    y = (labels > 0).astype(np.float32)
     share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
     params = [np.zeros(1, np.float32), np.zeros(n_terms, np.float32), np.random.default_rng(7).normal(0, 0.02, (n_terms, factors)).astype(np.float32)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -92,6 +97,30 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int
     return float(params[0][0]), params[1], params[2]
 
 
+def joint_terms(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, pairs: int = PAIRS, least: float = LEAST_PAIR_CHI) -> np.ndarray:
+    """Terms of the pairs whose presence together, or of one without the other, tells the classes apart by chi-squared,
+    twice as well as the better of both terms alone; the best pairs first, `pairs` at most."""
+    x = np.zeros((len(rows), n_terms), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    y = labels > 0
+    n, pos = len(y), int(y.sum())
+    both, hit = x.T @ x, x[y].T @ x[y]  # rows with both terms, toxic ones among them
+
+    def chi(df, toxic):
+        miss = toxic * (n - pos) - (df - toxic) * pos
+        return miss**2 * n / (np.maximum(df * (n - df), 1) * pos * max(1, n - pos))
+
+    df, toxic = np.diag(both).astype(np.float64), np.diag(hit).astype(np.float64)
+    alone = chi(df, toxic)
+    exclusive = chi(df[:, None] + df[None, :] - 2 * both, toxic[:, None] + toxic[None, :] - 2 * hit)
+    gain = np.maximum(chi(both.astype(np.float64), hit.astype(np.float64)), exclusive)
+    gain[(gain < least) | (gain < 2 * np.maximum(alone[:, None], alone[None, :]))] = 0
+    a, b = np.nonzero(np.triu(gain, 1))
+    best = np.lexsort((b, a, -gain[a, b]))[:pairs]
+    return np.unique(np.concatenate([a[best], b[best]]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, factors: int = FACTORS) -> Machine:
     """Learns from the labelled rows (doc_id, toxic) given."""
     own = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -109,34 +138,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
                 of = pa.ListArray.from_arrays(pa.array(bounds), pa.array((once % BUCKETS).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(lo, n), of], names=["toxic", "terms"])
 
-    from .store import materialize
-
     rows = materialize(known.mapInArrow(terms, "toxic int, terms array<int>"), "sample")
-    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.signum("toxic").cast("int")).alias("pos")).first()
     n, pos = total.n, total.pos or 0
     if not pos or pos == n:
         p = pos / n if n else 0.0
         return Machine(np.zeros(0, np.int64), float(np.log((p + 1e-9) / (1 - p + 1e-9))), np.zeros(0), np.zeros((0, factors)))
-    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit")).where("df >= 3")
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.signum("toxic").cast("int")).alias("hit")).where("df >= 3")
+    counts = materialize(counts, "terms")
     miss = F.col("hit") * (n - pos) - (F.col("df") - F.col("hit")) * pos
     chi = F.pow(miss.cast("double"), 2) / (F.col("df") * F.greatest(n - F.col("df"), F.lit(1)))
     best = counts.withColumn("chi", chi * n / (pos * (n - pos))).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(features)
-    kept = np.sort(np.array([r.term for r in best.collect()], np.int64))
+    chosen = np.sort(np.array([r.term for r in best.collect()], np.int64))
+    common = np.sort(np.array([r.term for r in counts.orderBy(F.desc("df"), "term").limit(CANDIDATES).collect()], np.int64))
 
     def learn(batches):
-        xs, ys = [], []
+        found, ys = [], []
         for batch in batches:
             ys += batch.column("toxic").to_pylist()
-            for of in batch.column("terms"):
-                t = of.values.to_numpy()
-                k = np.minimum(np.searchsorted(kept, t), max(0, len(kept) - 1))
-                xs.append(np.unique(k[kept[k] == t]) if len(kept) else np.zeros(0, np.int64))
-        if xs:
-            b, w, f = train(xs, np.array(ys), len(kept), factors)
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([f.ravel().tolist()], pa.list_(pa.float64()))], names=["b", "w", "f"])
-
-    model = rows.coalesce(1).mapInArrow(learn, "b double, w array<double>, f array<double>").first()
-    return Machine(kept, model.b, np.array(model.w), np.array(model.f).reshape(len(kept), factors))
+            found += [of.values.to_numpy() for of in batch.column("terms")]
+        if not found:
+            return
+        y = np.array(ys)
+
+        def places(terms):
+            return [np.flatnonzero(np.isin(terms, t, assume_unique=True)) for t in found]
+
+        kept = np.union1d(chosen, common[joint_terms(places(common), y, len(common))]) if len(common) else chosen
+        b, w, f = train(places(kept), y, len(kept), factors)
+        values = [pa.array([kept.tolist()], pa.list_(pa.int64())), pa.array([b]), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([f.ravel().tolist()], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(values, names=["terms", "b", "w", "f"])
+
+    model = rows.coalesce(1).mapInArrow(learn, "terms array<bigint>, b double, w array<double>, f array<double>").first()
+    return Machine(np.array(model.terms, np.int64), model.b, np.array(model.w), np.array(model.f).reshape(len(model.terms), factors))
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
