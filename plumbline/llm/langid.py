@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -69,10 +70,11 @@ class Model:
                         break
             counts.append(len(flat) - before)
         size = np.array(counts)
-        running = np.zeros((len(flat) + 1, len(self.langs)))
-        np.cumsum(self.table[np.array(flat, np.int64)], axis=0, out=running[1:])
-        end = np.cumsum(size)
-        return (running[end] - running[end - size]) / np.maximum(1, size)[:, None]
+        out = np.zeros((len(words), len(self.langs)))
+        some = np.flatnonzero(size)
+        if len(some):  # each word's own sum, so that the words beside it change no digit
+            out[some] = np.add.reduceat(self.table[np.array(flat, np.int64)], (np.cumsum(size) - size)[some], axis=0) / size[some][:, None]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.langs:
@@ -128,7 +130,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep: int = KEEP) -> Mo
     totals = {(r.lang, r.size): r.n for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({k[0] for k in totals})
     sums = counts.groupBy("size", "gram").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("per")).where("n >= 2")
-    best = sums.withColumn("k", F.row_number().over(Window.partitionBy("size").orderBy(F.desc("n"), "gram"))).where(F.col("k") <= keep)
+    sums = materialize(sums, "sums")
+    parts = [sums.where(F.col("size") == k).orderBy(F.desc("n"), "gram").limit(keep) for k in range(LONGEST + 1)]
+    best = reduce(DataFrame.unionByName, parts)
     words, grams = {}, {}
     for r in best.select("size", "gram", "per").collect():  # at most keep * (LONGEST + 1) rows
         v = np.array([np.log((r.per.get(x, 0) + 0.1) / (totals.get((x, r.size), 0) + 0.1 * keep)) for x in langs])
