@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import bpe, decontaminate, langid, licenses, media, ngram_join, quotes, repeats, secrets, toxicity
 from .store import table
 
@@ -35,8 +33,12 @@ def op7_media_tiff(spark, sf_dir):
 
 
 def op2_quotation_linking(spark, sf_dir):
-    rows = quotes.reply_order(table(spark, sf_dir, "conversations"))
-    return rows.select("conv_id", "turn", "role", "n_passages", "n_linked", "max_level", "reply_to", "thread", "position", F.sha2("body", 256).alias("body_sha256"))
+    return quotes.digest(table(spark, sf_dir, "conversations"))
+
+
+def quoting_replies(spark, sf_dir):
+    """Quotation linking where replies quote: the given conversations as mail clients would send them."""
+    return quotes.digest(quotes.quoting(table(spark, sf_dir, "conversations")))
 
 
 def op8_license_scan(spark, sf_dir):
@@ -55,5 +57,5 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op10_secret_scan": op10_secret_scan, "op1_toxicity": op1_toxicity, "op2_quotation_linking": op2_quotation_linking, "op8_license_scan": op8_license_scan, "op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
-SQL: dict[str, str] = {"op8_license_scan": licenses.scan_sql()}
+QUERIES = {"quoting_replies": quoting_replies, "op9_language_id": op9_language_id, "op10_secret_scan": op10_secret_scan, "op1_toxicity": op1_toxicity, "op2_quotation_linking": op2_quotation_linking, "op8_license_scan": op8_license_scan, "op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
+SQL: dict[str, str] = {"op2_quotation_linking": quotes.digest_sql(), "quoting_replies": quotes.digest_sql(quotes.QUOTING_SQL), "op8_license_scan": licenses.scan_sql()}
