@@ -33,8 +33,8 @@ FEATURES, FACTORS = 1024, 8
 #: Terms below this chi-squared value are noise.
 LEAST_CHI = 12.0
 #: Commonest terms of the sample whose pairs are tested, pairs that bring their terms into the model, and the least
-#: chi-squared value of a pair: above what the best of two million pairs of noise reaches.
-CANDIDATES, PAIRS, LEAST_PAIR_CHI = 2048, 128, 50.0
+#: chi-squared value of a pair: above what the best of half a million pairs of noise reaches.
+CANDIDATES, PAIRS, LEAST_PAIR_CHI = 1024, 128, 50.0
 #: Terms are hashed to this many values.
 BUCKETS = 1 << 22
 THRESHOLD = 0.7
@@ -100,12 +100,16 @@ def train(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int
 def joint_terms(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, pairs: int = PAIRS, least: float = LEAST_PAIR_CHI) -> np.ndarray:
     """Terms of the pairs whose presence together, or of one without the other, tells the classes apart by chi-squared,
     twice as well as the better of both terms alone; the best pairs first, `pairs` at most."""
-    x = np.zeros((len(rows), n_terms), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
     y = labels > 0
     n, pos = len(y), int(y.sum())
-    both, hit = x.T @ x, x[y].T @ x[y]  # rows with both terms, toxic ones among them
+    both, hit = np.zeros((n_terms, n_terms), np.float32), np.zeros((n_terms, n_terms), np.float32)
+    for lo in range(0, n, 500):  # rows with both terms, toxic ones among them
+        x = np.zeros((min(500, n - lo), n_terms), np.float32)
+        for i, r in enumerate(rows[lo : lo + 500]):
+            x[i, r] = 1
+        both += x.T @ x
+        x = x[y[lo : lo + 500]]
+        hit += x.T @ x
 
     def chi(df, toxic):
         miss = toxic * (n - pos) - (df - toxic) * pos
@@ -156,13 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
         found, ys = [], []
         for batch in batches:
             ys += batch.column("toxic").to_pylist()
-            found += [of.values.to_numpy() for of in batch.column("terms")]
+            found += [of.values.to_numpy().copy() for of in batch.column("terms")]
         if not found:
             return
         y = np.array(ys)
 
         def places(terms):
-            return [np.flatnonzero(np.isin(terms, t, assume_unique=True)) for t in found]
+            return [np.flatnonzero(np.isin(terms, t, assume_unique=True)).astype(np.int16) for t in found]
 
         kept = np.union1d(chosen, common[joint_terms(places(common), y, len(common))]) if len(common) else chosen
         b, w, f = train(places(kept), y, len(kept), factors)
