@@ -117,12 +117,16 @@ def joint_terms(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, pairs:
 
     df, toxic = np.diag(both).astype(np.float64), np.diag(hit).astype(np.float64)
     alone = chi(df, toxic)
-    exclusive = chi(df[:, None] + df[None, :] - 2 * both, toxic[:, None] + toxic[None, :] - 2 * hit)
-    gain = np.maximum(chi(both.astype(np.float64), hit.astype(np.float64)), exclusive)
-    gain[(gain < least) | (gain < 2 * np.maximum(alone[:, None], alone[None, :]))] = 0
-    a, b = np.nonzero(np.triu(gain, 1))
-    best = np.lexsort((b, a, -gain[a, b]))[:pairs]
-    return np.unique(np.concatenate([a[best], b[best]]))
+    found = []
+    for lo in range(0, n_terms, 64):
+        k = slice(lo, lo + 64)
+        exclusive = chi(df[k, None] + df[None, :] - 2 * both[k], toxic[k, None] + toxic[None, :] - 2 * hit[k])
+        gain = np.maximum(chi(both[k].astype(np.float64), hit[k].astype(np.float64)), exclusive)
+        a, b = np.nonzero((gain >= least) & (gain >= 2 * np.maximum(alone[k, None], alone[None, :])))
+        found.append(np.stack([gain[a, b], a + lo, b])[:, a + lo < b])
+    gain, a, b = np.concatenate(found, 1) if found else np.zeros((3, 0))
+    best = np.lexsort((b, a, -gain))[:pairs]
+    return np.unique(np.concatenate([a[best], b[best]])).astype(np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, factors: int = FACTORS) -> Machine:
@@ -156,17 +160,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     chosen = np.sort(np.array([r.term for r in best.collect()], np.int64))
     common = np.sort(np.array([r.term for r in counts.orderBy(F.desc("df"), "term").limit(CANDIDATES).collect()], np.int64))
 
+    pool = np.union1d(chosen, common)  # what any choice can keep; the other terms of a text are dropped as it is read
+
     def learn(batches):
         found, ys = [], []
         for batch in batches:
             ys += batch.column("toxic").to_pylist()
-            found += [of.values.to_numpy().copy() for of in batch.column("terms")]
+            found += [np.flatnonzero(np.isin(pool, of.values.to_numpy(), assume_unique=True)).astype(np.int16) for of in batch.column("terms")]
         if not found:
             return
         y = np.array(ys)
 
         def places(terms):
-            return [np.flatnonzero(np.isin(terms, t, assume_unique=True)).astype(np.int16) for t in found]
+            at = np.full(len(pool), -1, np.int16)
+            at[np.searchsorted(pool, terms)] = np.arange(len(terms))
+            return [k[k >= 0] for k in (at[f] for f in found)]
 
         kept = np.union1d(chosen, common[joint_terms(places(common), y, len(common))]) if len(common) else chosen
         b, w, f = train(places(kept), y, len(kept), factors)
