@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that each of the two halves of a worker's memory of words may take, and those that a word takes beside its letters and ids.
-MEMORY_BYTES, ENTRY_BYTES = 40_000_000, 200
+MEMORY_BYTES, ENTRY_BYTES = 24_000_000, 200
 #: Bytes up to which a word's pairs are scanned for the next merge; longer words go by a heap.
 SHORT_WORD = 64
 #: Characters of text whose words are encoded together.
