@@ -115,8 +115,8 @@ def _grade(seed: int) -> str:
 
 
 def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graded claims: every tenth report's claims with three graders' labels and confidences, and a person's."""
-    rows = claims(spark, sf_dir).where("report_id % 10 = 0")
+    """Graded claims: all claims with three graders' labels and confidences, and a person's."""
+    rows = claims(spark, sf_dir)
     for k in (11, 12, 13, 14):
         rows = rows.withColumn(f"v{k}", uniform(k, F.col("claim_id")))
     names = F.array(*map(F.lit, GRADES))
@@ -126,7 +126,7 @@ def workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("image_file", F.concat(F.lit("p"), F.col("patient_id").cast("string"), F.lit("_"), F.col("report_id").cast("string"), F.lit(".png")))
 
 
-WORKBOOK_SQL = "workbook AS (SELECT * REPLACE (CASE WHEN v14 < 0.95e0 THEN user_label END AS user_label) FROM (SELECT *, {g}, 'p' || patient_id::VARCHAR || '_' || report_id::VARCHAR || '.png' AS image_file FROM (SELECT *, {v} FROM claims WHERE report_id % 10 = 0)))".format(
+WORKBOOK_SQL = "workbook AS (SELECT * REPLACE (CASE WHEN v14 < 0.95e0 THEN user_label END AS user_label) FROM (SELECT *, {g}, 'p' || patient_id::VARCHAR || '_' || report_id::VARCHAR || '.png' AS image_file FROM (SELECT *, {v} FROM claims)))".format(
     v=", ".join(f"{uniform_sql(k, 'claim_id')} AS v{k}" for k in (11, 12, 13, 14)),
     g=", ".join(f"[{', '.join(repr(x) for x in GRADES)}][least({_grade(k)}, 4) + 1] AS {n}" for k, n in ((11, "grader_a_label"), (12, "grader_b_label"), (13, "grader_c_label"), (14, "user_label"))),
 )

@@ -29,8 +29,11 @@ def pick(options: list[str], u: Column) -> Column:
 
 
 def swap_first(text: Column, swaps: dict[str, str]) -> Column:
-    """The first of the listed words that stands in text is replaced, at its first place; null without one."""
-    return F.coalesce(*(F.when(has_word(text, a), replace_first(text, word(a), b)) for a, b in swaps.items()))
+    """The first of the listed words that stands in text is replaced, at its first place; null without one.
+
+    One pattern of all words decides whether any of them has to be tried."""
+    any_word = text.rlike("(?i)" + "|".join(map(word, swaps)))
+    return F.when(any_word, F.coalesce(*(F.when(has_word(text, a), replace_first(text, word(a), b)) for a, b in swaps.items())))
 
 
 def let(value: Column, f) -> Column:
@@ -219,7 +222,7 @@ def balanced_claims(rows: DataFrame, per_class: int, seed: int, kinds: tuple[str
 
     base = rows.where("label = 0")
     u = uniform(seed, F.lit("base"), F.col("claim_id"))
-    supported = base.withColumn("_k", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("claim_id"), F.lit(64))).orderBy(u, "claim_id"))).where(F.col("_k") <= per_class // 64 + 1).orderBy(u, "claim_id").limit(per_class)
+    supported = base.orderBy(u, "claim_id").limit(per_class)
     simple = [k for k in kinds if not k.startswith("compound")]
     pairs = [k for k in kinds if k.startswith("compound")]
     quota = {k: int(per_class * (1 - compound_share if pairs else 1) / max(1, len(simple))) for k in simple} | {k: int(per_class * compound_share / max(1, len(pairs))) for k in pairs}

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import uniform
+from .resample import poisson
 
 
-def pair_counts(ratings: DataFrame, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Coincidences: keys, c, k, o. Each unit with m codings of two and more gives n_c (n_k - [c = k]) / (m - 1), times its weight."""
+def pair_counts(ratings: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Coincidences: keys, c, k, o. Each unit with m codings of two and more gives n_c (n_k - [c = k]) / (m - 1)."""
     keys = keys or []
-    known = ratings.where(F.col("value").isNotNull())
-    counts = known.groupBy(*keys, "unit_id", "value").agg(F.count("*").alias("n"), F.first(weight).alias("w") if weight else F.lit(1.0).alias("w"))
-    unit = counts.withColumn("m", F.sum("n").over(Window.partitionBy(*keys, "unit_id"))).where("m > 1")
-    listed = unit.withColumn("all", F.collect_list(F.struct("value", "n")).over(Window.partitionBy(*keys, "unit_id")))
-    pairs = listed.select(*keys, F.col("value").alias("c"), "n", "m", "w", F.explode("all").alias("x"))
+    unit_keys = [*(k for k in keys if k != "unit_id"), "unit_id"]
+    counts = ratings.where(F.col("value").isNotNull()).groupBy(*unit_keys, "value").agg(F.count("*").alias("n"))
+    unit = counts.withColumn("m", F.sum("n").over(Window.partitionBy(*unit_keys))).where("m > 1")
+    listed = unit.withColumn("all", F.collect_list(F.struct("value", "n")).over(Window.partitionBy(*unit_keys)))
+    pairs = listed.select(*unit_keys, F.col("value").alias("c"), "n", "m", F.explode("all").alias("x"))
     same = F.when(F.col("c") == F.col("x.value"), 1).otherwise(0)
-    return pairs.groupBy(*keys, "c", F.col("x.value").alias("k")).agg(F.sum(F.col("w") * F.col("n") * (F.col("x.n") - same) / (F.col("m") - 1)).alias("o"))
+    return pairs.groupBy(*keys, "c", F.col("x.value").alias("k")).agg(F.sum(F.col("n") * (F.col("x.n") - same) / (F.col("m") - 1)).alias("o"))
 
 
 def distance(level: str, before: Column | None = None) -> Column:
@@ -53,17 +54,14 @@ def krippendorff(ratings: DataFrame, level: str = "nominal", keys: list[str] | N
 
 
 def bootstrap_alpha(ratings: DataFrame, level: str, replicates: int, seed: int, confidence: float = 0.95) -> DataFrame:
-    """low, high, std, n: units are drawn with replacement by seeded hashes; replicates in which all drawn agree count as 1.
-
-    Draws become weights of units, so ratings are never copied row by row."""
-    units = ratings.where(F.col("value").isNotNull()).select("unit_id").distinct()
-    order = Window.orderBy("unit_id")
-    numbered = units.withColumn("i", F.row_number().over(order) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    draws = numbered.select(F.col("i").alias("slot")).crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("i", F.least(F.floor(uniform(seed, F.col("rep").cast("string"), F.col("slot").cast("string")) * F.col("n")), F.col("n") - 1)).groupBy("rep", "i").agg(F.count("*").cast("double").alias("w"))
-    weighted = draws.join(numbered, "i").select("rep", "unit_id", "w").join(ratings, "unit_id")
-    alphas = alpha_of_pairs(pair_counts(weighted, ["rep"], "w"), level, ["rep"])
+    """low, high, std, n: units are drawn with replacement, by Poisson draws of a seeded hash; replicates in which all drawn agree count as 1.
+
+    The coincidences of each unit are found once; they are copied for each replicate and summed at once, before any shuffle."""
+    own = pair_counts(ratings, ["unit_id"])
+    copies = own.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    times = poisson(uniform(seed, F.col("rep").cast("string"), F.col("unit_id").cast("string")))
+    drawn = copies.groupBy("rep", "c", "k").agg(F.sum(F.col("o") * times).alias("o")).where("o > 0")
+    alphas = alpha_of_pairs(drawn, level, ["rep"])
     tail = (1 - confidence) / 2
     return alphas.agg(F.percentile("alpha", tail).alias("low"), F.percentile("alpha", 1 - tail).alias("high"), F.stddev_samp("alpha").alias("std"), F.count("alpha").alias("n"))
 

@@ -1,7 +1,7 @@
 """Conformal p-values, step-up selection and triage of scored claims.
 
-Nothing here sorts a whole table in one task: ranks within groups are windows by group, and global
-selection works on counts of distinct p-values.
+Nothing here sorts a whole table or a large group in one task: ranks are running sums over ranges of
+distinct values (ranks.running).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import uniform
 from ..functions import provenance as P
+from .ranks import running
 
 RARE = "Rare/Other"
 
@@ -29,24 +30,26 @@ def p_values(cal: DataFrame, test: DataFrame, group: str | None = None, score: s
     w = F.col(weight) if weight else F.lit(1.0)
     both = cal.select(g.alias("_g"), F.col(score).alias("_s"), w.alias("_w")).groupBy("_g", "_s").agg(F.sum("_w").alias("_w"))
     at = test.select(g.alias("_g"), F.col(score).alias("_s")).distinct().select("_g", "_s", F.lit(0.0).alias("_w"))
-    down = Window.partitionBy("_g").orderBy(F.desc("_s"))  # its frame is a range: ties count
-    ranked = both.unionByName(at).groupBy("_g", "_s").agg(F.sum("_w").alias("_w")).withColumn("_above", F.sum("_w").over(down)).withColumn("_all", F.sum("_w").over(Window.partitionBy("_g")))
-    table = ranked.select("_g", "_s", ((F.col("_above") + 1.0) / (F.col("_all") + 1.0)).alias("p"))
+    ranked = running(both.unionByName(at).groupBy("_g", "_s").agg(F.sum("_w").alias("w")), "_s", ["w"], ["_g"], descending=True)
+    table = ranked.select("_g", "_s", ((F.col("w_cum") + 1.0) / (F.col("w_all") + 1.0)).alias("p"))
     return test.withColumn("_g", g).withColumn("_s", F.col(score)).join(table, ["_g", "_s"], "left").withColumn("p", F.coalesce("p", F.lit(1.0))).drop("_g", "_s")
 
 
-def step_up(rows: DataFrame, alpha: float | Column, by: list[str] | None = None, p: str = "p") -> DataFrame:
+def step_up(rows: DataFrame, alpha: float | Column, by: list[str] | None = None, p: str = "p", small: bool = False) -> DataFrame:
     """Adds accepted: the largest k with p(k) <= k alpha / n sets the threshold, over all rows or within each value of by.
 
-    Works on counts of distinct p-values, of which there are few; the threshold goes back by a join on by."""
+    small: the values of by are many and their groups small, as reports are; else they are few and may be large."""
     by = by or []
     alpha = F.lit(alpha) if isinstance(alpha, (int, float)) else alpha
-    counts = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"), F.first(alpha).alias("_alpha"))
-    one = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("_cum", F.sum("_n").over(one.orderBy(p))).withColumn("_all", F.sum("_n").over(one))
-    passing = ranked.where(F.col(p) <= F.col("_cum") / F.col("_all") * F.col("_alpha"))
-    cut = passing.groupBy(*by).agg(F.max(p).alias("_cut"))
-    joined = rows.join(F.broadcast(cut), by, "left") if by else rows.join(F.broadcast(cut), F.lit(True), "left")
+    counts = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("n"), F.first(alpha).alias("_alpha"))
+    if small:
+        one = Window.partitionBy(*by)
+        ranked = counts.withColumn("n_cum", F.sum("n").over(one.orderBy(p))).withColumn("n_all", F.sum("n").over(one))
+    else:
+        ranked = running(counts, p, ["n"], by)
+    cut = ranked.where(F.col(p) <= F.col("n_cum") / F.col("n_all") * F.col("_alpha")).groupBy(*by).agg(F.max(p).alias("_cut"))
+    cut = cut if small else F.broadcast(cut)
+    joined = rows.join(cut, by, "left") if by else rows.join(cut, F.lit(True), "left")
     return joined.withColumn("accepted", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
@@ -99,10 +102,9 @@ def canonical(rows: DataFrame, is_cal: Column, alpha: float = 0.05, group: str =
 def sweep(rows: DataFrame, alphas: list[float], p: str = "p", null_label: int = 1) -> DataFrame:
     """Per alpha, with the same p-values: n_green, coverage, fdr, power. Rows are counted by p and label once."""
     counts = rows.groupBy(p).agg(F.count("*").alias("n"), F.count_if(F.col("label") == null_label).alias("bad"))
-    per = counts.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    w = Window.partitionBy("alpha")
-    per = per.withColumn("cum", F.sum("n").over(w.orderBy(p))).withColumn("total", F.sum("n").over(w))
-    per = per.withColumn("cut", F.max(F.when(F.col(p) <= F.col("cum") / F.col("total") * F.col("alpha"), F.col(p))).over(w))
+    ranked = running(counts, p, ["n"]).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    cuts = ranked.groupBy("alpha").agg(F.max(F.when(F.col(p) <= F.col("n_cum") / F.col("n_all") * F.col("alpha"), F.col(p))).alias("cut"))
+    per = counts.crossJoin(F.broadcast(cuts))  # one row for each alpha
     ok = F.coalesce(F.col(p) <= F.col("cut"), F.lit(False))
     agg = per.groupBy("alpha").agg(F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("n_green"), F.sum(F.when(ok, F.col("bad")).otherwise(0)).alias("false_green"), F.sum("n").alias("n"), F.sum("bad").alias("n_bad"))
     good = F.col("n") - F.col("n_bad")
@@ -111,7 +113,7 @@ def sweep(rows: DataFrame, alphas: list[float], p: str = "p", null_label: int =
 
 def report_triage(cal: DataFrame, test: DataFrame, alpha: float = 0.05, tau: float = 0.3) -> DataFrame:
     """Triage of each report by itself: p-values from the pooled contradicted scores, step-up within the report."""
-    rows = step_up(p_values(cal.where("label = 1"), test), alpha, ["report_id"])
+    rows = step_up(p_values(cal.where("label = 1"), test), alpha, ["report_id"], small=True)
     return rows.withColumn("triage", triage_label(F.col("accepted"), F.col("score"), F.lit(tau)))
 
 
@@ -121,11 +123,9 @@ def upper_quantiles(cal: DataFrame, group: str, level_alpha: float, least: int,
     Ranks come from counts by distinct score, so ties do not matter."""
 
     def pick(keys):
-        counts = cal.groupBy(*keys, score).agg(F.count("*").alias("_n"))
-        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        ranked = counts.withColumn("_cum", F.sum("_n").over(w.orderBy(score))).withColumn("_all", F.sum("_n").over(w))
-        level = F.least((F.col("_all") + 1) * F.lit(1 - level_alpha) / F.col("_all"), F.lit(1.0))
-        return ranked.where(F.col("_cum") >= F.ceil(level * (F.col("_all") - 1)) + 1).groupBy(*keys).agg(F.min(score).alias("q"), F.first("_all").alias("n_cal"))
+        ranked = running(cal.groupBy(*keys, score).agg(F.count("*").alias("n")), score, ["n"], keys)
+        level = F.least((F.col("n_all") + 1) * F.lit(1 - level_alpha) / F.col("n_all"), F.lit(1.0))
+        return ranked.where(F.col("n_cum") >= F.ceil(level * (F.col("n_all") - 1)) + 1).groupBy(*keys).agg(F.min(score).alias("q"), F.first("n_all").alias("n_cal"))
 
     return pick([group]).where(F.col("n_cal") >= least), pick([])
 
@@ -164,7 +164,6 @@ def temporal_shift(rows: DataFrame, early: str, late: str, alpha: float = 0.05,
 
 def split_by_patient(rows: DataFrame, fraction: float, seed: int, key: str = "patient_id") -> DataFrame:
     """Adds is_cal: true for the first round(n fraction) patients in seeded order. Only distinct patients are ranked."""
-    ids = rows.select(key).distinct().withColumn("_u", uniform(seed, F.col(key).cast("string")))
-    order = Window.partitionBy(F.lit(0)).orderBy("_u", key)
-    ranked = ids.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return rows.join(ranked.select(key, (F.col("_r") <= F.round(F.col("_n") * fraction)).alias("is_cal")), key)
+    ids = rows.select(key).distinct().withColumn("_u", uniform(seed, F.col(key).cast("string"))).withColumn("n", F.lit(1))
+    ranked = running(ids, "_u", ["n"], then=[key])
+    return rows.join(ranked.select(key, (F.col("n_cum") <= F.round(F.col("n_all") * fraction)).alias("is_cal")), key)

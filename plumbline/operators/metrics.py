@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(empty).cast("double"))
@@ -61,11 +63,10 @@ def ranking(rows: DataFrame, score: str, positive: Column, keys: list[str] | Non
     """auroc (Mann-Whitney, ties half) and average precision, exact, from counts by distinct score."""
     keys = keys or []
     counts = rows.groupBy(*keys, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    down = every.orderBy(F.desc(score))
-    ranked = counts.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).withColumn("all_pos", F.sum("pos").over(every)).withColumn("all_neg", F.sum("neg").over(every))
-    won = F.col("neg") * (F.col("tp") - F.col("pos") / 2)
-    agg = ranked.groupBy(*keys).agg(F.sum(won).alias("won"), F.sum(F.col("pos") / F.col("all_pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"), F.first("all_pos").alias("p"), F.first("all_neg").alias("q"))
+    ranked = running(counts, score, ["pos", "neg"], keys, descending=True)
+    won = F.col("neg") * (F.col("pos_cum") - F.col("pos") / 2)
+    precision = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
+    agg = ranked.groupBy(*keys).agg(F.sum(won).alias("won"), F.sum(F.col("pos") / F.col("pos_all") * precision).alias("average_precision"), F.first("pos_all").alias("p"), F.first("neg_all").alias("q"))
     return agg.select(*keys, (F.col("won") / (F.col("p") * F.col("q"))).alias("auroc"), "average_precision")
 
 

@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import uniform
 
+#: Distribution function of the Poisson law of mean 1, up to 12.
+POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
+
+
+def poisson(u: Column) -> Column:
+    """The draw of mean 1 that a uniform stands for: how often a cluster stands in a replicate of many."""
+    return reduce(lambda a, b: a + b, ((u >= c).cast("int") for c in POISSON))
+
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, parts: dict[str, Column], metric: Column, replicates: int, seed: int, confidence: float = 0.95) -> DataFrame:
     """mean, low, high, std of a measure of sums under drawing clusters with replacement.
 
-    parts: sums per cluster, by name; metric: an expression of them. Only one row per cluster is drawn
-    from, as often as there are replicates times clusters; rows themselves are never copied."""
+    parts: sums per cluster, by name; metric: an expression of them. Each cluster is in each replicate as often as
+    its own Poisson draw says, by a hash of both, so clusters need no numbers and no join; their sums are copied
+    for each replicate and summed at once, before any shuffle."""
     per = rows.groupBy(cluster).agg(*(F.sum(c).alias(n) for n, c in parts.items()))
-    numbered = per.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    n = numbered.agg(F.count("*").alias("n"))
-    draws = numbered.select(F.col("i").alias("slot")).crossJoin(F.broadcast(n)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draws = draws.withColumn("i", F.least(F.floor(uniform(seed, F.col("rep").cast("string"), F.col("slot").cast("string")) * F.col("n")), F.col("n") - 1)).groupBy("rep", "i").agg(F.count("*").alias("times"))
-    sums = draws.join(numbered, "i").groupBy("rep").agg(*(F.sum(F.col(p) * F.col("times")).alias(p) for p in parts))
+    draws = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = draws.withColumn("times", poisson(uniform(seed, F.col("rep").cast("string"), F.col(cluster).cast("string"))))
+    sums = draws.groupBy("rep").agg(*(F.sum(F.col(p) * F.col("times")).alias(p) for p in parts))
     tail = (1 - confidence) / 2
     return sums.select(metric.alias("m")).agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.stddev_samp("m").alias("std"))
 
 
-def permutation_test(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int) -> DataFrame:
+def permutation_test(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int, slots: int = 1000) -> DataFrame:
     """observed difference of means between group true and false, and p: share of relabelings whose difference is at least as large, without + 1."""
     sizes = rows.agg(F.count_if(group).alias("n_a"), F.count("*").alias("n"), F.sum(value).alias("total"), (F.avg(F.when(F.col(group), F.col(value))) - F.avg(F.when(~F.col(group), F.col(value)))).alias("observed"))
     copies = rows.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    order = Window.partitionBy("rep").orderBy(uniform(seed, F.col("rep").cast("string"), F.col(key).cast("string")), key)
-    drawn = copies.withColumn("k", F.row_number().over(order)).crossJoin(F.broadcast(sizes)).where("k <= n_a")
-    per = drawn.groupBy("rep").agg(F.sum(value).alias("a"), F.first("n_a").alias("n_a"), F.first("n").alias("n"), F.first("total").alias("total"), F.first("observed").alias("observed"))
+    copies = copies.withColumn("u", uniform(seed, F.col("rep").cast("string"), F.col(key).cast("string"))).withColumn("slot", F.floor(F.col("u") * slots))
+    # of each replicate the n_a rows of least hash are group a: whole slots of hashes, then some of the slot where n_a falls
+    by = Window.partitionBy("rep").orderBy("slot")
+    counts = copies.groupBy("rep", "slot").agg(F.count("*").alias("c"), F.sum(value).alias("s")).crossJoin(F.broadcast(sizes))
+    counts = counts.withColumn("upto", F.sum("c").over(by)).withColumn("below", F.sum("s").over(by))
+    whole = counts.where("upto <= n_a").groupBy("rep").agg(F.max("upto").alias("taken"), F.sum("s").alias("a"))
+    split = counts.where("upto > n_a and upto - c < n_a").select("rep", "slot", (F.col("n_a") - F.col("upto") + F.col("c")).alias("left"))
+    ranked = copies.join(F.broadcast(split), ["rep", "slot"]).withColumn("k", F.row_number().over(Window.partitionBy("rep").orderBy("u", key)))
+    some = ranked.where("k <= left").groupBy("rep").agg(F.sum(value).alias("a"))
+    per = whole.select("rep", "a").unionByName(some).groupBy("rep").agg(F.sum("a").alias("a")).crossJoin(F.broadcast(sizes))
     diff = F.col("a") / F.col("n_a") - (F.col("total") - F.col("a")) / (F.col("n") - F.col("n_a"))
     return per.agg(F.first("observed").alias("observed"), F.avg((F.abs(diff) >= F.abs("observed")).cast("double")).alias("p"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import uniform
+from .ranks import running
 
 
 def best_of_n(candidates: DataFrame, tau: float = 0.85) -> DataFrame:
@@ -87,8 +88,7 @@ def density_ratio(cal: DataFrame, test: DataFrame, vector: str = "vector", parts
 def two_sample_ks(rows: DataFrame, value: str, is_test: str) -> DataFrame:
     """statistic, p: largest difference of the two distribution functions, from counts by distinct value; p by the asymptotic series."""
     counts = rows.groupBy(F.round(value, 9).alias("x")).agg(F.count_if(~F.col(is_test)).alias("a"), F.count_if(F.col(is_test)).alias("b"))
-    every = Window.partitionBy(F.lit(0))
-    cum = counts.withColumn("ca", F.sum("a").over(every.orderBy("x")) / F.sum("a").over(every)).withColumn("cb", F.sum("b").over(every.orderBy("x")) / F.sum("b").over(every))
+    cum = running(counts, "x", ["a", "b"]).withColumn("ca", F.col("a_cum") / F.col("a_all")).withColumn("cb", F.col("b_cum") / F.col("b_all"))
     s = cum.agg(F.max(F.abs(F.col("ca") - F.col("cb"))).alias("statistic"), F.sum("a").alias("n"), F.sum("b").alias("m"))
     e = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     lam = (e + 0.12 + 0.11 / e) * F.col("statistic")

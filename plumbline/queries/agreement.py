@@ -52,8 +52,8 @@ def c27(spark, sf):
 
 
 _REP, _SEED = 40, 3
-_DRAW = ", nb AS (SELECT *, row_number() OVER (ORDER BY {id}) - 1 AS i, count(*) OVER () AS n FROM {src}), dr AS (SELECT rep, least(floor({u} * n), n - 1) AS i, count(*) AS times FROM (SELECT i AS slot, n FROM nb), (SELECT unnest(range({r})) AS rep) GROUP BY 1, 2)"
-_B02 = ", us AS (SELECT DISTINCT unit_id FROM ratings)" + _DRAW.format(id="unit_id", src="us", u=uniform_sql(_SEED, "rep::VARCHAR", "slot::VARCHAR"), r=_REP) + f""", cn AS (SELECT rep, unit_id, value, count(*) AS n, max(times) AS w FROM dr JOIN nb USING (i) JOIN ratings USING (unit_id) GROUP BY 1, 2, 3), un AS (SELECT *, sum(n) OVER (PARTITION BY rep, unit_id) AS m FROM cn),
+_DRAW = ", dr AS (SELECT *, " + " + ".join(f"(u >= {c!r}e0)::INT" for c in R.POISSON) + " AS times FROM (SELECT *, {u} AS u FROM {src}, (SELECT unnest(range({r})) AS rep)))"
+_B02 = ", us AS (SELECT DISTINCT unit_id FROM ratings)" + _DRAW.format(src="us", u=uniform_sql(_SEED, "rep::VARCHAR", "unit_id::VARCHAR"), r=_REP) + f""", cn AS (SELECT rep, unit_id, value, count(*) AS n, max(times) AS w FROM dr JOIN ratings USING (unit_id) WHERE times > 0 GROUP BY 1, 2, 3), un AS (SELECT *, sum(n) OVER (PARTITION BY rep, unit_id) AS m FROM cn),
 pr AS (SELECT a.rep, a.value AS c, b.value AS k, sum(a.w * a.n * (b.n - (a.value = b.value)::INT) / (a.m - 1)) AS o FROM un a JOIN un b ON a.unit_id = b.unit_id AND a.rep = b.rep WHERE a.m > 1 GROUP BY ALL),
 mg AS (SELECT *, sum(n_c) OVER (PARTITION BY rep) AS total FROM (SELECT rep, c, sum(o) AS n_c FROM pr GROUP BY 1, 2)),
 gd AS (SELECT mg.rep, mg.c, b.c AS k, mg.n_c, b.n_c AS n_k, mg.total, pr.o FROM mg JOIN mg b ON mg.rep = b.rep LEFT JOIN pr ON pr.rep = mg.rep AND pr.c = mg.c AND pr.k = b.c),
@@ -67,7 +67,7 @@ def b02(spark, sf):
     return out.select(*(F.round(c, 9).alias(c) for c in ("low", "high", "std")), "n")
 
 
-_B01 = ", pc AS (SELECT patient_id, count(*) FILTER (score >= 0.5e0) AS g, count(*) FILTER (score >= 0.5e0 AND label = 1) AS f FROM claims GROUP BY 1)" + _DRAW.format(id="patient_id", src="pc", u=uniform_sql(_SEED, "rep::VARCHAR", "slot::VARCHAR"), r=_REP) + ", rp AS (SELECT rep, sum(f * times) / sum(g * times) AS m FROM dr JOIN nb USING (i) GROUP BY 1) SELECT round(avg(m), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(stddev_samp(m), 9) AS std FROM rp"
+_B01 = ", pc AS (SELECT patient_id, count(*) FILTER (score >= 0.5e0) AS g, count(*) FILTER (score >= 0.5e0 AND label = 1) AS f FROM claims GROUP BY 1)" + _DRAW.format(src="pc", u=uniform_sql(_SEED, "rep::VARCHAR", "patient_id::VARCHAR"), r=_REP) + ", rp AS (SELECT rep, sum(f * times) / sum(g * times) AS m FROM dr GROUP BY 1) SELECT round(avg(m), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, round(stddev_samp(m), 9) AS std FROM rp"
 
 
 @query("B01_cluster_bootstrap", _B01, "claims")

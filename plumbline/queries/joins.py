@@ -1,9 +1,7 @@
 """Joins and retrieval: J01 to J16, J18, J19, A28, S02."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-
 from ..fixtures import claims, passages, table, uniform_sql, workbook
 from ..functions import text as T
 from ..operators import joins as J
@@ -143,18 +141,16 @@ def j13(spark, sf):
     return R.near_duplicates(docs.where("id % 5 = 0"), docs.where("id % 5 <> 0"), T.alnum_tokens)
 
 
-_LISTS = _DENSE + f", l2 AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY {uniform_sql(4, 'query_id::VARCHAR', 'passage_id::VARCHAR')}, passage_id) AS rank FROM dn), un AS (SELECT query_id, 1 AS list_no, rank, passage_id FROM dk WHERE rank <= 10 UNION ALL SELECT query_id, 2, rank, passage_id FROM l2 WHERE rank <= 10), fu AS (SELECT query_id, passage_id AS doc_id, round(sum(1e0 / (60 + rank)), 12) AS score, min({{'l': list_no, 'r': rank}}) AS first FROM un GROUP BY 1, 2), fr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rank FROM fu)"
+_HALF = "list_dot_product(a.v[:16], b.v[:16]) / (sqrt(list_dot_product(a.v[:16], a.v[:16])) * sqrt(list_dot_product(b.v[:16], b.v[:16])))"
+_LISTS = _DENSE + f", l2 AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM (SELECT a.id AS query_id, b.id AS passage_id, round({_HALF}, 9) AS score FROM e a, e b WHERE a.id % 10 = 0)), un AS (SELECT query_id, 1 AS list_no, rank, passage_id FROM dk WHERE rank <= 10 UNION ALL SELECT query_id, 2, rank, passage_id FROM l2 WHERE rank <= 10), fu AS (SELECT query_id, passage_id AS doc_id, round(sum(1e0 / (60 + rank)), 12) AS score, min({{'l': list_no, 'r': rank}}) AS first FROM un GROUP BY 1, 2), fr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rank FROM fu)"
 
 
 def _lists(spark, sf):
-    from ..fixtures import uniform
-
+    """Two rankings: by whole vectors, and by their first sixteen dimensions."""
     rows = _vectors(spark, sf)
-    first = R.dense(rows, rows.where("id % 10 = 0"), 10).select("query_id", F.lit(1).alias("list_no"), "rank", F.col("passage_id").alias("doc_id"))
-    pairs = rows.where("id % 10 = 0").select(F.col("id").alias("query_id")).crossJoin(F.broadcast(rows.select(F.col("id").alias("doc_id"))))
-    order = Window.partitionBy("query_id").orderBy(uniform(4, F.col("query_id").cast("string"), F.col("doc_id").cast("string")), "doc_id")
-    second = pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", F.lit(2).alias("list_no"), "rank", "doc_id")
-    return first.unionByName(second)
+    both = (rows, rows.withColumn("vector", F.slice("vector", 1, 16)))
+    lists = [R.dense(v, v.where("id % 10 = 0"), 10).select("query_id", F.lit(i).alias("list_no"), "rank", F.col("passage_id").alias("doc_id")) for i, v in enumerate(both, 1)]
+    return lists[0].unionByName(lists[1])
 
 
 @query("J14_rank_fusion", _LISTS + " SELECT * FROM fr WHERE rank <= 10")

@@ -99,7 +99,12 @@ def h17(spark, sf):
     return H.preference_pairs(rows)
 
 
-@query("H18_insufficient_claims")
+_ABSENT = "list_filter([" + ", ".join(q(x) for x in V.SIDED) + "], lambda f: NOT contains(lower(claim), f))"
+_SIDE_OF = f"CASE WHEN {uniform_sql(40, 'claim_id')} < 0.5e0 THEN 'left' ELSE 'right' END"
+_H18 = f", x AS (SELECT *, {_ABSENT} AS free, {_SIDE_OF} AS side FROM claims), y AS (SELECT *, free[least(floor({uniform_sql(39, 'claim_id')} * len(free)), len(free) - 1)::INT + 1] AS f FROM x) SELECT claim_id, CASE WHEN {uniform_sql(41, 'claim_id')} < 0.5e0 THEN 'There is a ' || side || ' ' || f || '.' ELSE upper(side[1]) || side[2:] || '-sided ' || f || ' is present.' END AS claim, 2 AS label FROM y WHERE f IS NOT NULL"
+
+
+@query("H18_insufficient_claims", _H18, "claims")
 def h18(spark, sf):
     return H.insufficient_claims(claims(spark, sf), 39)
 

@@ -1,5 +1,8 @@
 """Sources, sinks and whole pipelines: S01, S03 to S09, S11, S13, A32, A35, U01 to U06."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -7,9 +10,10 @@ from ..fixtures import claims, ratings, reports, table, workbook
 from ..functions import text as T
 from ..operators import agreement as G
 from ..sources import tables as S
+from .agreement import _alpha
 from .metrics import _WB, voted
 from .registry import query
-from .texts import _FLAGS
+from .texts import _CLAIMS_OF, _FLAGS
 
 
 @query("S01_metadata", "SELECT c_custkey AS study_id, 'p' || c_custkey::VARCHAR || '/s1/v.jpg' AS path, c_mktsegment AS sex, 'p' || c_custkey::VARCHAR AS patient_id FROM customer")
@@ -27,12 +31,12 @@ def s03(spark, sf):
     return a.unionByName(S.adapt_schema(rows.select(F.col("patient_id").alias("deid_patient_id"), F.col("text").alias("section_findings"), F.col("sex").alias("section_impression"))))
 
 
-@query("S04_xml_reports", "SELECT report_id::VARCHAR AS uid, replace(text, 'chest', 'redacted') AS findings, len(list_distinct(string_split(sex, '/')))::INT AS n_terms FROM reports WHERE report_id % 3 = 2", "reports")
+@query("S04_xml_reports", "SELECT report_id::VARCHAR AS uid, replace(replace(text, 'chest', 'redacted'), chr(10), ' ') AS findings, len(list_distinct(string_split(sex, '/')))::INT AS n_terms FROM reports", "reports")
 def s04(spark, sf):
     path = S.scratch(spark)
-    body = F.regexp_replace("text", "chest", "XXXX")
+    body = F.translate(F.regexp_replace("text", "chest", "XXXX"), "\n", " ")
     xml = F.concat(F.lit('<eCitation><uId id="'), F.col("report_id").cast("string"), F.lit('"/><MedlineCitation><Article><Abstract><AbstractText Label="FINDINGS">'), body, F.lit("</AbstractText></Abstract></Article></MedlineCitation><MeSH><major>"), F.col("sex"), F.lit("/x</major></MeSH></eCitation>"))
-    reports(spark, sf).where("report_id % 3 = 2").select(xml.alias("value")).write.text(path)
+    reports(spark, sf).select(xml.alias("value")).write.text(path)
     return S.read_xml_reports(spark, path, False).select("uid", "findings", F.size("terms").alias("n_terms"))
 
 
@@ -46,10 +50,10 @@ def s05(spark, sf):
     return S.term_labels(rows, F.split("terms", ";"), _MAP, _NAMES)
 
 
-@query("S06_nested_annotations", "SELECT CASE WHEN line % 2 = 0 THEN 'OBS-DP' ELSE 'ANAT-DP' END AS label, count(*) AS n FROM claims WHERE report_id % 20 = 0 GROUP BY 1", "claims")
+@query("S06_nested_annotations", "SELECT CASE WHEN line % 2 = 0 THEN 'OBS-DP' ELSE 'ANAT-DP' END AS label, count(*) AS n FROM claims GROUP BY 1", "claims")
 def s06(spark, sf):
     path = S.scratch(spark)
-    rows = claims(spark, sf).where("report_id % 20 = 0")
+    rows = claims(spark, sf)
     entity = F.struct(F.col("finding").alias("tokens"), F.when(F.col("line") % 2 == 0, "OBS-DP").otherwise("ANAT-DP").alias("label"), F.lit(0).alias("start_ix"), F.lit(1).alias("end_ix"), F.array(F.array(F.lit("located_at"), F.lit("1"))).alias("relations"))
     doc = rows.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("claim_id"), entity))).alias("entities"))
     doc.select(F.to_json(F.create_map(F.col("report_id").cast("string"), F.struct("entities"))).alias("value")).repartition("value").write.option("lineSep", "\n").text(path)
@@ -57,19 +61,19 @@ def s06(spark, sf):
     return lines.select(F.explode("r.entities").alias("id", "e")).groupBy("e.label").agg(F.count("*").alias("n"))
 
 
-@query("S07_scored_claims", "SELECT count(*) AS n, round(sum(score), 6) AS total FROM claims WHERE report_id % 50 = 0", "claims")
+@query("S07_scored_claims", "SELECT count(*) AS n, round(sum(score), 6) AS total FROM claims", "claims")
 def s07(spark, sf):
     path = S.scratch(spark)
-    part = claims(spark, sf).where("report_id % 50 = 0").select("report_id", "claim", "pathology", F.col("patient_id").cast("string").alias("patient_id"), "label", "score")
+    part = claims(spark, sf).select("report_id", "claim", "pathology", F.col("patient_id").cast("string").alias("patient_id"), "label", "score")
     by = part.groupBy("report_id").agg(F.collect_list(F.struct("claim", "pathology", "patient_id", "label", "score")).alias("claims"))
     by.select(F.to_json(F.struct("claims")).alias("value")).repartition("value").write.text(path)
     return S.read_scored_claims(spark, path, False).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
-@query("S08_report_formats", "SELECT text FROM reports WHERE report_id % 2 = 0", "reports")
+@query("S08_report_formats", "SELECT text FROM reports", "reports")
 def s08(spark, sf):
     path = S.scratch(spark) + ".jsonl"
-    reports(spark, sf).where("report_id % 2 = 0").select(F.col("text").alias("report")).write.json(path)
+    reports(spark, sf).select(F.col("text").alias("report")).write.json(path)
     return S.read_reports(spark, path)
 
 
@@ -94,7 +98,15 @@ def s13(spark, sf):
     return spark.read.parquet(second).groupBy("run").agg(F.count("*").alias("n"))
 
 
-@query("A32_extraction_fidelity")
+_GRAMS = " UNION ALL ".join(f"SELECT report_id, {n} AS n, '{s}' AS side, unnest(list_transform(range(1, len({s}) - {n - 2}), lambda i: array_to_string(list_slice({s}, i, i + {n - 1}), ' '))) AS g FROM w WHERE len({s}) >= {n}" for n in (1, 2, 3, 4) for s in ("ref", "hyp"))
+_A32 = (
+    f"{_CLAIMS_OF}, w AS (SELECT report_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ref, list_filter(string_split_regex(lower(array_to_string(a, ' ')), '[^a-z0-9]+'), lambda x: x <> '') AS hyp, len(a) AS n_claims FROM c), "
+    f"gr AS ({_GRAMS}), cn AS (SELECT report_id, n, g, count(*) FILTER (side = 'hyp') AS h, count(*) FILTER (side = 'ref') AS r FROM gr GROUP BY ALL), pr AS (SELECT n, sum(least(h, r)) / sum(h) AS p FROM cn GROUP BY n), "
+    "sz AS (SELECT sum(len(hyp)) AS h, sum(len(ref)) AS r, avg(n_claims) AS mean_claims FROM w) SELECT round(exp((SELECT avg(ln(p)) FROM pr)) * least(1.0, exp(1 - r / h)), 9) AS bleu, round(mean_claims, 9) AS mean_claims FROM sz"
+)
+
+
+@query("A32_extraction_fidelity", _A32, "reports")
 def a32(spark, sf):
     """Corpus BLEU-4 of the joined claims against their report, and mean claims per report."""
     rows = reports(spark, sf).select("report_id", T.alnum_tokens(F.col("text")).alias("ref"), T.claims_of(F.col("text")).alias("c"))
@@ -108,7 +120,7 @@ def a32(spark, sf):
     precision = counts.groupBy("n").agg((F.sum(F.least("h", "r")) / F.sum("h")).alias("p"))
     sizes = rows.agg(F.sum(F.size("hyp")).alias("h"), F.sum(F.size("ref")).alias("r"), F.avg("n_claims").alias("mean_claims"))
     score = precision.agg(F.exp(F.avg(F.when(F.col("p") > 0, F.log("p")).otherwise(float("-inf")))).alias("g"))
-    return score.crossJoin(F.broadcast(sizes)).select((F.col("g") * F.least(F.lit(1.0), F.exp(1 - F.col("r") / F.col("h")))).alias("bleu"), "mean_claims")
+    return score.crossJoin(F.broadcast(sizes)).select(F.round(F.col("g") * F.least(F.lit(1.0), F.exp(1 - F.col("r") / F.col("h"))), 9).alias("bleu"), F.round("mean_claims", 9).alias("mean_claims"))
 
 
 @query("A35_silver_compile", _WB + " SELECT majority, count(*) AS n, round(avg(score), 9) AS mean_score, sum((len(" + _FLAGS + ") > 0)::INT)::BIGINT AS n_flagged FROM m GROUP BY 1", "workbook")
@@ -117,16 +129,17 @@ def a35(spark, sf):
     return rows.groupBy("majority").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"), F.count_if(F.size("flags") > 0).alias("n_flagged"))
 
 
-@query("U02_extractors", "SELECT 'claims' AS extractor, count(*) AS n FROM reports", "reports")
+@query("U02_extractors", _CLAIMS_OF + " SELECT 'claims' AS extractor, count(*) AS n, sum(len(a))::BIGINT AS n_claims, sum(list_sum(list_transform(a, lambda x: length(x))))::BIGINT AS n_letters FROM c GROUP BY 1", "reports")
 def u02(spark, sf):
     hooks = {"claims": T.claims_of}
-    rows = reports(spark, sf)
-    return rows.select(F.lit("claims").alias("extractor"), hooks["claims"](F.col("text")).alias("c")).groupBy("extractor").agg(F.count("c").alias("n"))
+    out = [reports(spark, sf).select(F.lit(name).alias("extractor"), hook(F.col("text")).alias("c")) for name, hook in hooks.items()]
+    letters = F.aggregate("c", F.lit(0), lambda a, x: a + F.length(x))
+    return reduce(DataFrame.unionByName, out).groupBy("extractor").agg(F.count("*").alias("n"), F.sum(F.size("c")).alias("n_claims"), F.sum(letters).alias("n_letters"))
 
 
-@query("A17_by_group", None)
+@query("A17_by_group", ", rt AS (SELECT *, unit_id % 3 AS part FROM ratings), " + _alpha("nominal", "rt", "part") + " SELECT part, round(alpha, 9) AS alpha FROM al", "ratings")
 def a17_groups(spark, sf):
     rows = ratings(spark, sf).withColumn("part", F.col("unit_id") % 3)
-    return G.krippendorff(rows, "nominal", ["part"])
+    return G.krippendorff(rows, "nominal", ["part"]).withColumn("alpha", F.round("alpha", 9))
 
 

@@ -50,6 +50,7 @@ def c24(spark, sf):
     return X.sample_per_class(workbook(spark, sf), "grader_a_label", GRADES, 20, 19).select("claim_id", "grader_a_label", F.col("position").cast("bigint").alias("position"))
 
 
+_ABLATIONS = {"base": "score", "no_evidence": "u", "random_negatives": "CASE WHEN label = 1 THEN 0.9e0 * u ELSE score END", "retrieved_evidence": "CASE WHEN evidence_source_type = 'retrieved_report_text' THEN score ELSE 0.5e0 * score + 0.25e0 END"}
 _GRID = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0]
 
 
@@ -75,13 +76,13 @@ def c12(spark, sf):
     return X.density_ratio(rows.where("id % 2 = 0"), rows.where("id % 2 = 1")).select("id", "is_test", "weight")
 
 
-@query("C19_ablations", ", v AS (SELECT 'base' AS condition, label, score AS s FROM claims UNION ALL SELECT 'no_evidence', label, u FROM claims), g AS (SELECT condition, count(*) FILTER (s >= 0.5e0) AS n_green, count(*) FILTER (s >= 0.5e0 AND label = 1) / count(*) FILTER (s >= 0.5e0) AS fdr FROM v GROUP BY 1) SELECT condition, n_green, fdr, round(fdr - max(fdr) FILTER (condition = 'base') OVER (), 9) AS delta FROM g", "claims")
+@query("C19_ablations", ", v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS condition, label, {e} AS s FROM claims" for n, e in _ABLATIONS.items()) + "), g AS (SELECT condition, count(*) FILTER (s >= 0.5e0) AS n_green, count(*) FILTER (s >= 0.5e0 AND label = 1) / count(*) FILTER (s >= 0.5e0) AS fdr FROM v GROUP BY 1) SELECT condition, n_green, fdr, round(fdr - max(fdr) FILTER (condition = 'base') OVER (), 9) AS delta FROM g", "claims")
 def c19(spark, sf):
     from ..operators.metrics import discoveries
 
     rows = claims(spark, sf)
-    both = rows.select("label", F.lit("base").alias("condition"), "score").unionByName(rows.select("label", F.lit("no_evidence").alias("condition"), F.col("u").alias("score")))
-    out = discoveries(both, F.col("score") >= 0.5, ["condition"]).select("condition", "n_green", "fdr")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("condition"), F.expr(e).alias("score")) for n, e in _ABLATIONS.items())))  # one scan for all
+    out = discoveries(rows.select("label", each.alias("x")).select("label", "x.*"), F.col("score") >= 0.5, ["condition"]).select("condition", "n_green", "fdr")
     base = F.max(F.when(F.col("condition") == "base", F.col("fdr"))).over(Window.partitionBy(F.lit(0)))
     return out.withColumn("delta", F.round(F.col("fdr") - base, 9))
 
@@ -131,14 +132,25 @@ def _attribution(spark, sf):
     return claims(spark, sf).select("claim_id", "claim", scored.alias("tokens"))
 
 
-@query("T29_top_spans")
+_SPANS = (
+    ", w AS (SELECT claim_id, claim, unnest(string_split(claim, ' ')) AS token, generate_subscripts(string_split(claim, ' '), 1) - 1 AS i FROM claims), "
+    f"placed AS (SELECT *, coalesce(sum(length(token) + 1) OVER (PARTITION BY claim_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, {uniform_sql(27, 'claim_id', 'i::VARCHAR')} AS score FROM w), "
+    "tp AS (SELECT claim_id, claim, s AS start, s + length(token) AS \"end\", score FROM placed WHERE trim(token) <> '' AND NOT regexp_matches(token, '^(\\[.*\\]|<.*>)$') QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, i) <= 5)"
+)
+_MERGED = (
+    _SPANS + ", g AS (SELECT *, CASE WHEN start - lag(\"end\") OVER v = 0 OR (start - lag(\"end\") OVER v = 1 AND regexp_matches(claim[start], '\\s')) THEN 0 ELSE 1 END AS cut FROM tp WINDOW v AS (PARTITION BY claim_id ORDER BY start)), "
+    "h AS (SELECT *, sum(cut) OVER (PARTITION BY claim_id ORDER BY start) AS island FROM g) SELECT claim_id, min(start) AS start, max(\"end\") AS \"end\", round(sum(score), 9) AS score, substr(any_value(claim), min(start) + 1, max(\"end\") - min(start)) AS text FROM h GROUP BY claim_id, island"
+)
+
+
+@query("T29_top_spans", _SPANS + " SELECT claim_id, start, \"end\", score FROM tp", "claims")
 def t29(spark, sf):
     return S.top_spans(_attribution(spark, sf), 5)
 
 
-@query("T30_merged_spans")
+@query("T30_merged_spans", _MERGED, "claims")
 def t30(spark, sf):
-    return S.merge_spans(S.top_spans(_attribution(spark, sf), 5), _attribution(spark, sf).select("claim_id", "claim"))
+    return S.merge_spans(S.top_spans(_attribution(spark, sf), 5), _attribution(spark, sf).select("claim_id", "claim")).withColumn("score", F.round("score", 9))
 
 
 @query("T31_sides", "SELECT claim_id, list_transform(range(len(w)), lambda i: CASE WHEN i < 3 THEN 'claim' ELSE 'evidence' END) AS sides FROM (SELECT claim_id, string_split(claim, ' ') AS w FROM claims)", "claims")
@@ -146,9 +158,19 @@ def t31(spark, sf):
     return claims(spark, sf).select("claim_id", S.sides(F.split("claim", " "), 3).alias("sides"))
 
 
-@query("T34_self_consistency")
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(V.CONTENT_STOP_WORDS)) + "]"
+_CONTENT = "list_filter(list_distinct(string_split_regex(lower({x}), '[^a-z0-9]+')), lambda w: length(w) > 2 AND NOT list_contains(" + _STOP + ", w))"
+_T34 = (
+    f", b AS (SELECT claim_id, {_CONTENT.format(x='claim')} AS c, {_CONTENT.format(x='evidence_text')} AS e FROM claims), v AS (SELECT *, unnest(range(1, 6)) AS v FROM b), "
+    f"k AS (SELECT *, list_filter(c, lambda w: {uniform_sql(53, 'claim_id', 'v::VARCHAR', 'w')} >= 0.3e0) AS kept FROM v), "
+    "o AS (SELECT claim_id, CASE WHEN len(c) > 0 THEN len(list_intersect(c, e)) / len(c) ELSE 0 END AS o, CASE WHEN len(kept) > 0 THEN len(list_intersect(kept, e)) / len(kept) ELSE 0 END AS s FROM k), "
+    "a AS (SELECT claim_id, any_value(o) AS overlap, round(var_pop(s), 9) AS variance FROM o GROUP BY 1) SELECT *, (overlap < (SELECT quantile_cont(overlap, 0.5) FROM a))::INT AS predicted FROM a"
+)
+
+
+@query("T34_self_consistency", _T34, "claims")
 def t34(spark, sf):
-    return S.self_consistency(claims(spark, sf).select("claim_id", "claim", F.col("evidence_text").alias("evidence")), 5, 53)
+    return S.self_consistency(claims(spark, sf).select("claim_id", "claim", F.col("evidence_text").alias("evidence")), 5, 53).withColumn("variance", F.round("variance", 9))
 
 
 @query("T37_heatmap_regions")

@@ -64,7 +64,10 @@ def t04(spark, sf):
     return rows.where(F.length("text") >= 10).select(F.concat("source", F.lit("_s"), F.col("doc_id").cast("string"), F.lit("_"), F.col("pos").cast("string")).alias("passage_id"), "text")
 
 
-@query("T05_claims", ", c AS (SELECT report_id, CASE WHEN length(text) >= 10 THEN list_filter(list_transform(" + _cut("trim(text)", r"\n+") + ", lambda s: trim(s)), lambda s: length(s) >= 15 AND NOT starts_with(s, 'HISTORY')) ELSE [] END AS a FROM reports) SELECT report_id, len(a) AS n, array_to_string(a, '|') AS claims FROM c", "reports")
+_CLAIMS_OF = ", c AS (SELECT report_id, text, CASE WHEN length(text) >= 10 THEN list_filter(list_transform(" + _cut("trim(text)", r"\n+") + ", lambda s: trim(s)), lambda s: length(s) >= 15 AND NOT starts_with(s, 'HISTORY')) ELSE [] END AS a FROM reports)"
+
+
+@query("T05_claims", _CLAIMS_OF + " SELECT report_id, len(a) AS n, array_to_string(a, '|') AS claims FROM c", "reports")
 def t05(spark, sf):
     c = T.claims_of(F.col("text"))
     return reports(spark, sf).select("report_id", F.size(c).cast("bigint").alias("n"), F.array_join(c, "|").alias("claims"))
