@@ -223,6 +223,11 @@ def test_licenses(spark):
     assert got[23].labels == "mit-notice"
     assert 0.8 <= got[23].score < 1
     assert got[20].labels == "mit,mit-release"
+    notice = licenses.TEMPLATES["gpl-notice"].split()
+    wrapped = "\n".join(" ".join(notice[i : i + 5]) for i in range(0, len(notice), 5))
+    other = [(1, "x " * 45 + wrapped), (2, "Released under the Apache License"), (3, "you should have received a copy of the GNU General Public License along with this program"), (4, "\u212aind under any license")]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, other)).collect()}
+    assert got == {1: "gpl,gpl-notice", 2: "apache", 3: "gpl", 4: ""}
     assert licenses.scan(frame(spark, EDGE).limit(0)).count() == 0
 
 
