@@ -134,7 +134,7 @@ def u02(spark, sf):
     hooks = {"claims": T.claims_of}
     out = [reports(spark, sf).select(F.lit(name).alias("extractor"), hook(F.col("text")).alias("c")) for name, hook in hooks.items()]
     letters = F.aggregate("c", F.lit(0), lambda a, x: a + F.length(x))
-    return reduce(DataFrame.unionByName, out).groupBy("extractor").agg(F.count("*").alias("n"), F.sum(F.size("c")).alias("n_claims"), F.sum(letters).alias("n_letters"))
+    return reduce(DataFrame.unionByName, out).groupBy("extractor").agg(F.count("c").alias("n"), F.sum(F.size("c")).alias("n_claims"), F.sum(letters).alias("n_letters"))
 
 
 @query("A17_by_group", ", rt AS (SELECT *, unit_id % 3 AS part FROM ratings), " + _alpha("nominal", "rt", "part") + " SELECT part, round(alpha, 9) AS alpha FROM al", "ratings")
