@@ -1,4 +1,4 @@
-"""Joins and retrieval: J01 to J16, J18, J19, A28, S02."""
+"""Joins and retrieval: J01 to J16, J18, J19, A28, U04."""
 
 from pyspark.sql import functions as F
 
@@ -6,6 +6,7 @@ from ..fixtures import claims, passages, table, uniform_sql, workbook
 from ..functions import text as T
 from ..operators import joins as J
 from ..operators import retrieval as R
+from ..sources.tables import stored
 from .registry import query
 
 _SPLIT = "CASE source WHEN 'src0' THEN 'test' WHEN 'src1' THEN 'cal' ELSE 'train' END"
@@ -149,8 +150,7 @@ def _lists(spark, sf):
     """Two rankings: by whole vectors, and by their first sixteen dimensions."""
     rows = _vectors(spark, sf)
     both = (rows, rows.withColumn("vector", F.slice("vector", 1, 16)))
-    lists = [R.dense(v, v.where("id % 10 = 0"), 10).select("query_id", F.lit(i).alias("list_no"), "rank", F.col("passage_id").alias("doc_id")) for i, v in enumerate(both, 1)]
-    return lists[0].unionByName(lists[1])
+    return R.union_of_lists(*(R.dense(v, v.where("id % 10 = 0"), 10) for v in both))
 
 
 @query("J14_rank_fusion", _LISTS + " SELECT * FROM fr WHERE rank <= 10")
@@ -161,28 +161,67 @@ def j14(spark, sf):
 _RR = _BM + f", ca AS (SELECT tk.query_id, passage_id, rank, len(list_intersect(list_distinct({_tok('b.text')}), {_tok('p.text')})) / len(list_distinct({_tok('b.text')})) AS s FROM tk JOIN passages p USING (passage_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 20), rr AS (SELECT query_id, passage_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM ca)"
 
 
-def _reranked(spark, sf, k):
+def _candidates(spark, sf):
     found = R.top_k(_scored(spark, sf), 20).select("query_id", "passage_id", "rank")
     texts = _queries(spark, sf).withColumnRenamed("text", "query_text")
-    candidates = found.join(passages(spark, sf).select("passage_id", "text"), "passage_id").join(F.broadcast(texts), "query_id")
-    return R.rerank(candidates, R.overlap_score(F.col("query_text"), F.col("text"), T.alnum_tokens), k)
+    return found.join(passages(spark, sf).select("passage_id", "text"), "passage_id").join(texts, "query_id")
 
 
 @query("J15_rerank", _RR + " SELECT * FROM rr WHERE rank <= 5", "passages")
 def j15(spark, sf):
-    return _reranked(spark, sf, 5).select("query_id", "passage_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    out = R.rerank(_candidates(spark, sf), R.overlap_score(F.col("query_text"), F.col("text"), T.alnum_tokens), 5)
+    return out.select("query_id", "passage_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("J16_retrieved_evidence", _RR + " SELECT query_id, string_agg(p.text, ' [SEP] ' ORDER BY rank) AS evidence, 'retrieved_report_text' AS evidence_source_type, 'independent' AS evidence_trust_tier FROM rr JOIN passages p USING (passage_id) WHERE rank <= 2 GROUP BY 1", "passages")
-def j16(spark, sf):
-    from ..functions.provenance import RETRIEVED, with_provenance
+@query("U04_pair_scorer", _RR + " SELECT * FROM rr WHERE rank <= 5", "passages")
+def u04(spark, sf):
+    """The rows of J15 with a model in Python workers as the scorer."""
+    scorer = R.pair_scorer(R.load_word_overlap)
+    out = R.rerank(_candidates(spark, sf), scorer(F.col("query_text"), F.col("text")), 5)
+    return out.select("query_id", "passage_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
 
-    top = _reranked(spark, sf, 2).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("e"))
-    rows = with_provenance(top.select("query_id", F.array_join("e", " [SEP] ").alias("evidence"), F.lit(RETRIEVED).alias("evidence_source_type")))
-    return rows.select("query_id", "evidence", "evidence_source_type", "evidence_trust_tier")
+_SLOT = "('0x' || substr(md5(w), 1, 8))::BIGINT % 64"
+_J16 = _BM + (
+    f", hp AS (SELECT passage_id, {_SLOT} AS s, count(*) AS n FROM (SELECT passage_id, unnest(w) AS w FROM d) GROUP BY 1, 2), hq AS (SELECT query_id, {_SLOT} AS s, count(*) AS n FROM (SELECT item_id AS query_id, unnest({_tok('text')}) AS w FROM benchmark) GROUP BY 1, 2)"
+    ", lp AS (SELECT passage_id, sqrt(sum(n * n)) AS l FROM hp GROUP BY 1), lq AS (SELECT query_id, sqrt(sum(n * n)) AS l FROM hq GROUP BY 1)"
+    ", vd AS (SELECT query_id, passage_id, round(sum(hp.n * hq.n) / (any_value(lp.l) * any_value(lq.l)), 9) AS score FROM hp JOIN hq USING (s) JOIN lp USING (passage_id) JOIN lq USING (query_id) GROUP BY 1, 2)"
+    ", li AS (SELECT query_id, 1 AS list_no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank, passage_id FROM vd QUALIFY rank <= 20 UNION ALL SELECT query_id, 2, rank, passage_id FROM tk WHERE rank <= 20)"
+    ", fu AS (SELECT query_id, passage_id, round(sum(1e0 / (60 + rank)), 12) AS score, min({'l': list_no, 'r': rank}) AS first FROM li GROUP BY 1, 2)"
+    ", fr AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, passage_id) AS rank FROM fu QUALIFY rank <= 20)"
+    f", ra AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(list_distinct({_tok('b.text')}), {_tok('p.text')})) / len(list_distinct({_tok('b.text')})) DESC, rank) AS rank FROM fr JOIN passages p USING (passage_id) JOIN benchmark b ON b.item_id = query_id)"
+    ", al AS (SELECT 'dense' AS method, query_id, passage_id, rank FROM li WHERE list_no = 1 UNION ALL SELECT 'sparse', query_id, passage_id, rank FROM li WHERE list_no = 2 UNION ALL SELECT 'rrf', query_id, passage_id, rank FROM fr UNION ALL SELECT 'rrf_rerank', query_id, passage_id, rank FROM ra)"
+    " SELECT method, query_id, string_agg(p.text, ' [SEP] ' ORDER BY rank) AS evidence, any_value(b.text) AS oracle_evidence, 'retrieved_report_text' AS evidence_source_type, 'independent' AS evidence_trust_tier FROM al JOIN passages p USING (passage_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 2 GROUP BY 1, 2"
+)
 
 
-@query("J18_pooled_evidence")
+@query("J16_retrieved_evidence", _J16, "passages")
+def j16(spark, sf):
+    """Evidence by four methods from the same two rankings, which are made once; the texts' own evidence is kept beside it."""
+    items, asked = passages(spark, sf).select("passage_id", "text"), _queries(spark, sf)
+    vectors = lambda rows, key: rows.select(F.col(key).alias("id"), R.hashed_vector(T.alnum_tokens(F.col("text"))).alias("vector"))
+    near = R.dense(vectors(items, "passage_id"), vectors(asked, "query_id"), 20)
+    lists = stored(R.union_of_lists(near, R.top_k(_scored(spark, sf), 20)))
+    fused = R.fuse(lists, 60, 20)
+    alone = lists.select(F.when(F.col("list_no") == 1, "dense").otherwise("sparse").alias("method"), "query_id", "doc_id", "rank")
+    every = alone.unionByName(fused.select(F.lit("rrf").alias("method"), "query_id", "doc_id", "rank")).withColumnRenamed("doc_id", "passage_id")
+    texts = every.join(items, "passage_id").join(asked.withColumnRenamed("text", "query_text"), "query_id")
+    again = R.rerank(texts.where("method = 'rrf'"), R.overlap_score(F.col("query_text"), F.col("text"), T.alnum_tokens), 2)
+    both = texts.unionByName(again.withColumn("method", F.lit("rrf_rerank")).select(texts.columns))
+    found = R.as_evidence(both, 2, "method", "query_id").join(asked.withColumnRenamed("text", "oracle_evidence"), "query_id")
+    return found.select("method", "query_id", "evidence", "oracle_evidence", "evidence_source_type", "evidence_trust_tier")
+
+
+_ID = "claim_id"
+_J18 = (
+    f", pool AS (SELECT evidence_text AS text, min(claim_id) AS passage_id FROM claims GROUP BY 1), ch AS (SELECT *, row_number() OVER (ORDER BY u, passage_id) AS k FROM (SELECT *, {uniform_sql(21, 'passage_id')} AS u FROM pool ORDER BY u, passage_id LIMIT 100))"
+    f", pw AS (SELECT DISTINCT k, unnest({_tok('text')}) AS w FROM ch), cw AS (SELECT DISTINCT claim_id, unnest({_tok('claim')}) AS w FROM claims), ht AS (SELECT claim_id, list_sort(list(DISTINCT k))[1:2] AS ks FROM cw JOIN pw USING (w) GROUP BY 1)"
+    f", ak AS (SELECT claim_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS pos FROM (SELECT claim_id, coalesce(ks, [{', '.join(f'(floor({uniform_sql(s, _ID)} * 100) + 1)::BIGINT' for s in (22, 23))}]) AS ks FROM claims LEFT JOIN ht USING (claim_id)))"
+    " SELECT claim_id, list(text ORDER BY pos) AS evidence FROM ak JOIN ch USING (k) GROUP BY 1"
+)
+
+
+@query("J18_pooled_evidence", _J18, "claims")
 def j18(spark, sf):
     pool = claims(spark, sf).groupBy("evidence_text").agg(F.min("claim_id").alias("passage_id")).withColumnRenamed("evidence_text", "text")
     return J.pooled_evidence(claims(spark, sf), pool, T.alnum_tokens, 21)
