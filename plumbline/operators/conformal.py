@@ -150,6 +150,22 @@ def blocks(rows: DataFrame, accepted: Column, keys: list[str], group: str = "pat
     return agg.select(*keys, "stratum", "n", "n_green", F.when(F.col("n_green") > 0, F.col("_bad") / F.col("n_green")).otherwise(0.0).alias("fdr"), F.when(F.col("_good") > 0, (F.col("n_green") - F.col("_bad")) / F.col("_good")).otherwise(0.0).alias("power"))
 
 
+def sweep_blocks(cal: DataFrame, test: DataFrame, alphas: list[float], group: str = "pathology", least: int = 50, null_label: int = 0) -> DataFrame:
+    """The blocks of group triage for each alpha: alpha, stratum, n, n_green, fdr, power.
+
+    p-values do not depend on alpha: test rows are counted by them once, and only counts meet the alphas."""
+    groups, _ = calibrate(cal, group, least)
+    cal, test = _effective(cal, groups, group), _effective(test, groups, group)
+    rows = p_values(cal.where(F.col("label") == null_label), test, "effective")
+    counts = rows.groupBy("effective", group, "p").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"))
+    ranked = running(counts.groupBy("effective", "p").agg(F.sum("n").alias("n")), "p", ["n"], ["effective"])
+    cuts = ranked.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).groupBy("alpha", "effective").agg(F.max(F.when(F.col("p") <= F.col("n_cum") / F.col("n_all") * F.col("alpha"), F.col("p"))).alias("cut"))
+    ok = F.coalesce(F.col("p") <= F.col("cut"), F.lit(False))
+    per = counts.join(F.broadcast(cuts), "effective").withColumn("stratum", F.explode(F.array(F.lit("ALL"), F.col(group))))  # a row for each alpha and group
+    agg = per.groupBy("alpha", "stratum").agg(F.sum("n").alias("n"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("n_green"), F.sum(F.when(ok, F.col("bad")).otherwise(0)).alias("_bad"), F.sum(F.col("n") - F.col("bad")).alias("_good"))
+    return agg.select("alpha", "stratum", "n", "n_green", F.when(F.col("n_green") > 0, F.col("_bad") / F.col("n_green")).otherwise(0.0).alias("fdr"), F.when(F.col("_good") > 0, (F.col("n_green") - F.col("_bad")) / F.col("_good")).otherwise(0.0).alias("power"))
+
+
 def temporal_shift(rows: DataFrame, early: str, late: str, alpha: float = 0.05, group: str = "pathology") -> DataFrame:
     """Calibrates on rows before `early`, triages them and the rows from `late` on: cohort, n, n_green, fdr, degraded."""
     before, after = rows.where(F.col("study_date") < F.lit(early).cast("timestamp")), rows.where(F.col("study_date") >= F.lit(late).cast("timestamp"))

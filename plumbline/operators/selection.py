@@ -18,12 +18,19 @@ def best_of_n(candidates: DataFrame, tau: float = 0.85) -> DataFrame:
     return candidates.withColumn("_k", F.row_number().over(order)).where("_k = 1").select("image", "idx", "faithfulness", "coverage", (~ok).alias("flagged"))
 
 
-def least_risk(candidates: DataFrame, tau: float = 0.85, weight: float = 0.5) -> DataFrame:
-    """As best_of_n, with coverage less weight times the mean Jaccard distance to the image's other candidates.
+#: What two candidates are compared by: the sets of their claims, or of the words of their reports.
+DISTANCES = {"jaccard": lambda: F.array_distinct("items"), "rouge": lambda: F.filter(F.array_distinct(F.split(F.lower("text"), r"\s+")), lambda w: w != "")}
 
-    candidates also have `items` (array). Candidates of an image are few; they pair within it once."""
-    a = candidates.select("image", F.col("idx").alias("i"), F.col("items").alias("x"))
-    b = candidates.select("image", F.col("idx").alias("j"), F.col("items").alias("y"))
+
+def least_risk(candidates: DataFrame, tau: float = 0.85, weight: float = 0.5, distance: str = "jaccard") -> DataFrame:
+    """As best_of_n, with coverage less weight times the mean distance to the image's other candidates, a name of DISTANCES.
+
+    candidates also have `items` (array; jaccard) or `text` (rouge). Candidates of an image are few; they pair within it once."""
+    if distance not in DISTANCES:
+        raise ValueError(f"no distance {distance}")
+    own = DISTANCES[distance]()
+    a = candidates.select("image", F.col("idx").alias("i"), own.alias("x"))
+    b = candidates.select("image", F.col("idx").alias("j"), own.alias("y"))
     union = F.size(F.array_union("x", "y"))
     pair = a.join(b, "image").where("i <> j").select("image", F.col("i").alias("idx"), F.when(union > 0, 1 - F.size(F.array_intersect("x", "y")) / union).otherwise(0.0).alias("d"))
     mean = pair.groupBy("image", "idx").agg(F.avg("d").alias("distance"))
@@ -59,12 +66,22 @@ def sample_per_class(rows: DataFrame, column: str, classes: tuple[str, ...], n:
     return kept.withColumn("position", order * n + F.col("_k")).drop("_k")
 
 
-def temperature(rows: DataFrame, logit: str, label: str, grid: list[float]) -> DataFrame:
-    """(temperature, nll): mean negative log likelihood of binary labels by sigmoid(logit / T), in one job over a grid; the least first."""
-    t = rows.select(F.col(logit).alias("z"), F.col(label).cast("double").alias("y"), F.explode(F.array(*map(F.lit, grid))).alias("temperature"))
-    z = F.col("z") / F.greatest(F.col("temperature"), F.lit(0.01))
-    loss = F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0)) - F.col("y") * z
-    return t.groupBy("temperature").agg(F.avg(loss).alias("nll")).orderBy("nll", "temperature")
+def fit_temperature(rows: DataFrame, logit: str, label: str, low: float = 0.05, high: float = 10.0, points: int = 11, tolerance: float = 0.01) -> DataFrame:
+    """(temperature, nll): the T of least mean negative log likelihood of binary labels by sigmoid(logit / T).
+
+    The likelihood has one best T, so each round, one aggregate over the rows, narrows the bounds to the neighbours
+    of the best of its points, until they lie closer than the tolerance. No rows give no row."""
+    z, y = F.col(logit), F.col(label).cast("double")
+    while True:
+        grid = [low + (high - low) * i / (points - 1) for i in range(points)]
+        loss = [F.avg(F.log1p(F.exp(-F.abs(z / t))) + F.greatest(z / t, F.lit(0.0)) - y * z / t) for t in (max(g, 0.01) for g in grid)]
+        means = rows.agg(*(x.alias(f"t{i}") for i, x in enumerate(loss))).first()  # one row of means
+        if means[0] is None:
+            return rows.sparkSession.createDataFrame([], "temperature double, nll double")
+        best = min(range(points), key=lambda i: (means[i], i))
+        if grid[1] - grid[0] <= tolerance:
+            return rows.sparkSession.createDataFrame([(grid[best], means[best])], "temperature double, nll double")
+        low, high = grid[max(best - 1, 0)], grid[min(best + 1, points - 1)]
 
 
 def density_ratio(cal: DataFrame, test: DataFrame, vector: str = "vector", parts: int = 16) -> DataFrame:

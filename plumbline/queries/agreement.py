@@ -53,7 +53,8 @@ def c27(spark, sf):
 
 _REP, _SEED = 40, 3
 _DRAW = ", dr AS (SELECT *, " + " + ".join(f"(u >= {c!r}e0)::INT" for c in R.POISSON) + " AS times FROM (SELECT *, {u} AS u FROM {src}, (SELECT unnest(range({r})) AS rep)))"
-_B02 = ", us AS (SELECT DISTINCT unit_id FROM ratings)" + _DRAW.format(src="us", u=uniform_sql(_SEED, "rep::VARCHAR", "unit_id::VARCHAR"), r=_REP) + f""", cn AS (SELECT rep, unit_id, value, count(*) AS n, max(times) AS w FROM dr JOIN ratings USING (unit_id) WHERE times > 0 GROUP BY 1, 2, 3), un AS (SELECT *, sum(n) OVER (PARTITION BY rep, unit_id) AS m FROM cn),
+def _bootstrap_sql(replicates):
+    return ", us AS (SELECT DISTINCT unit_id FROM ratings)" + _DRAW.format(src="us", u=uniform_sql(_SEED, "rep::VARCHAR", "unit_id::VARCHAR"), r=replicates) + f""", cn AS (SELECT rep, unit_id, value, count(*) AS n, max(times) AS w FROM dr JOIN ratings USING (unit_id) WHERE times > 0 GROUP BY 1, 2, 3), un AS (SELECT *, sum(n) OVER (PARTITION BY rep, unit_id) AS m FROM cn),
 pr AS (SELECT a.rep, a.value AS c, b.value AS k, sum(a.w * a.n * (b.n - (a.value = b.value)::INT) / (a.m - 1)) AS o FROM un a JOIN un b ON a.unit_id = b.unit_id AND a.rep = b.rep WHERE a.m > 1 GROUP BY ALL),
 mg AS (SELECT *, sum(n_c) OVER (PARTITION BY rep) AS total FROM (SELECT rep, c, sum(o) AS n_c FROM pr GROUP BY 1, 2)),
 gd AS (SELECT mg.rep, mg.c, b.c AS k, mg.n_c, b.n_c AS n_k, mg.total, pr.o FROM mg JOIN mg b ON mg.rep = b.rep LEFT JOIN pr ON pr.rep = mg.rep AND pr.c = mg.c AND pr.k = b.c),
@@ -61,7 +62,7 @@ al AS (SELECT rep, 1 - (max(total) - 1) * sum(coalesce(o, 0)) FILTER (c <> k) /
 SELECT round(quantile_cont(alpha, 0.025), 9) AS low, round(quantile_cont(alpha, 0.975), 9) AS high, round(stddev_samp(alpha), 9) AS std, count(alpha) AS n FROM al"""
 
 
-@query("B02_bootstrap_alpha", _B02, "ratings")
+@query("B02_bootstrap_alpha", _bootstrap_sql(_REP), "ratings")
 def b02(spark, sf):
     out = G.bootstrap_alpha(ratings(spark, sf), "nominal", _REP, _SEED)
     return out.select(*(F.round(c, 9).alias(c) for c in ("low", "high", "std")), "n")

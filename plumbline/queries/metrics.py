@@ -1,9 +1,13 @@
-"""Measures: A01 to A05, A09 to A16, A18 to A25, A27, A29, A30, A34, C17, C18."""
+"""Measures: A01 to A05, A09 to A16, A18 to A25, A27, A29, A30, C17, C18."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixtures import GRADES, claims, table, workbook
 from ..operators import metrics as M
+from ..operators.studies import BASELINES
 from .registry import query
 
 _GRADERS = ["grader_a_label", "grader_b_label", "grader_c_label"]
@@ -236,23 +240,6 @@ def c17(spark, sf):
 
 @query("C18_baselines", "SELECT 'no_verification' AS baseline, count(*) AS n_green, count(*) FILTER (label = 1) / count(*) AS fdr FROM claims UNION ALL SELECT 'best_candidate', count(*), count(*) FILTER (label = 1) / count(*) FROM (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY score DESC, claim_id) = 1)", "claims")
 def c18(spark, sf):
-    from pyspark.sql import Window
-
-    rows = claims(spark, sf)
-    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("score"), "claim_id"))).where("k = 1")
-    part = lambda df, n: M.discoveries(df, F.lit(True)).select(F.lit(n).alias("baseline"), "n_green", "fdr")
-    return part(rows, "no_verification").unionByName(part(best, "best_candidate"))
-
-
-_A34 = ["precision", "recall", "f1", "accuracy"]
-
-
-@query("A34_full_suite", ", a AS (" + _binary_sql(_HARD, "label <> 0", "claims") + "), d AS (SELECT count(*) FILTER (score >= 0.5e0 AND label = 1) / count(*) FILTER (score >= 0.5e0) AS fdr, count(*) FILTER (score >= 0.5e0) / count(*) AS green_share FROM claims) SELECT 'ALL' AS stratum, metric, round(value, 9) AS value FROM (UNPIVOT (SELECT precision, recall, f1, accuracy, fdr, green_share FROM a, d) ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL SELECT pathology, 'fdr', round(count(*) FILTER (score >= 0.5e0 AND label = 1) / count(*) FILTER (score >= 0.5e0), 9) FROM claims GROUP BY 1", "claims")
-def a34(spark, sf):
     rows = claims(spark, sf)
-    green = F.col("score") >= 0.5
-    one = M.binary_metrics(rows, F.col("score") < 0.4, F.col("label") != 0).crossJoin(F.broadcast(M.discoveries(rows, green).select("fdr", "green_share"))).withColumn("stratum", F.lit("ALL"))
-    per = M.discoveries(rows, green, ["pathology"]).select(F.col("pathology").alias("stratum"), F.lit("fdr").alias("metric"), F.col("fdr").alias("value"))
-    return M.unpivot(one, ["stratum"], [*_A34, "fdr", "green_share"]).unionByName(per).withColumn("value", F.round("value", 9))
-
-
+    parts = [M.discoveries(accepted(rows), F.lit(True)).select(F.lit(n).alias("baseline"), "n_green", "fdr") for n, accepted in BASELINES.items()]
+    return reduce(DataFrame.unionByName, parts)

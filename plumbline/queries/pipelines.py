@@ -1,4 +1,4 @@
-"""Sources, sinks and whole pipelines: S01, S03 to S09, S11, S13, A32, A35, U01 to U06."""
+"""Sources, sinks and whole pipelines: S01, S03 to S09, S11, S13, A32, A34, A35, U02."""
 
 from functools import reduce
 
@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from ..fixtures import claims, ratings, reports, table, workbook
+from .. import vocabulary as V
+from ..fixtures import GRADES, claims, ratings, reports, table, workbook
 from ..functions import text as T
 from ..operators import agreement as G
+from ..operators import metrics as M
+from ..operators.resample import cluster_bootstrap
 from ..sources import tables as S
-from .agreement import _alpha
-from .metrics import _WB, voted
-from .registry import query
+from ..sources.tables import stored
+from .agreement import _REP, _SEED, _alpha, _bootstrap_sql
+from .metrics import _GRADERS, voted
+from .registry import SQL, query
 from .texts import _CLAIMS_OF, _FLAGS
 
 
@@ -123,10 +127,77 @@ def a32(spark, sf):
     return score.crossJoin(F.broadcast(sizes)).select(F.round(F.col("g") * F.least(F.lit(1.0), F.exp(1 - F.col("r") / F.col("h"))), 9).alias("bleu"), F.round("mean_claims", 9).alias("mean_claims"))
 
 
-@query("A35_silver_compile", _WB + " SELECT majority, count(*) AS n, round(avg(score), 9) AS mean_score, sum((len(" + _FLAGS + ") > 0)::INT)::BIGINT AS n_flagged FROM m GROUP BY 1", "workbook")
+def _long_sql(block, name, columns, source):
+    return " UNION ALL ".join(f"SELECT '{block}' AS block, {name} AS name, '{c}' AS metric, {c}::DOUBLE AS value FROM ({source})" for c in columns)
+
+
+def _long(block, name, columns, rows):
+    """(block, name, metric, value) of a table of measures."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns)))
+    return rows.select(F.lit(block).alias("block"), name.alias("name"), each.alias("x")).select("block", "name", "x.*")
+
+
+_SUITE = " UNION ALL ".join([
+    _long_sql("hallucination", "'ALL'", ["precision", "recall", "f1", "accuracy"], SQL["A02_hallucination_metrics"]),
+    _long_sql("laterality", "'ALL'", ["n", "rate"], SQL["A03_laterality_errors"]),
+    _long_sql("discoveries", "'ALL'", ["n_green", "fdr", "green_share"], SQL["A04_fdr_among_green"]),
+    _long_sql("calibration", "'ALL'", ["ece", "mce"], SQL["A10_calibration_error"]),
+    _long_sql("bootstrap", "'fdr'", ["mean", "low", "high", "std"], SQL["B01_cluster_bootstrap"]),
+    "SELECT 'category', pathology, 'fdr', count(*) FILTER (score >= 0.5e0 AND label = 1) / count(*) FILTER (score >= 0.5e0) FROM claims GROUP BY 2 HAVING count(*) FILTER (score >= 0.5e0) > 0",
+])
+
+
+@query("A34_full_suite", f"SELECT block, name, metric, round(value, 6) AS value FROM ({_SUITE})", "claims")
+def a34(spark, sf):
+    rows = stored(claims(spark, sf).select("claim", "label", "score", "pathology", "patient_id"))  # one join of the tables for all measures
+    green, false = F.col("score") >= 0.5, F.col("label") == 1
+    one = F.lit("ALL")
+    parts = [
+        _long("hallucination", one, ["precision", "recall", "f1", "accuracy"], M.binary_metrics(rows, F.col("score") < 0.4, F.col("label") != 0)),
+        _long("laterality", one, ["n", "rate"], M.laterality_error_rate(rows)),
+        _long("discoveries", one, ["n_green", "fdr", "green_share"], M.discoveries(rows, green)),
+        _long("calibration", one, ["ece", "mce"], M.calibration_error(M.reliability(rows, F.col("score"), F.col("label") != 1))),
+        _long("bootstrap", F.lit("fdr"), ["mean", "low", "high", "std"], cluster_bootstrap(rows, "patient_id", {"g": green.cast("int"), "f": (green & false).cast("int")}, F.col("f") / F.col("g"), _REP, _SEED)),
+        _long("category", F.col("pathology"), ["fdr"], M.discoveries(rows, green, ["pathology"]).where("n_green > 0")),
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 6))
+
+
+_RATED = "ratings AS (SELECT claim_id AS unit_id, coder, list_position([" + ", ".join(f"'{g}'" for g in GRADES) + "], g)::DOUBLE AS value FROM (" + " UNION ALL ".join(f"SELECT claim_id, '{c}' AS coder, {c} AS g FROM workbook" for c in _GRADERS) + ") WHERE g IS NOT NULL)"
+_SILVER = " UNION ALL ".join([
+    f"SELECT 'agreement' AS block, 'ALL' AS name, 'alpha' AS metric, alpha AS value FROM (WITH {_alpha('nominal')} SELECT alpha FROM al)",
+    f"SELECT 'agreement', 'ALL', 'passes', (alpha >= 0.35e0)::INT::DOUBLE FROM (WITH {_alpha('nominal')} SELECT alpha FROM al)",
+    _long_sql("agreement", "'ALL'", ["low", "high", "std"], f"WITH {_bootstrap_sql(10)[2:]}"),
+    _long_sql("grader", "grader", ["n", "accuracy"], SQL["A22_grader_accuracy"]),
+    _long_sql("majority", "majority", ["n"], SQL["A23_majority_distribution"]),
+    _long_sql("score", "majority", ["n", "mean", "std", "low", "high"], SQL["A24_score_blocks"]),
+    _long_sql("baseline", "'ALL'", ["n", "precision", "delta"], SQL["A25_baseline_precision"]),
+    _long_sql("flags", "flag", ["n"], SQL["A26_flag_counts"]),
+])
+
+
+@query("A35_silver_compile", f", {_RATED} SELECT block, name, metric, round(value, 6) AS value FROM ({_SILVER})", "workbook")
 def a35(spark, sf):
-    rows = voted(spark, sf).withColumn("flags", T.flags(F.col("claim")))
-    return rows.groupBy("majority").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"), F.count_if(F.size("flags") > 0).alias("n_flagged"))
+    """Majority, agreement with its interval and gate, graders against the majority, scores, baseline and flags in one table."""
+    kept = ["claim_id", "claim", "score", *_GRADERS]
+    rows = stored(voted(spark, sf).select(*kept, "majority"))
+    place = F.array_position(F.array(*map(F.lit, GRADES)), F.col("g")).cast("double")
+    ratings_ = rows.unpivot(["claim_id"], _GRADERS, "coder", "g").where("g is not null").select(F.col("claim_id").alias("unit_id"), "coder", place.alias("value"))
+    alpha = G.krippendorff(ratings_, "nominal").withColumn("passes", (F.col("alpha") >= 0.35).cast("int"))
+    one = F.lit("ALL")
+    given = rows.unpivot(["majority"], _GRADERS, "grader", "given").where(F.col("given").isin(*GRADES))
+    hit = F.avg((F.col("majority") == "SUPPORTED").cast("double"))
+    flags = rows.select(F.explode(T.flags(F.col("claim"))).alias("flag"))
+    parts = [
+        _long("agreement", one, ["alpha", "passes"], alpha),
+        _long("agreement", one, ["low", "high", "std"], G.bootstrap_alpha(ratings_, "nominal", 10, _SEED)),
+        _long("grader", F.col("grader"), ["n", "accuracy"], given.groupBy("grader").agg(F.count("*").alias("n"), F.avg((F.col("given") == F.col("majority")).cast("double")).alias("accuracy"))),
+        _long("majority", F.col("majority"), ["n"], M.with_dimension(rows, "majority", GRADES, F.count("*").alias("n")).na.fill(0, ["n"])),
+        _long("score", F.col("majority"), ["n", "mean", "std", "low", "high"], M.score_block(rows, "majority", GRADES, "score")),
+        _long("baseline", one, ["n", "precision", "delta"], rows.where("score >= 0.5").agg(F.count("*").alias("n"), hit.alias("precision"), (hit - 0.73).alias("delta"))),
+        _long("flags", F.col("flag"), ["n"], M.with_dimension(flags, "flag", tuple(V.FLAGS), F.count("*").alias("n")).na.fill(0, ["n"])),
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("value", F.round("value", 6))
 
 
 @query("U02_extractors", _CLAIMS_OF + " SELECT 'claims' AS extractor, count(*) AS n, sum(len(a))::BIGINT AS n_claims, sum(list_sum(list_transform(a, lambda x: length(x))))::BIGINT AS n_letters FROM c GROUP BY 1", "reports")

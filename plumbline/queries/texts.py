@@ -85,7 +85,23 @@ def _varied(spark, sf):
     return reports(spark, sf).withColumn("text", F.expr(_ANY_START))
 
 
-@query("T07_merged_sentences")
+def _starts_sql(x, words):
+    return "(" + " OR ".join(f"starts_with(lower({x}), {q(w)})" for w in words) + ")"
+
+
+_T07 = (
+    f", vr AS (SELECT report_id, {_ANY_START} AS text FROM reports), sp AS (SELECT report_id, list_filter(list_transform({_cut('trim(text)', '')}, lambda s: trim(s)), lambda s: length(s) > 10) AS a FROM vr)"
+    ", se AS (SELECT report_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM sp)"
+    f", fl AS (SELECT *, i > 1 AND ({_starts_sql('s', V.CONTINUATIONS)} OR {_starts_sql('s', V.ANAPHORA)}) AS joins FROM se)"
+    ", rn AS (SELECT *, sum((NOT joins)::INT) OVER (PARTITION BY report_id ORDER BY i) AS island FROM fl)"  # in a run of joining sentences every other one is merged
+    ", mg AS (SELECT *, joins AND (row_number() OVER (PARTITION BY report_id, island ORDER BY i)) % 2 = 0 AS merged FROM rn)"
+    ", nx AS (SELECT *, lead(s) OVER v AS n, coalesce(lead(merged) OVER v, false) AS takes FROM mg WINDOW v AS (PARTITION BY report_id ORDER BY i))"
+    f", ot AS (SELECT report_id, i, CASE WHEN NOT takes THEN s WHEN {_starts_sql('n', V.CONTINUATIONS)} THEN regexp_replace(s, '\\.+$', '') || ', ' || lower(n[1]) || n[2:] ELSE regexp_replace(s, '\\.+$', '') || '; ' || n END AS s FROM nx WHERE NOT merged)"
+    " SELECT r.report_id, coalesce(c, []) AS claims FROM reports r LEFT JOIN (SELECT report_id, list(s ORDER BY i)[1:20] AS c FROM ot GROUP BY 1) o ON r.report_id = o.report_id"
+)
+
+
+@query("T07_merged_sentences", _T07, "reports")
 def t07(spark, sf):
     return _varied(spark, sf).select("report_id", T.merged_sentences(F.col("text")).alias("claims"))
 
@@ -246,7 +262,24 @@ def t32(spark, sf):
     return claims(spark, sf).select("claim_id", T.still_supported(F.col("claim"), F.col("evidence_text")).alias("supported"))
 
 
-@query("T33_rule_based_score")
+_STOPS = "[" + ", ".join(map(q, sorted(V.CONTENT_STOP_WORDS))) + "]"
+_SIDES = "[" + ", ".join(map(q, V.SIDE_CONFLICT)) + "]"
+
+
+def _pair_sql(pairs):
+    return "(" + " OR ".join(f"(contains(lc, {q(a)}) AND contains(le, {q(b)})) OR (contains(lc, {q(b)}) AND contains(le, {q(a)}))" for a, b in pairs) + ")"
+
+
+_T33 = (
+    ", tk AS (SELECT claim_id, lower(claim) AS lc, lower(evidence_text) AS le, regexp_extract_all(lower(claim), '\\b([\\w'']+)\\b', 1) AS c, regexp_extract_all(lower(evidence_text), '\\b([\\w'']+)\\b', 1) AS e FROM claims)"
+    f", ct AS (SELECT *, list_filter(list_distinct(c), lambda w: length(w) > 2 AND NOT list_contains({_STOPS}, w)) AS own FROM tk)"
+    f", wn AS (SELECT *, list_transform(list_filter(range(len(e)), lambda i: list_contains(own, e[i + 1])), lambda i: array_to_string(e[greatest(i - 3, 1):greatest(i - 3, 1) + least(i, 4) + 4], ' ')) AS near FROM ct)"
+    f", s AS (SELECT claim_id, (len(list_filter(near, lambda t: {any_sql('t', V.NEGATIONS)})) > 0)::INT + (len(list_intersect(c, {_SIDES})) > 0 AND len(list_intersect(e, {_SIDES})) > 0 AND len(list_intersect(list_intersect(c, {_SIDES}), e)) = 0)::INT + {_pair_sql(V.SEVERITY_CONFLICT)}::INT + {_pair_sql(V.TEMPORAL_CONFLICT)}::INT AS score FROM wn)"
+    " SELECT claim_id, score, (score >= 1)::INT AS predicted, score / 4 AS confidence FROM s"
+)
+
+
+@query("T33_rule_based_score", _T33, "claims")
 def t33(spark, sf):
     s = T.contradiction_score(F.col("claim"), F.col("evidence_text"))
     return claims(spark, sf).select("claim_id", s.alias("score"), (s >= 1).cast("int").alias("predicted"), (s / 4).alias("confidence"))

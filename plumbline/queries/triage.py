@@ -174,11 +174,21 @@ def c14(spark, sf):
 _TWO = ", methods AS (SELECT 'step_up' AS method, 0.1e0 AS alpha, s.* FROM ({a}) s UNION ALL SELECT 'stratified', 0.1e0, s.* FROM ({b}) s)"
 
 
-@query("C15_recalibrated_blocks", _C07 + ", y AS (SELECT e.*, accepted AS ok FROM acc JOIN e USING (claim_id)) " + _strat_blocks("y"), "claims")
-def c15(spark, sf):
+def _step_up_blocks(spark, sf):
     return C.blocks(C.triage(*_sides(spark, sf), 0.1, "brand", 1180), F.col("accepted"), [], "brand")
 
 
+_LEVELS = [0.05, 0.1, 0.2, 0.5]
+_C15 = _B + _EFF_ALL + _pve("is_cal AND bad = 0") + " " + " UNION ALL ".join(
+    f"SELECT {a}e0 AS alpha, x.* FROM (WITH {_bh('(SELECT * FROM pv WHERE claim_id IS NOT NULL)', f'{a}e0', 'g')[2:]}, y AS (SELECT e.*, accepted AS ok FROM acc JOIN e USING (claim_id)) {_strat_blocks('y')}) x" for a in _LEVELS
+)
+
+
+@query("C15_recalibrated_blocks", _C15, "claims")
+def c15(spark, sf):
+    return C.sweep_blocks(*_sides(spark, sf), _LEVELS, "brand", 1180)
+
+
 @query("A06_fdr_power_blocks", _B + ", y AS (SELECT *, score >= 0.5e0 AS ok FROM b) " + _strat_blocks("y"), "claims")
 def a06(spark, sf):
     return C.blocks(_binary(spark, sf), F.col("score") >= 0.5, [], "brand")
@@ -186,7 +196,7 @@ def a06(spark, sf):
 
 @query("S12_method_comparison", _C07 + ", y AS (SELECT e.*, accepted AS ok FROM acc JOIN e USING (claim_id))" + f", own AS ({_quant('brand')} HAVING count(*) >= 800), pool AS ({_quant(chr(39) + 'x' + chr(39))}), z AS (SELECT b.*, NOT (1 - score >= coalesce(own.q, pool.q)) AS ok FROM b LEFT JOIN own ON brand = own.k CROSS JOIN pool WHERE NOT is_cal) SELECT 'step_up' AS method, 0.1e0 AS alpha, x.* FROM ({_strat_blocks('y')}) x UNION ALL SELECT 'stratified', 0.1e0, x.* FROM ({_strat_blocks('z')}) x", "claims")
 def s12(spark, sf):
-    both = c15(spark, sf).withColumn("method", F.lit("step_up")).unionByName(c14(spark, sf).withColumn("method", F.lit("stratified")))
+    both = _step_up_blocks(spark, sf).withColumn("method", F.lit("step_up")).unionByName(c14(spark, sf).withColumn("method", F.lit("stratified")))
     return both.withColumn("alpha", F.lit(0.1)).orderBy("alpha", "stratum", "method")
 
 

@@ -149,8 +149,8 @@ def write_flat(rows: DataFrame, path: str, arrays: tuple[str, ...] = ()) -> None
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Earlier results, or none where the path does not exist."""
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    """Earlier results, or none where the path does not exist; files that cannot be read count as none, and stay where they are."""
+    return spark.read.option("ignoreCorruptFiles", "true").schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def add_results(rows: DataFrame, path: str, key: str) -> str:
