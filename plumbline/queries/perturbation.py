@@ -83,9 +83,22 @@ def h14(spark, sf):
     return H.hard_negatives(claims(spark, sf).where("label = 0"), H.TYPES, len(H.TYPES), 36).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("H15_rewritten_reports")
+_RULES = [V.LATERALITY_SWAP, V.SEVERITY_SWAP, V.TEMPORAL_SWAP]
+
+
+def _rewritten_sql(rules, seed):
+    out = ", w0 AS (SELECT report_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM reports)"
+    bare = "regexp_extract(w, '^([A-Za-z-]+)([.,;:]?)$', 1)"
+    for r, swaps in enumerate(rules):
+        new = f"CASE lower({bare}) " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in swaps.items()) + " END"
+        coin = uniform_sql(seed, f"'{r}'", "report_id::VARCHAR", "i::VARCHAR")
+        out += f", w{r + 1} AS (SELECT report_id, i, CASE WHEN {new} IS NOT NULL AND {coin} < 0.5e0 THEN {new} || substr(w, length({bare}) + 1, 100) ELSE w END AS w FROM w{r})"
+    return out + f" SELECT report_id, string_agg(w, ' ' ORDER BY i) AS new_text FROM w{len(rules)} GROUP BY 1"
+
+
+@query("H15_rewritten_reports", _rewritten_sql(_RULES, 37), "reports")
 def h15(spark, sf):
-    return H.rewrite_report(reports(spark, sf), [V.LATERALITY_SWAP, V.SEVERITY_SWAP, V.TEMPORAL_SWAP], 0.5, 37).select("report_id", "new_text")
+    return H.rewrite_report(reports(spark, sf), _RULES, 0.5, 37).select("report_id", "new_text")
 
 
 @query("H16_dual_run")
