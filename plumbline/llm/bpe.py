@@ -260,19 +260,26 @@ def _slices(texts: pa.Array):
         yield lo, held
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """All columns of docs and ids (array of int), the tokens of text. A column ids or a clashing one is replaced."""
-    own = [c for c in docs.columns if c != "ids"]
+def encode(docs: DataFrame, path: str, decoded: str | None = None) -> DataFrame:
+    """All columns of docs and ids (array of int), the tokens of text. A column ids or a clashing one is replaced.
+
+    decoded names one more column (string), what the ids stand for: the ids are decoded where they are made, so that a
+    vocabulary is held by one Python worker for each task instead of two."""
+    added = ["ids"] if decoded is None else ["ids", decoded]
+    own = [c for c in docs.columns if c not in added]
 
     def rows(batches):
         model = tokenizer(path)
         for batch in batches:
             for lo, texts in _slices(batch.column("text")):
-                ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in model.encode(texts)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, len(texts)) for c in own), pa.array(ids, pa.list_(pa.int32()))], names=[*own, "ids"])
+                coded = model.encode(texts)
+                new = [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in coded], pa.list_(pa.int32()))]
+                if decoded is not None:
+                    new.append(pa.array([model.decode(x) for x in coded], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, len(texts)) for c in own), *new], names=[*own, *added])
 
     schema = docs.select(*own).schema.add("ids", T.ArrayType(T.IntegerType()))
-    return docs.select(*own).mapInArrow(rows, schema)
+    return docs.select(*own).mapInArrow(rows, schema if decoded is None else schema.add(decoded, "string"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
