@@ -52,8 +52,7 @@ def redact_secrets(spark, docs, sf_dir):
 def encode(spark, docs, sf_dir):
     """Tokens of each document, and the digest of what they decode to."""
     bound_batches(spark)
-    path = vocabulary_path()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary_path(), "decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
