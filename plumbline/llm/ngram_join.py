@@ -7,7 +7,8 @@
 2. A second pass emits the first n - ceil(0.75 n) + 1 shingles of each set in that order. Two sets that
    link share many of them. Pairs within short lists are counted, and dropped where the count plus
    what can still follow is below the overlap that both sizes demand; long lists only say which
-   classes must stand in the same block, after filters by size and position.
+   classes must stand in the same block, after filters by size and position. Lists of hot shingles are
+   dealt to slots and count as long.
 3. Classes connected in this way form blocks. A block holds whole rows of the class by shingle
    incidence matrix; large ones are cut into tiles of neighbouring sizes, and only tile pairs whose
    sizes can link are multiplied. The product's overlap counts decide every link; a tile pair returns
@@ -41,6 +42,8 @@ REST = 75
 SHORT_LIST = 24
 #: Classes and shingles of one tile.
 TILE_CLASSES, TILE_SHINGLES = 1024, 1_000_000
+#: A shingle is hot if it makes up this part of all, so there are no more hot ones than this; its list is dealt to slots.
+HOT_SHARE, SLOTS = 20_000, 64
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS):
@@ -123,8 +126,9 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
     return _texts(docs).mapInArrow(profile, f"kind tinyint, doc_id bigint, alike bigint, n bigint, cls {CLASS}")
 
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: int) -> DataFrame:
-    """(shingle, cls, n, pos) of each set's prefix; a class comes once from each slice of texts."""
+def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: int, hot: int) -> DataFrame:
+    """(shingle, slot, cls, n, pos) of each set's prefix; a class comes once from each slice of texts. The slot is -1, for
+    shingles that stand in `hot` sets or more one of SLOTS, by class."""
 
     def prefixes(batches):
         for batch in batches:
@@ -142,10 +146,11 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, rank: np.ndarray, words: in
                 order = np.lexsort((x, weight, row))
                 _, at = ragged(n)
                 take = chosen[row] & (at < (n - (REST * n + 99) // 100 + 1)[row])
-                row, at, s = row[take], at[take], x[order][take]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), _classes(a[row], b[row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["s", "cls", "n", "pos"])
+                row, at, s, weight = row[take], at[take], x[order][take], weight[order][take]
+                slot = np.where(weight >= hot, a[row].view(np.uint64) % np.uint64(SLOTS), -1).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(slot), _classes(a[row], b[row]), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["s", "slot", "cls", "n", "pos"])
 
-    return _texts(docs).mapInArrow(prefixes, f"s bigint, cls {CLASS}, n int, pos int")
+    return _texts(docs).mapInArrow(prefixes, f"s bigint, slot tinyint, cls {CLASS}, n int, pos int")
 
 
 def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -155,9 +160,9 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     their overlap is at most the prefixes' common shingles and what lies behind that prefix. A pair's first
     common shingle stands within the first n - ceil(percent n) + 1 of both and, in the smaller set, so early
     that the overlap both sizes demand can still follow."""
-    lists = prefixes.repartition("s").groupBy("s", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    every = Window.partitionBy("s")
-    lists = materialize(lists.withColumn("size", F.count("*").over(every)).where("size > 1"), "lists")
+    lists = prefixes.repartition("s", "slot").groupBy("s", "slot", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    size = F.when(F.col("slot") >= 0, F.lit(SHORT_LIST + 1)).otherwise(F.count("*").over(Window.partitionBy("s", "slot")))
+    lists = materialize(lists.withColumn("size", size).where("size > 1").drop("slot"), "lists")
     long = lists.where(F.col("size") > SHORT_LIST)
     hidden = long.groupBy("cls").agg(F.count("*").alias("hidden"))
     short = lists.where(F.col("size") <= SHORT_LIST).groupBy("s").agg(F.collect_list(F.struct("cls", "n", "pos")).alias("of"))
@@ -174,12 +179,31 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
     # a pair that meets in long lists only needs this many of them, whatever the other's size
     long = long.join(hidden, "cls").where(f"pos < n - ({percent} * n + 99) div 100 + 1")
     enough = f"100 * (hidden + 1) >= ({percent} - {REST}) * n"
-    long = long.where(enough).withColumn("index", F.expr(f"{100 + percent} * (n - pos) >= {2 * percent} * n"))
-    upto = Window.partitionBy("s").orderBy("n", F.expr("not index"), "cls").rowsBetween(Window.unboundedPreceding, -1)
-    long = long.withColumn("y", F.last(F.when(F.col("index"), F.struct("cls", "n")), ignorenulls=True).over(upto)).where(f"100 * y.n >= {percent} * n")
+    long = long.where(enough).select("s", "cls", "n", F.expr(f"{100 + percent} * (n - pos) >= {2 * percent} * n").alias("index"))
+    long = materialize(long, "long")
+    # the classes of one size hang on one of them, and that one on the next smaller size: windows see sizes, not classes
+    one = long.groupBy("s", "n").agg(F.min(F.when(F.col("index"), F.struct("cls", "n"))).alias("one"))
+    upto = Window.partitionBy("s").orderBy("n")
+    one = one.withColumn("here", F.last("one", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    one = one.withColumn("before", F.last("one", ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1))).drop("one")
+    y = F.when(F.col("here.cls") == F.col("cls"), F.col("before")).otherwise(F.col("here"))
+    long = long.join(one, ["s", "n"]).withColumn("y", y).where(f"100 * y.n >= {percent} * n")
     return pairs.union(long.select(F.col("y.cls").alias("a"), F.col("cls").alias("b"))).distinct()
 
 
+def _tiles(sized: DataFrame) -> DataFrame:
+    """sized with the tile of each class in its block: neighbouring sizes stand together, about TILE_CLASSES classes or
+    TILE_SHINGLES shingles of them.
+
+    Only (block, n, count) is ranked. Within the classes of one size a place is drawn by hash, so no task ranks a block."""
+    counts = sized.groupBy("block", "n").agg(F.count("*").alias("k"))
+    before = Window.partitionBy("block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("block", "n", "k", *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(c) for c, x in (("classes", F.col("k")), ("shingles", F.col("k") * F.col("n")))))
+    place = F.pmod(F.xxhash64("cls"), F.col("k"))
+    filled = (F.col("classes") + place) / TILE_CLASSES + (F.col("shingles") + place * F.col("n")) / TILE_SHINGLES
+    return sized.join(starts, ["block", "n"]).withColumn("tile", F.floor(filled)).drop("k", "classes", "shingles")
+
+
 def _links(n, sets, weight, percent, tile_a, tile_b):
     """Links between two tiles (or within one): per class the number of linked documents, and a forest."""
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -254,12 +278,11 @@ def link_documents(docs: DataFrame, words: int = WORDS, percent: int = 80) -> Da
     top = profile.where("kind = 1").groupBy(F.col("alike").alias("key")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_FREQUENT).collect()
     frequent, rank = np.array([r.key for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(frequent)
-    edges = _candidates(_prefixes(docs, frequent[order], rank[order], words), percent)
+    hot = (sizes.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE + 1
+    edges = _candidates(_prefixes(docs, frequent[order], rank[order], words, hot), percent)
     member = connected_components(edges, "blocks")
     sized = classes.join(member.select(F.col("node").alias("cls"), F.col("root").alias("block")), "cls")
-    by_size = Window.partitionBy("block").orderBy("n", "cls")
-    sized = sized.withColumn("tile", F.greatest(F.floor((F.row_number().over(by_size) - 1) / TILE_CLASSES), F.floor(F.sum(F.col("n").cast("bigint")).over(by_size) / TILE_SHINGLES)))
-    sized = materialize(sized, "tiles")
+    sized = materialize(_tiles(sized), "tiles")
     span = sized.groupBy("block", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = (span.select("block", F.col("tile").alias(t), F.col("lo").alias(f"lo_{t}"), F.col("hi").alias(f"hi_{t}")) for t in ("ta", "tb"))
     pairs = x.join(y, "block").where(f"ta <= tb and 100 * hi_ta >= {percent} * lo_tb").select("block", "ta", "tb")

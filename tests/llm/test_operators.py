@@ -44,10 +44,11 @@ def copies(seed=5):
     return out
 
 
-@pytest.mark.parametrize(("short", "tile"), [(24, 1024), (1, 5)])
-def test_ngram_join(spark, monkeypatch, short, tile):
+@pytest.mark.parametrize(("short", "tile", "share"), [(24, 1024, 20_000), (1, 5, 1), (24, 5, 200)])
+def test_ngram_join(spark, monkeypatch, short, tile, share):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     monkeypatch.setattr(ngram_join, "TILE_CLASSES", tile)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", share)
     rows = copies() + EDGE + [(None, t) for _, t in copies()[::9]] + [(None, "some other words of no id at all"), (None, None)]
     got = ngram_join.link_documents(frame(spark, rows)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.components(rows)))
@@ -72,8 +73,9 @@ def test_ngram_join_empty(spark):
     assert ngram_join.link_documents(frame(spark, [(None, "a b"), (None, "a b")])).select("n_links").distinct().first()[0] == 1
 
 
-@pytest.mark.parametrize("most", [512, 3])
-def test_repeats(spark, most):
+@pytest.mark.parametrize(("most", "share"), [(512, 20_000), (3, 50)])
+def test_repeats(spark, monkeypatch, most, share):
+    monkeypatch.setattr(repeats, "HOT_SHARE", share)
     rnd = random.Random(6)
     bits = ["".join(rnd.choice("abc d") for _ in range(rnd.randint(20, 120))) for _ in range(30)]
     rows = [(i + 50, "".join(rnd.choice(bits) if rnd.random() < 0.8 else rnd.choice("éxyz") * rnd.randint(1, 30) for _ in range(rnd.randint(0, 12)))) for i in range(120)]
@@ -140,6 +142,8 @@ def test_bpe_like_the_library(spark):
     coded = bpe.decode(bpe.encode(frame(spark, rows[:5]), path), path)
     assert {"ids", "decoded", "score"} <= set(coded.columns)
     assert coded.count() == 5
+    once = bpe.encode(frame(spark, rows[:5]), path, "decoded").select(coded.columns)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, coded.collect()))
 
 
 def test_bpe_whole_vocabulary():
