@@ -39,6 +39,8 @@ SLICE = 1 << 19
 MAX_GROUP = 512
 #: Keys of large groups that are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
+#: A key is hot if it holds this part of all occurrences, so there are no more hot ones than this.
+HOT_SHARE = 20_000
 
 
 def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int, core: int):
@@ -276,6 +278,16 @@ def _split_large(large: DataFrame, length: int, core: int, max_group: int) -> tu
     return small, equal
 
 
+def _keep(found: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of found whose key stands in keys (on, n: occurrences). Hot keys are broadcast, so the rows of a passage that
+    many documents hold stay where they are; the rest meet by a shuffle."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARE >= total
+    top = F.broadcast(keys.where(hot).select(*on))
+    cold = found.join(top, on, "left_anti").join(keys.where(~hot).select(*on), on, "left_semi")
+    return found.join(top, on, "left_semi").unionByName(cold)
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_group: int = MAX_GROUP, cover: bool = False) -> DataFrame:
     """(repeat, row, start, end) in bytes: every maximal group with all its occurrences.
 
@@ -284,12 +296,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE, max_gr
     the longer piece, or whole windows. docs: row (binary, equal only for rows that are equal), text. cover leaves
     out the groups' names and gives each context once, from the least start to the greatest end of its groups."""
     found = materialize(find_anchors(docs, length, core), "anchors")
-    again = found.groupBy("g").agg(F.sum(F.size("occ")).alias("n")).where("n > 1").select("g")
-    found = materialize(found.join(again, "g", "left_semi"), "shared")
+    again = materialize(found.groupBy("g").agg(F.sum(F.size("occ")).alias("n")).where("n > 1"), "again")
+    found = materialize(_keep(found, again, ["g"]), "shared")
     per = found.groupBy("g", "c").agg(F.sum(F.size("occ")).alias("n"), F.min(F.col("occ").getItem(0)).alias("one"))
     per = materialize(per, "contexts")
-    twice = per.where("n > 1").select("g", "c")
-    whole = found.join(twice, ["g", "c"], "left_semi").select(F.format_string("%016x-%016x", "g", "c").alias("repeat"), F.explode("occ").alias("x")).select("repeat", "x.row", F.col("x.a").alias("start"), F.col("x.z").alias("end"))
+    twice = per.where("n > 1").select("g", "c", "n")
+    whole = _keep(found, twice, ["g", "c"]).select(F.format_string("%016x-%016x", "g", "c").alias("repeat"), F.explode("occ").alias("x")).select("repeat", "x.row", F.col("x.a").alias("start"), F.col("x.z").alias("end"))
     sizes = per.groupBy(F.col("g").alias("key")).agg(F.count("*").alias("k"))
     keys = _large_keys(sizes, max_group)
     keyed = per.select(F.col("g").alias("key"), "g", "c", "one.*")
