@@ -68,7 +68,8 @@ class ByteBPE:
         self.shorter = [next((self.ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ranks), -1) for t in self.tokens]
         #: The two tokens that merge to each token in the end, and when; single bytes are there from the start.
         self.left, self.right, self.time = [-1] * size, [-1] * size, [-1] * size
-        self.all_made = all(self._trace(t) for t in range(size) if self.sizes[t] > 1)
+        self.whole = [n == 1 for n in self.sizes]  # whether merging makes the token from its bytes
+        self.in_order = all([self._trace(t) for t in range(size) if self.sizes[t] > 1])
         # the library's \s is the property White_Space
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]"))
         self.later = regex.compile("[" + "".join("-".join(chr(int(c, 16)) for c in x.split("-")) for x in LATER.split()) + "]")
@@ -95,7 +96,8 @@ class ByteBPE:
     def _trace(self, token: int) -> bool:
         """Notes the last merge of a token; false if merging does not make it, or makes it from a later one."""
         parts = self.merged(self.tokens[token], 2)
-        if len(parts) != 2 or any(self.sizes[p] > 1 and p > token for p in parts):
+        self.whole[token] = len(parts) == 2
+        if not self.whole[token] or any(self.sizes[p] > 1 and p > token for p in parts):
             return False
         self.left[token], self.right[token], self.time[token] = *parts, token
         return True
@@ -105,7 +107,7 @@ class ByteBPE:
 
         Walks back in time: the later of the two pieces at the border is taken apart, and each pair of pieces met is looked
         up. A merge across the border happens if it comes before the left piece's own next one and not after the right's."""
-        if not self.all_made:
+        if not self.in_order:
             return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         tokens, ranks, time = self.tokens, self.ranks, self.time
         next_a = next_b = never = len(tokens)
@@ -122,7 +124,7 @@ class ByteBPE:
 
     def cut(self, raw: bytes, longest: list[int]) -> list[int]:
         """Tokens of raw, whose longest matches are given: backtracking."""
-        sizes, shorter, pairs, size, n = self.sizes, self.shorter, self.pairs, len(self.tokens), len(raw)
+        sizes, shorter, whole, pairs, size, n = self.sizes, self.shorter, self.whole, self.pairs, len(self.tokens), len(raw)
         out: list[int] = []
         closed = bytearray(n + 1)
         at, token, last = 0, longest[0], -1
@@ -130,7 +132,10 @@ class ByteBPE:
             while token >= 0:
                 if not closed[at + sizes[token]]:
                     if last < 0:
-                        break
+                        if whole[token]:
+                            break
+                        token = shorter[token]
+                        continue
                     key = last * size + token
                     fits = pairs.get(key)
                     if fits is None:

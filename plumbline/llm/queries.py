@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, bytebpe, decontaminate, langid, licenses, media, merkle, ngram_join, quotes, repeats, secrets, toxicity
+from . import bpe, bytebpe, decontaminate, langid, licenses, media, merkle, ngram_join, quotes, repeats, secrets, spelling, toxicity
 from .store import table
 
 
@@ -28,6 +28,10 @@ def op5_bpe_encode_decode(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.verify(table(spark, sf_dir, "documents"))
 
@@ -67,5 +71,5 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op12_merkle_manifest": op12_merkle_manifest, "op13_byte_bpe": op13_byte_bpe, "quoting_replies": quoting_replies, "op9_language_id": op9_language_id, "op10_secret_scan": op10_secret_scan, "op1_toxicity": op1_toxicity, "op2_quotation_linking": op2_quotation_linking, "op8_license_scan": op8_license_scan, "op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
-SQL: dict[str, str] = {"op12_merkle_manifest": merkle.verify_sql(), "op2_quotation_linking": quotes.digest_sql(), "quoting_replies": quotes.digest_sql(quotes.QUOTING_SQL), "op8_license_scan": licenses.scan_sql()}
+QUERIES = {"op11_spelling_variants": op11_spelling_variants, "op12_merkle_manifest": op12_merkle_manifest, "op13_byte_bpe": op13_byte_bpe, "quoting_replies": quoting_replies, "op9_language_id": op9_language_id, "op10_secret_scan": op10_secret_scan, "op1_toxicity": op1_toxicity, "op2_quotation_linking": op2_quotation_linking, "op8_license_scan": op8_license_scan, "op5_bpe_encode_decode": op5_bpe_encode_decode, "op7_media_tiff": op7_media_tiff, "op4_suffix_array_dedup": op4_suffix_array_dedup, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_benchmark_decontamination": op6_benchmark_decontamination}
+SQL: dict[str, str] = {"op11_spelling_variants": spelling.variants_sql(), "op12_merkle_manifest": merkle.verify_sql(), "op2_quotation_linking": quotes.digest_sql(), "quoting_replies": quotes.digest_sql(quotes.QUOTING_SQL), "op8_license_scan": licenses.scan_sql()}
