@@ -38,8 +38,12 @@ DAMAGED = 97
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN = r"[A-Za-zÀ-ÿ]+"
-#: Levels of the trie: common letters first, so that it branches early; the other letters in six groups.
-GROUPS = [*"etaoinshrdlcumwfgypbvkjxqz", *("".join(chr(c) for c in range(0xC0, 0x100) if c % 6 == k) for k in range(6))]
+#: Levels of the trie: letters in groups of about equal frequency (the order of letters there and back), common ones first.
+LEVELS = 16
+_COMMON = [*"etaoinshrdlcumwfgypbvkjxqz", *map(chr, range(0xC0, 0x100))]
+GROUPS = ["".join(c for i, c in enumerate(_COMMON) if (i % LEVELS if i // LEVELS % 2 == 0 else LEVELS - 1 - i % LEVELS) == k) for k in range(LEVELS)]
+#: Letters of words that are compared as rows of a matrix, and pairs that are compared at once.
+ROW_LETTERS, PAIRS = 24, 100_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -130,26 +134,77 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == (b[i + 1 :] if len(a) == len(b) else b[i:])
 
 
+def letters(texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, and the words' letters as rows, from their beginnings and from their ends; longer words have empty rows."""
+    size = np.array([len(t) for t in texts], np.int32)
+    rows = np.full((2, len(texts), ROW_LETTERS), pad, np.uint8)
+    for i, t in enumerate(texts):
+        if len(t) <= ROW_LETTERS:
+            own = np.frombuffer(t.encode("latin-1"), np.uint8)  # all letters of words are there
+            rows[0, i, : len(own)], rows[1, i, : len(own)] = own, own[::-1]
+    return size, rows[0], rows[1]
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Letters up to the first difference of each pair of rows, whose paddings differ."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), ROW_LETTERS)
+
+
+class Shard:
+    """Words of a shard and those that ask; pairs are compared in blocks."""
+
+    def __init__(self, texts: list[str], asked: list[str]):
+        self.texts, self.asked = texts, asked
+        self.of, self.by = letters(texts, 0), letters(asked, 1)
+
+    def near(self, t: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which of the pairs are one edit apart: what agrees at both ends leaves one letter."""
+        (m, head, tail), (n, asked_head, asked_tail) = self.of, self.by
+        long = np.maximum(m[t], n[q])
+        same = agreeing(head[t], asked_head[q])
+        ends = agreeing(tail[t], asked_tail[q])
+        found = (same + ends >= long - 1) & (np.abs(m[t] - n[q]) <= 1) & ~((same >= long) & (m[t] == n[q]))
+        for i in np.flatnonzero(long > ROW_LETTERS):
+            found[i] = one_edit(self.texts[t[i]], self.asked[q[i]])
+        return found
+
+
+def paired(found, size: int):
+    """Candidates as arrays of pairs, at least `size` at once but for the last."""
+    held, n = [], 0
+    for leaf, rows in found:
+        held.append((np.full(len(rows), leaf), rows))
+        n += len(rows)
+        if n >= size:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 _NEAR = "word string, n_near bigint, form string, form_n bigint"
 
 
 def search_shard(words: pa.Table, queries: pa.Table) -> pa.Table:
     """For each query with near words in the shard: how many, and the commonest."""
     words = words.sort_by("place")
-    texts, n = words["word"].to_pylist(), words["n"].to_pylist()
-    asked = queries["word"].to_pylist()
-    near: dict[int, tuple[int, int, str]] = {}
+    texts, asked = words["word"].to_pylist(), queries["word"].to_pylist()
+    near = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     if texts and asked:
-        for leaf, rows in candidates(matrix(words["vector"].combine_chunks()), matrix(queries["vector"].combine_chunks())):
-            text = texts[leaf]
-            for q in rows.tolist():
-                if one_edit(text, asked[q]):
-                    count, best, form = near.get(q, (0, 0, ""))
-                    if n[leaf] > best or n[leaf] == best and text < form:
-                        best, form = n[leaf], text
-                    near[q] = count + 1, best, form
-    found = list(near.values())
-    return pa.table([pa.array([asked[q] for q in near], pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], names=["word", "n_near", "form", "form_n"])
+        shard = Shard(texts, asked)
+        for t, q in paired(candidates(matrix(words["vector"].combine_chunks()), matrix(queries["vector"].combine_chunks())), PAIRS):
+            kept = shard.near(t, q)
+            near.append((t[kept], q[kept]))
+    t, q = map(np.concatenate, zip(*near, strict=True))
+    n = words["n"].to_numpy()
+    place = np.empty(len(texts), np.int64)
+    place[sorted(range(len(texts)), key=texts.__getitem__)] = np.arange(len(texts))
+    order = np.lexsort((place[t], -n[t], q))
+    t, q = t[order], q[order]
+    who, first, count = np.unique(q, return_index=True, return_counts=True)
+    best = t[first]
+    return pa.table([pa.array([asked[i] for i in who], pa.string()), pa.array(count, pa.int64()), pa.array([texts[i] for i in best], pa.string()), pa.array(n[best], pa.int64())], names=["word", "n_near", "form", "form_n"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
