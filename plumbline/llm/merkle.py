@@ -106,20 +106,22 @@ def grow(base: DataFrame, at: int, first_level: int, top_level: int) -> DataFram
     steps = F.least(F.lit(GROUP_LEVELS), F.col("h") - at).cast("int")
     levels = F.aggregate(F.when(F.col("steps") > 0, F.sequence(F.lit(1), F.col("steps"))).otherwise(F.array().cast("array<int>")), F.array(F.col("b.hash")), lambda acc, k: F.concat(acc, F.array(_above(F.element_at(acc, F.lit(-1))))))
     built = group.withColumn("steps", steps).withColumn("levels", levels)
+
+    def linked(k, j):
+        """Node j of level k: its link ends in the last level of the tree as the top tree's leaf."""
+        count = F.least(F.lit(LINK_LEVELS), F.col("steps") - k)
+        width, span = F.pow(F.lit(2), k).cast("int"), F.pow(F.lit(2), k + count).cast("int")
+        first = lambda i: F.get("b", i)["lo"]
+        up_level = F.when(k + count + at == F.col("h"), F.lit(top_level)).otherwise(k + count + at + first_level)
+        return F.struct(
+            node(k + at + first_level, first(j * width)).alias("node"), node(up_level, first(F.floor(j * width / span).cast("int") * span)).alias("up"), _link(F.col("levels"), k, j, count).alias("path"),
+            first(j * width).alias("lo"), F.get("b", F.least((j + 1) * width, F.size("b")) - 1)["hi"].alias("hi"),
+        )
+
     stations = F.sequence(F.lit(0), F.greatest(F.col("steps") - 1, F.lit(0)), F.lit(LINK_LEVELS))
-    each = built.withColumn("k", F.explode(stations)).select("*", F.posexplode(F.get("levels", F.col("k"))).alias("j", "own"))
-    width, count = F.pow(F.lit(2), F.col("k")).cast("int"), F.least(F.lit(LINK_LEVELS), F.col("steps") - F.col("k"))
-    last = F.least((F.col("j") + 1) * width, F.size("b")) - 1
-    lo = F.get("b", F.col("j") * width)["lo"]
-    # a link ends in the last level of the tree as the top tree's leaf
-    reached = F.col("k") + count
-    span = F.pow(F.lit(2), reached).cast("int")
-    up_lo = F.get("b", F.floor(F.col("j") * width / span).cast("int") * span)["lo"]
-    up_level = F.when(reached + at == F.col("h"), F.lit(top_level)).otherwise(reached + at + first_level)
-    links = each.where("k < steps or (steps = 0 and k = 0)").select(
-        F.lit("link").alias("kind"), node(F.col("k") + at + first_level, lo).alias("node"), node(up_level, up_lo).alias("up"), _link(F.col("levels"), F.col("k"), F.col("j"), count).alias("path"),
-        lo.alias("lo"), F.get("b", last)["hi"].alias("hi"), F.col("own").alias("hash"), "tree", F.lit(None).cast("bigint").alias("idx"), "n",
-    )
+    # made within the row, so that a node's row does not carry the arrays of its whole group
+    all_links = F.flatten(F.transform(stations, lambda k: F.transform(F.sequence(F.lit(0), F.size(F.get("levels", k)) - 1), lambda j: linked(k, j))))
+    links = built.select(F.explode(all_links).alias("x")).select(F.lit("link").alias("kind"), "x.*", F.lit(None).cast("binary").alias("hash"), F.lit(None).cast("bigint").alias("tree"), F.lit(None).cast("bigint").alias("idx"), F.lit(None).cast("bigint").alias("n"))
     ends = built.select(
         F.when(F.col("h") - at <= GROUP_LEVELS, F.lit("top")).otherwise("next").alias("kind"), F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("up"), F.lit(None).cast("array<struct<left:boolean,hash:binary>>").alias("path"),
         F.get("b", F.lit(0))["lo"].alias("lo"), F.element_at("b", -1)["hi"].alias("hi"), F.get(F.element_at("levels", -1), F.lit(0)).alias("hash"), "tree", F.col("g").cast("bigint").alias("idx"), "n",
