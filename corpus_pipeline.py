@@ -1,8 +1,10 @@
 """A corpus pipeline of the operators in plumbline.llm: score, join, decontaminate, redact, encode.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
-last return the columns of documents. Rows that share a doc_id are kept or dropped together; rows
-without a doc_id are kept by the filters.
+last return the columns of documents. Near duplicates and toxicity decide row by row; decontamination
+drops all rows of a contaminated doc_id; rows without a doc_id are kept by both filters of ids. Null and
+empty texts have no words, so they link with nothing and stay; very long texts are read whole; ties of a
+group go to one row; an empty table passes all stages; a caller's other columns are handed on as they are.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def keep_one_of_each_group(spark, docs, sf_dir):
-    """Of the documents connected by links the one with the least doc_id stays."""
+    """Of the rows connected by links one stays: that of the least doc_id, and of rows that share it any one.
+
+    Rows are numbered and linked by their numbers, so a doc_id on several rows joins no groups and loses none."""
     bound_batches(spark)
-    links = ngram_join.link_documents(docs)
-    others = links.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti")
-    return kept.select(docs.columns)
+    rows = materialize(docs.withColumn(_MARK, F.monotonically_increasing_id()), "numbered")
+    links = ngram_join.link_documents(rows.select(F.col(_MARK).alias("doc_id"), "text")).select(F.col("doc_id").alias(_MARK), "component_id")
+    members = links.join(rows.where("doc_id is not null").select(_MARK, F.col("doc_id").alias("_id")), _MARK)
+    best = members.groupBy("component_id").agg(F.min(F.struct("_id", _MARK))[_MARK].alias("_best"))
+    others = members.join(best, "component_id").where(F.col(_MARK) != F.col("_best")).select(_MARK)
+    return rows.join(others, _MARK, "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark, docs, sf_dir):

@@ -546,8 +546,33 @@ def test_pipeline_stages_on_edge_rows(spark, rows):
         out = out.collect()
         assert all(r.score == r.spans == r.ids == "kept" for r in out)
         if name == "near_duplicates":
-            assert len(out) == (docs.count() and docs.count() - 1)  # 5 goes with the rows of 4, which share their doc_id and stay
+            assert len(out) == (docs.count() and docs.count() - 2)  # of the two rows of 4 and that of 5 one stays
+            if rows:
+                assert [(r.doc_id, r.text) for r in out if r.doc_id in (4, 5)] == [(4, "a b c")]
         else:
             assert len(out) == docs.count()
         if name == "secrets":
             assert all("[SECRET]" in r.text for r in out if (r.doc_id or 0) >= 100)
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Where a doc_id stands on several rows no group is lost: against all pairs of rows."""
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    rows = [(rng.choice([None, i, i % 12, i % 7]), t) for i, (_, t) in enumerate(copies(9))]
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows += [(5, a), (7, a), (5, b), (3, b), (900, None), (901, ""), (902, "")]
+    docs = frame(spark, rows)
+    got = sorted(map(repr, ((r.doc_id, r.text) for r in p.keep_one_of_each_group(spark, docs, "").collect())))
+    linked = {i: c for i, _, c, _ in brute.components([(i, t) for i, (_, t) in enumerate(rows)])}
+    groups = {}
+    for i, c in linked.items():
+        if rows[i][0] is not None:
+            groups.setdefault(c, []).append(rows[i])
+    assert len(got) == len(groups) + sum(i is None for i, _ in rows)
+    kept = [r for r in rows if r[0] is None and repr(r) in got]
+    assert len(kept) == sum(i is None for i, _ in rows)
+    for members in groups.values():
+        least = min(i for i, _ in members)
+        assert any(repr(r) in got for r in members if r[0] == least)
