@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .queries.registry import QUERIES, SQL
 
-MODULES = ("provenance", "triage", "texts", "metrics", "agreement", "joins", "perturbation", "selection", "pipelines")
+MODULES = ("provenance", "structured", "triage", "texts", "metrics", "agreement", "joins", "perturbation", "selection", "pipelines")
 
 
 def _load() -> None:
