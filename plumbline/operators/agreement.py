@@ -49,8 +49,9 @@ def alpha_of_pairs(pairs: DataFrame, level: str, keys: list[str] | None = None)
 
 
 def krippendorff(ratings: DataFrame, level: str = "nominal", keys: list[str] | None = None) -> DataFrame:
-    """ratings: unit_id, coder, value. Units with under two codings do not count."""
-    return alpha_of_pairs(pair_counts(ratings, keys), level, keys)
+    """ratings: unit_id, coder, value. Units with under two codings do not count; without any other unit, as with one coder, it is an error."""
+    out = alpha_of_pairs(pair_counts(ratings, keys), level, keys)
+    return out.withColumn("alpha", F.coalesce("alpha", F.raise_error(F.lit("no unit has two codings")).cast("double")))
 
 
 def bootstrap_alpha(ratings: DataFrame, level: str, replicates: int, seed: int, confidence: float = 0.95) -> DataFrame:

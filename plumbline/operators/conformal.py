@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import uniform
 from ..functions import provenance as P
-from .ranks import running
+from .ranks import quantile, running
 
 RARE = "Rare/Other"
 
@@ -75,7 +75,7 @@ def calibrate(cal: DataFrame, group: str = "pathology", least: int = 50, low: fl
     groups = pooled_groups(cal, group, least, only)
     rows = _effective(cal, groups, group)
     rows = rows if only is None else rows.where(only)
-    return groups, rows.groupBy("effective").agg(F.percentile("score", low).alias("tau"), F.count("*").alias("n_cal"))
+    return groups, quantile(rows, "score", low, ["effective"]).select("effective", F.col("quantile").alias("tau"), F.col("n").alias("n_cal"))
 
 
 def triage(cal: DataFrame, test: DataFrame, alpha: float = 0.05, group: str = "pathology", least: int = 50, low: float = 0.25, null_label: int = 0, scope: str = "group") -> DataFrame:

@@ -24,16 +24,32 @@ def check_disjoint(splits: DataFrame, key: str = "patient_id") -> None:
         raise ValueError(f"ids in several splits: {[r[0] for r in found]}")
 
 
-def match_files(files: DataFrame, reports: DataFrame) -> DataFrame:
-    """(image_file, report_id): by the patient's prefix; what is left, by the first report whose patient's name the file contains.
+#: Letters of the pieces by which prefixes and report ids meet.
+PIECE = 3
+
 
-    The second step only sees files without a prefix match, cut into all digit runs of their names, so it is an equi join too."""
-    named = files.withColumn("prefix", F.split(F.regexp_replace("image_file", r"\.png", ""), "_")[0])
-    first = reports.groupBy(F.col("patient").alias("prefix")).agg(F.min("report_id").alias("report_id"))
-    joined = named.join(first, "prefix", "left")
-    missing = joined.where("report_id is null").select("image_file", F.explode(F.array_distinct(F.regexp_extract_all("image_file", F.lit("([a-z]*[0-9]+)"), 1))).alias("prefix"))
-    second = missing.join(first, "prefix").groupBy("image_file").agg(F.min("report_id").alias("other"))
-    return joined.join(second, "image_file", "left").select("image_file", F.coalesce("report_id", "other").alias("report_id"))
+def match_files(files: DataFrame, reports: DataFrame) -> DataFrame:
+    """(image_file, report_id): by the report id that equals the file's prefix, else by the least one that contains it, else null.
+
+    The prefix is the file's name up to its first underscore, without its ending. Ids that contain a prefix are found
+    over the pieces of three letters of both: a prefix asks by its rarest piece, an id offers all of its own, and what
+    meets is verified. Prefixes of under three letters are offered by ids as they are. Files that share a prefix ask once."""
+    named = files.withColumn("prefix", F.split(F.regexp_replace("image_file", r"\.[A-Za-z]+$", ""), "_")[0])
+    ids = reports.where("report_id is not null").select(F.col("report_id").cast("string").alias("report_id")).distinct()
+    asked = named.select("prefix").where("prefix <> ''").distinct()
+    exact = asked.join(ids, F.col("prefix") == F.col("report_id"), "left_semi").select("prefix", F.col("prefix").alias("report_id"))
+    left = asked.join(ids, F.col("prefix") == F.col("report_id"), "left_anti")
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    own = pieces(F.col("report_id"), PIECE)
+    for n in range(1, PIECE):
+        own = F.concat(own, pieces(F.col("report_id"), n))
+    offered = ids.select("report_id", F.explode(F.array_distinct(own)).alias("piece"))
+    frequency = offered.groupBy("piece").agg(F.count("*").alias("n"))
+    # a piece that no id offers settles that the prefix stands nowhere: it is the rarest, with no rows to meet
+    wanted = left.select("prefix", F.explode(pieces(F.col("prefix"), PIECE)).alias("piece")).join(frequency, "piece", "left")
+    rarest = wanted.groupBy("prefix").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    within = rarest.join(offered, "piece").where(F.contains("report_id", "prefix")).groupBy("prefix").agg(F.min("report_id").alias("report_id"))
+    return named.join(exact.unionByName(within), "prefix", "left").select("image_file", "report_id")
 
 
 def unlabelled(rows: DataFrame, done: DataFrame, key: str = "claim_id") -> DataFrame:
@@ -117,8 +133,11 @@ def pooled_evidence(claims: DataFrame, pool: DataFrame, tokens, seed: int, size:
     ranked = chosen.withColumn("k", F.row_number().over(Window.orderBy("u", "passage_id")))
     words = F.broadcast(ranked.select("k", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w")))
     hits = claims.select("claim_id", F.explode(F.array_distinct(tokens(F.col("claim")))).alias("w")).join(words, "w").groupBy("claim_id").agg(F.slice(F.array_sort(F.collect_set("k")), 1, most).alias("ks"))
-    drawn = F.array(*((F.floor(uniform(seed + 1 + i, F.col("claim_id")) * size) + 1).cast("int") for i in range(most)))
-    asked = claims.join(hits, "claim_id", "left").select("claim_id", F.posexplode(F.coalesce("ks", drawn)).alias("pos", "k"))
+    # drawn among those that are there, one after another, each from the rest: different ones
+    there = F.transform(F.sequence(F.lit(1), F.col("size")), lambda k: k.cast("int"))
+    drawn = F.slice(F.transform(F.array_sort(F.transform(there, lambda k: F.struct(uniform(seed + 1, F.col("claim_id"), k.cast("string")).alias("u"), k.alias("k")))), lambda x: x["k"]), 1, most)
+    sized = claims.select("claim_id").crossJoin(F.broadcast(ranked.agg(F.count("*").cast("int").alias("size")))).where("size > 0")
+    asked = sized.join(hits, "claim_id", "left").select("claim_id", F.posexplode(F.when(F.col("ks").isNull(), drawn).otherwise(F.col("ks"))).alias("pos", "k"))
     got = asked.join(F.broadcast(ranked.select("k", "text")), "k").groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("evidence"))
     return got
 

@@ -87,18 +87,22 @@ def fit_temperature(rows: DataFrame, logit: str, label: str, low: float = 0.05,
 def density_ratio(cal: DataFrame, test: DataFrame, vector: str = "vector", parts: int = 16) -> DataFrame:
     """cal and test rows with weight = odds of being a test row, times n_cal / n_test, within [1e-4, 10].
 
-    Vectors are scaled, reduced to `parts` components and told apart by logistic regression, all distributed."""
+    Vectors are scaled, reduced to `parts` components (fewer for shorter vectors or fewer rows) and told apart by logistic regression, all distributed."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     both = cal.withColumn("_y", F.lit(0.0)).unionByName(test.withColumn("_y", F.lit(1.0))).withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    width = both.agg(F.max(F.size(vector)), F.count("*")).first()
+    if not width[1]:
+        raise ValueError("no rows")
+    parts = max(1, min(parts, width[0], width[1]))
     steps = [StandardScaler(inputCol="_v", outputCol="_s", withMean=True), PCA(k=parts, inputCol="_s", outputCol="_c"), LogisticRegression(featuresCol="_c", labelCol="_y", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_q", maxIter=50)]
     out = Pipeline(stages=steps).fit(both).transform(both)
     n = both.agg(F.count_if(F.col("_y") == 0).alias("_a"), F.count_if(F.col("_y") == 1).alias("_b"))
     p = vector_to_array("_p")[1]
-    weight = F.least(F.greatest(p / (1 - p) * F.col("_a") / F.col("_b"), F.lit(1e-4)), F.lit(10.0))
+    weight = F.least(F.greatest(F.coalesce(F.try_divide(p, 1 - p), F.lit(float("inf"))) * F.col("_a") / F.col("_b"), F.lit(1e-4)), F.lit(10.0))
     return out.crossJoin(F.broadcast(n)).withColumn("weight", weight).withColumn("is_test", F.col("_y") == 1).drop("_y", "_v", "_s", "_c", "_p", "_r", "_q", "_a", "_b")
 
 

@@ -27,14 +27,19 @@ def j02(spark, sf):
     return J.leaks(_splits(spark, sf).union(extra), "source")
 
 
-_FILES = ", f AS (SELECT DISTINCT CASE WHEN patient_id % 3 = 0 THEN 'x_' || image_file ELSE image_file END AS image_file FROM workbook), r AS (SELECT 'p' || patient_id::VARCHAR AS prefix, min(report_id) AS report_id FROM claims GROUP BY 1), a AS (SELECT f.image_file, r.report_id FROM f LEFT JOIN r ON r.prefix = string_split(replace(image_file, '.png', ''), '_')[1]), b AS (SELECT image_file, min(r.report_id) AS other FROM (SELECT image_file, unnest(regexp_extract_all(image_file, '[a-z]*[0-9]+')) AS prefix FROM a WHERE report_id IS NULL) JOIN r USING (prefix) GROUP BY 1)"
+_FILES = (
+    ", f AS (SELECT DISTINCT CASE WHEN patient_id % 3 = 0 THEN 'x_' || image_file ELSE image_file END AS image_file FROM workbook), n AS (SELECT image_file, string_split(replace(image_file, '.png', ''), '_')[1] AS prefix FROM f)"
+    ", r AS (SELECT DISTINCT CASE WHEN patient_id % 2 = 0 THEN 'p' || patient_id::VARCHAR ELSE 'study-p' || patient_id::VARCHAR || '-' || report_id::VARCHAR END AS report_id FROM claims)"
+    ", w AS (SELECT prefix, coalesce(min(report_id) FILTER (report_id = prefix), min(report_id)) AS report_id FROM (SELECT DISTINCT prefix FROM n) JOIN r ON contains(report_id, prefix) GROUP BY 1)"
+)
 
 
-@query("J03_match_files", _FILES + " SELECT a.image_file, coalesce(a.report_id, other) AS report_id FROM a LEFT JOIN b USING (image_file)", "workbook")
+@query("J03_match_files", _FILES + " SELECT image_file, report_id FROM n LEFT JOIN w USING (prefix)", "workbook")
 def j03(spark, sf):
     files = workbook(spark, sf).select(F.when(F.col("patient_id") % 3 == 0, F.concat(F.lit("x_"), "image_file")).otherwise(F.col("image_file")).alias("image_file")).distinct()
-    reports = claims(spark, sf).select("report_id", F.concat(F.lit("p"), F.col("patient_id").cast("string")).alias("patient"))
-    return J.match_files(files, reports)
+    patient = F.concat(F.lit("p"), F.col("patient_id").cast("string"))
+    ids = F.when(F.col("patient_id") % 2 == 0, patient).otherwise(F.concat(F.lit("study-"), patient, F.lit("-"), F.col("report_id").cast("string")))
+    return J.match_files(files, claims(spark, sf).select(ids.alias("report_id")))
 
 
 @query("J05_unlabelled", "SELECT claim_id FROM claims WHERE claim_id NOT IN (SELECT claim_id FROM workbook)", "workbook")
@@ -216,7 +221,7 @@ _ID = "claim_id"
 _J18 = (
     f", pool AS (SELECT evidence_text AS text, min(claim_id) AS passage_id FROM claims GROUP BY 1), ch AS (SELECT *, row_number() OVER (ORDER BY u, passage_id) AS k FROM (SELECT *, {uniform_sql(21, 'passage_id')} AS u FROM pool ORDER BY u, passage_id LIMIT 100))"
     f", pw AS (SELECT DISTINCT k, unnest({_tok('text')}) AS w FROM ch), cw AS (SELECT DISTINCT claim_id, unnest({_tok('claim')}) AS w FROM claims), ht AS (SELECT claim_id, list_sort(list(DISTINCT k))[1:2] AS ks FROM cw JOIN pw USING (w) GROUP BY 1)"
-    f", ak AS (SELECT claim_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS pos FROM (SELECT claim_id, coalesce(ks, [{', '.join(f'(floor({uniform_sql(s, _ID)} * 100) + 1)::BIGINT' for s in (22, 23))}]) AS ks FROM claims LEFT JOIN ht USING (claim_id)))"
+    f", ak AS (SELECT claim_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS pos FROM (SELECT claim_id, coalesce(ks, list_transform(list_sort(list_transform(range(1, m + 1), lambda k: {{u: {uniform_sql(22, _ID, 'k::VARCHAR')}, k: k}}))[1:2], lambda x: x.k)) AS ks FROM claims LEFT JOIN ht USING (claim_id), (SELECT count(*) AS m FROM ch)))"
     " SELECT claim_id, list(text ORDER BY pos) AS evidence FROM ak JOIN ch USING (k) GROUP BY 1"
 )
 

@@ -13,8 +13,13 @@ from .. import vocabulary as V
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, a temporary one in local sessions and an error in others."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
@@ -22,7 +27,7 @@ def stored(rows: DataFrame) -> DataFrame:
     """The rows, written once as Parquet and read again, so that several uses do not compute them anew."""
     path = scratch(rows.sparkSession)
     rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
