@@ -92,15 +92,21 @@ def tokens(buf: np.ndarray, offsets: np.ndarray):
     ends[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == 2) | edge[1:n]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     text = np.searchsorted(offsets, start, side="right") - 1
-    counts = [np.concatenate([[0], np.cumsum(_CLASS[buf, k])]) for k in range(5)]
-    digits, upper, lower, hexes, other = (c[end] - c[start] for c in counts)
+    upto = np.zeros(n + 1, np.int32)  # one kind at a time: memory stays at a few bytes for each byte of text
+    found = []
+    for k in range(5):
+        np.cumsum(_CLASS[buf, k], out=upto[1:])
+        found.append(upto[end] - upto[start])
+        if k == 0:
+            digits_at = upto[offsets].astype(np.int64)
+    digits, upper, lower, hexes, other = found
     size = end - start
     band = np.searchsorted([2, 6, 12, 20, 32], size, side="right")
     letters = upper + lower
     form = (digits > 0) * 1 + (upper > 0) * 2 + (lower > 0) * 4 + ((other > 0) | ((letters == hexes) & (digits > 0) & (letters > 0) & (upper == 0))) * 8
     shape = band * 16 + form
-    changed = np.zeros(n + 1, np.int64)
-    kinds = _CLASS[buf, 0] + 2 * _CLASS[buf, 1] + 3 * _CLASS[buf, 2]
+    changed = np.zeros(n + 1, np.int32)
+    kinds = _CLASS[buf, 0] + np.uint8(2) * _CLASS[buf, 1] + np.uint8(3) * _CLASS[buf, 2]
     np.cumsum((kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0), out=changed[2:]) if n > 1 else None
     changes = np.searchsorted([1, 2, 4, 7, 12], changed[end] - changed[np.minimum(start + 1, n)], side="right")
     change = changes * 2 + (size >= 16)
@@ -115,8 +121,9 @@ def tokens(buf: np.ndarray, offsets: np.ndarray):
         return out
 
     m = len(offsets) - 1
-    signs = np.concatenate([[0], np.cumsum((buf == 0x3D) | (buf == 0x3A))])[offsets]
-    share = (np.diff(counts[0][offsets]) * 20 // np.maximum(1, np.diff(offsets))).clip(0, 3)
+    np.cumsum((buf == 0x3D) | (buf == 0x3A), out=upto[1:])
+    signs = upto[offsets].astype(np.int64)
+    share = (np.diff(digits_at) * 20 // np.maximum(1, np.diff(offsets))).clip(0, 3)
     file = share * 4 + (np.diff(signs) * 200 // np.maximum(1, np.diff(offsets))).clip(0, 3) if m else np.zeros(0, np.int64)
     none = SHAPES - 1
     features = np.stack([shape, moved(shape, -1, none), moved(shape, 1, none), moved(word, -1, WORD_BUCKETS), moved(word, -2, WORD_BUCKETS), moved(word, 1, WORD_BUCKETS), file[text], band * 2 + ((digits > 0) & (letters > 0)), change], 1) + GROUPS
@@ -130,7 +137,9 @@ class Field:
 
     def decode(self, features: np.ndarray, text: np.ndarray) -> np.ndarray:
         """The best label of every token."""
-        scores = self.weights[features].sum(1)
+        scores = self.weights[features[:, 0]]
+        for g in range(1, features.shape[1]):  # group by group, so that no tokens x groups x labels array is made
+            scores += self.weights[features[:, g]]
         labels = np.zeros(len(scores), np.int8)
         lead = scores[:, OUT] - scores[:, 1:].max(1)
         open_ = lead <= 2 * (self.moves.max() - self.moves.min()) + 1e-6
@@ -380,15 +389,29 @@ def _located(batch, field: Field | None, limit: int = SLICE_BYTES):
         if field is not None and len(buf):
             start, end, text, features = tokens(buf, offsets)
             labels = field.decode(features, text)
-            for s, e, d in zip(*_chunks(labels, start, end, text), strict=True):
-                data, base = texts[d], int(offsets[d])
-                a = len(buf[base:s].tobytes().decode())
-                z = a + len(buf[s:e].tobytes().decode())
-                if all(z <= x or y <= a for x, k, _, y in found[d] if k < 3) and a < len(data):
-                    found[d].append((a, 3, "crf", z))
+            s, e, d = _chunks(labels, start, end, text)
+            points = np.zeros(len(buf) + 1, np.int32)  # code points before each byte
+            np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
+            first = points[offsets[d]]
+            for doc, a, z in _apart(d, points[s] - first, points[e] - first, found):
+                found[doc].append((a, 3, "crf", z))
         yield lo, n, texts, [sorted(x) for x in found]
 
 
+def _apart(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: list[list[tuple]]):
+    """Yields (doc, start, end) of the spans, given by doc, that touch no base span of their doc; base spans lie by start."""
+    edges = np.searchsorted(docs, np.arange(len(base) + 1))
+    for doc in np.unique(docs):
+        own = slice(edges[doc], edges[doc + 1])
+        a, z = starts[own], ends[own]
+        if base[doc]:
+            reach = np.maximum.accumulate([y for _, _, _, y in base[doc]])
+            before = np.searchsorted([x for x, _, _, _ in base[doc]], z)  # base spans that start before the end
+            free = (before == 0) | (reach[before - 1] <= a)
+            a, z = a[free], z[free]
+        yield from ((int(doc), x, y) for x, y in zip(a.tolist(), z.tolist(), strict=True))
+
+
 def find(docs: DataFrame, field: Field | None, name: str = "spans") -> DataFrame:
     """All columns of docs and the spans under a name (which replaces a column of that name): base spans, and decoded ones that touch none of them."""
     own = [c for c in docs.columns if c != name]

@@ -28,15 +28,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of texts that stand in a Python worker's memory at once.
-BATCH_ROWS = 1000
+#: Rows of texts that stand in a Python worker's memory at once, and their bytes where they are long (a batch holds one row at least).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default of 10,000 rows for each Arrow batch, which is much for whole texts; a smaller setting stays."""
+    """Lowers Spark's defaults of 10,000 rows and 64 MB for each Arrow batch, which is much for whole texts; smaller settings stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -136,7 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     order = F.xxhash64("doc_id")
     parts = [own.where(c).orderBy(order, "doc_id").limit(sample_rows // 2) for c in ("toxic > 0", "toxic <= 0")]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most sample_rows ids
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "toxic", "text")
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    # one row of each id, that of least hash, so that the sample is bounded where an id stands on many rows
+    known = known.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def terms(batches):
         for batch in batches:
@@ -166,13 +168,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
         found, ys = [], []
         for batch in batches:
             ys += batch.column("toxic").to_pylist()
-            found += [np.flatnonzero(np.isin(pool, of.values.to_numpy(), assume_unique=True)).astype(np.int16) for of in batch.column("terms")]
+            found += [np.flatnonzero(np.isin(pool, of.values.to_numpy(), assume_unique=True)).astype(np.int32) for of in batch.column("terms")]
         if not found:
             return
         y = np.array(ys)
 
         def places(terms):
-            at = np.full(len(pool), -1, np.int16)
+            at = np.full(len(pool), -1, np.int32)
             at[np.searchsorted(pool, terms)] = np.arange(len(terms))
             return [k[k >= 0] for k in (at[f] for f in found)]
 

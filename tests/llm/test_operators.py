@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,6 +472,32 @@ def test_likelihood_like_enumeration():
         assert abs((loss(x + step)[0] - loss(x - step)[0]) / 2e-5 - grad[k]) < 1e-6
 
 
+def test_spans_that_touch_base_spans_are_left_out():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        base, docs, starts, ends = [], [], [], []
+        for doc in range(3):
+            at = np.sort(rng.integers(0, 60, (rng.integers(0, 6), 2)), 1)
+            base.append(sorted((int(a), int(rng.integers(0, 3)), "hex", int(z) + 1) for a, z in at))
+            edges = np.unique(rng.integers(0, 60, 8))
+            for a, z in zip(edges[::2], edges[1::2]):
+                docs.append(doc), starts.append(a), ends.append(z)
+        got = list(secrets._apart(np.array(docs, int), np.array(starts, int), np.array(ends, int), base))
+        assert got == [(d, a, z) for d, a, z in zip(docs, starts, ends) if all(z <= x or y <= a for x, _, _, y in base[d])]
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = " ".join(f"x{k} é token={k:08d}" for k in range(16_000))
+    field = secrets.Field(np.zeros((secrets.N_FEATURES, 3)), np.zeros((3, 3)))
+    field.weights[:, secrets.BEGIN] = 1.0  # every token begins a span
+    began = time.process_time()
+    (_, _, _, (found,)), = secrets._located(pa.record_batch({"text": [text]}), field)
+    assert time.process_time() - began < 5
+    assert sum(k == "assign" for _, _, k, _ in found) == 16_000
+    for a, _, k, z in found[:: len(found) // 50]:
+        assert k == "assign" or text[a:z].strip() == text[a:z] != ""
+
+
 def test_field_finds_secrets_that_the_patterns_miss(spark):
     rnd = random.Random(11)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
