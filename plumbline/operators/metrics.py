@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .ranks import running
 
 
@@ -95,12 +99,79 @@ def fairness(rows: DataFrame, axes: list[str], alpha_green: Column) -> tuple[Dat
     return per, per.groupBy("axis").agg(gap("fdr"), gap("hallucination_rate"))
 
 
+def mid_ranks(counts: DataFrame, value: str, n: str = "n") -> DataFrame:
+    """(value, rank) of distinct values with their counts: the mean of the ranks that a value's rows share."""
+    return running(counts, value, [n]).select(value, (F.col(f"{n}_cum") - (F.col(n) - 1) / 2).alias("rank"))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs under Student's t with n - 2 degrees of freedom: the regularised incomplete
+    beta function of 1 - r^2 at (n - 2) / 2 and 1/2. 0 for r of 1 or -1, 1 for two pairs, null for fewer or without r.
+
+    Its continued fraction is evaluated from the last term; the terms grow with the root of n, as convergence asks.
+    Written as F.transform over one struct, so that a and x are computed once."""
+    free = (n - 2).cast("double")
+    tail = F.transform(F.array(F.struct((free / 2).alias("a"), F.greatest(1 - r * r, F.lit(0.0)).alias("x"))), lambda v: _beta_half(v["a"], v["x"]))
+    return F.when(n == 2, F.when(r.isNotNull(), 1.0)).when((n > 2) & (F.abs(r) >= 1), 0.0).when(n > 2, F.get(tail, F.lit(0)))
+
+
+def _beta_half(a: Column, x: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, 1/2)."""
+    shift = a + 20  # the ratio of gamma functions by its asymptotic series, taken where that is exact to 1e-11
+    series = 1 - 1 / (8 * shift) + 1 / (128 * shift**2) + 5 / (1024 * shift**3) - 21 / (32768 * shift**4) - 399 / (262144 * shift**5)
+    ratio_ = F.sqrt(shift) * series * reduce(lambda p, k: p * ((a + k) / (a + k + 0.5)), range(20), F.lit(1.0))
+    front = F.exp(a * F.log(x)) * F.sqrt(1 - x) * ratio_ / F.sqrt(F.lit(math.pi))
+    terms = F.sequence((200 + 8 * F.sqrt(a)).cast("int"), F.lit(1), F.lit(-1))
+
+    def fraction(p, q, z):
+        def step(rest, k):
+            m = F.floor(k / 2)
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            return 1 + F.when(k % 2 == 0, even).otherwise(odd) / rest
+
+        return F.aggregate(terms, F.lit(1.0), step)
+
+    half = F.lit(0.5)
+    direct = front / a / fraction(a, half, x)
+    return F.when(x < (a + 1) / (a + 2.5), direct).otherwise(1 - front / half / fraction(half, a, 1 - x))
+
+
 def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """n, rate, kappa and correlation of two 0/1 columns where both are known."""
-    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    s = known.agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("rate"), F.avg(F.col(a).cast("double")).alias("pa"), F.avg(F.col(b).cast("double")).alias("pb"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("pearson"))
-    chance = F.col("pa") * F.col("pb") + (1 - F.col("pa")) * (1 - F.col("pb"))
-    return s.select("n", "rate", F.when(chance < 1, (F.col("rate") - chance) / (1 - chance)).otherwise(1.0).alias("kappa"), "pearson", F.col("pearson").alias("spearman"))
+    """One row on two numeric columns where both are known: n, rate of equal values, kappa over all values, Pearson's and
+    Spearman's correlation (mid-ranks for ties) with two-sided p-values.
+
+    Rows are counted by pair first and written once; ranks are running sums over distinct values. Kappa is 1 where chance
+    alone agrees always; correlations and their p are null where a column is constant or there are fewer than two rows."""
+    known = rows.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null")
+    pairs = stored(known.groupBy("a", "b").agg(F.count("*").alias("n")))
+    sides = {c: pairs.groupBy(c).agg(F.sum("n").alias("n")) for c in "ab"}
+    n = F.col("n").cast("double")
+    both = sides["a"].withColumnRenamed("n", "na").join(sides["b"].select(F.col("b").alias("a"), F.col("n").alias("nb")), "a")
+    chance = both.agg(F.coalesce(F.sum(F.col("na").cast("double") * F.col("nb")), F.lit(0.0)).alias("chance"))
+    ranked = pairs
+    for c in "ab":
+        ranked = ranked.join(mid_ranks(sides[c], c).withColumnRenamed("rank", f"r{c}"), c)
+    middle = pairs.agg(F.sum("n").alias("all"), F.sum(n * F.col("a")).alias("sa"), F.sum(n * F.col("b")).alias("sb"))
+    centred = ranked.crossJoin(F.broadcast(middle)).select("*", (F.col("a") - F.col("sa") / F.col("all")).alias("da"), (F.col("b") - F.col("sb") / F.col("all")).alias("db"), (F.col("ra") - (F.col("all") + 1) / 2).alias("ea"), (F.col("rb") - (F.col("all") + 1) / 2).alias("eb"))
+    product = lambda x, y: F.sum(n * F.col(x) * F.col(y))
+
+    def corr(x, y):
+        spread = F.sqrt(product(x, x) * product(y, y))
+        return F.when(spread > 0, F.greatest(F.least(product(x, y) / spread, F.lit(1.0)), F.lit(-1.0)))
+
+    s = centred.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.when(F.col("a") == F.col("b"), n).otherwise(0.0)).alias("same"), corr("da", "db").alias("pearson"), corr("ea", "eb").alias("spearman")).crossJoin(F.broadcast(chance))
+    kappa = F.when(n * n > F.col("chance"), (F.col("same") * n - F.col("chance")) / (n * n - F.col("chance"))).when(n > 0, 1.0)
+    return s.select("n", (F.col("same") / n).alias("rate"), kappa.alias("kappa"), "pearson", correlation_p(F.col("pearson"), F.col("n")).alias("pearson_p"), "spearman", correlation_p(F.col("spearman"), F.col("n")).alias("spearman_p"))
+
+
+def double_annotated(rows: DataFrame, first: str, second: str, positive: tuple[str, ...], least: int = 10) -> DataFrame:
+    """One row on the rows that two people labelled (second neither null nor blank): n_double, kappa, rate and status of
+    positive against other labels; insufficient, without kappa and rate, below `least` rows."""
+    flag = lambda c: F.coalesce(F.trim(c).isin(*positive), F.lit(False)).cast("int")
+    got = agreement(rows.where(F.trim(second) != "").select(flag(first).alias("x"), flag(second).alias("y")), "x", "y")
+    enough = F.col("n") >= least
+    return got.select(F.col("n").alias("n_double"), F.when(enough, F.col("kappa")).alias("kappa"), F.when(enough, F.col("rate")).alias("rate"), F.when(enough, "computed").otherwise("insufficient").alias("status"))
 
 
 def majority(labels: list[str], valid: tuple[str, ...], least: int = 2, default: str = "UNCERTAIN") -> Column:

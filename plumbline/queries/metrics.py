@@ -134,16 +134,27 @@ def a16(spark, sf):
 
 
 def _agree(a, b, src):
-    return f"SELECT n, rate, (rate - ch) / (1 - ch) AS kappa, round(pearson, 9) AS pearson, round(pearson, 9) AS spearman FROM (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS ch FROM (SELECT count(*) AS n, avg(({a} = {b})::INT) AS rate, avg({a}::DOUBLE) AS pa, avg({b}::DOUBLE) AS pb, corr({a}::DOUBLE, {b}::DOUBLE) AS pearson FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"
+    """Rate, kappa, both correlations; their p by the first 400 terms of the fraction and DuckDB's gamma functions."""
+    frac = "list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(400, 0, -1), lambda k: k::DOUBLE)), lambda f, k: 1 + CASE WHEN k % 2 = 0 THEN (k / 2) * ({q} - k / 2) * {z} / (({p} + k - 1) * ({p} + k)) ELSE -({p} + (k - 1) / 2) * ({p} + {q} + (k - 1) / 2) * {z} / (({p} + k - 1) * ({p} + k)) END / f)"
+    front = "exp(h * ln(x) + lgamma(h + 0.5e0) - lgamma(h) - lgamma(0.5e0)) * sqrt(1 - x)"
+    tail = lambda r: f"(SELECT CASE WHEN x < (h + 1) / (h + 2.5e0) THEN {front} / h / {frac.format(p='h', q='0.5e0', z='x')} ELSE 1 - {front} / 0.5e0 / {frac.format(p='0.5e0', q='h', z='(1 - x)')} END FROM (SELECT (n - 2) / 2e0 AS h, 1 - {r} * {r} AS x FROM t))"
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0"
+    return f"""WITH k AS (SELECT {a}::DOUBLE AS a, {b}::DOUBLE AS b FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL), r AS (SELECT *, {rank('a')} AS ra, {rank('b')} AS rb FROM k),
+c AS (SELECT sum(x.c * y.c) AS c FROM (SELECT a, count(*)::DOUBLE AS c FROM k GROUP BY a) x JOIN (SELECT b, count(*)::DOUBLE AS c FROM k GROUP BY b) y ON a = b),
+t AS (SELECT s.*, c.c / (n * n::DOUBLE) AS ch FROM (SELECT count(*) AS n, avg((a = b)::INT) AS rate, corr(a, b) AS pearson, corr(ra, rb) AS spearman FROM r) s, c)
+SELECT n, rate, (rate - ch) / (1 - ch) AS kappa, round(pearson, 9) AS pearson, round({tail('pearson')}, 9) AS pearson_p, round(spearman, 9) AS spearman, round({tail('spearman')}, 9) AS spearman_p FROM t"""
 
 
 def _round_agree(rows):
-    return rows.withColumn("pearson", F.round("pearson", 9)).withColumn("spearman", F.round("spearman", 9))
+    return rows.withColumns({c: F.round(c, 9) for c in ("pearson", "pearson_p", "spearman", "spearman_p")})
 
 
-@query("A18_cohen_kappa", "SELECT kappa FROM (" + _agree("quality", "toxic", "labels") + ")")
+_KAPPA = "SELECT round(kappa, 9) AS kappa FROM (" + _agree("quality", "toxic", "labels") + ")"
+
+
+@query("A18_cohen_kappa", _KAPPA)
 def a18(spark, sf):
-    return M.agreement(table(spark, sf, "labels"), "quality", "toxic").select("kappa")
+    return M.agreement(table(spark, sf, "labels"), "quality", "toxic").select(F.round("kappa", 9).alias("kappa"))
 
 
 _TWO = ", z AS (SELECT CASE WHEN grader_a_label = 'SUPPORTED' THEN 0 ELSE 1 END AS ga, CASE WHEN grader_b_label = 'SUPPORTED' THEN 0 ELSE 1 END AS gb, label, score, pathology FROM workbook) "
@@ -153,9 +164,24 @@ def _two(spark, sf):
     return workbook(spark, sf).withColumn("ga", F.when(F.col("grader_a_label") == "SUPPORTED", 0).otherwise(1)).withColumn("gb", F.when(F.col("grader_b_label") == "SUPPORTED", 0).otherwise(1))
 
 
-@query("A19_label_agreement", _TWO + _agree("ga", "gb", "z"), "workbook")
+@query("A19_label_agreement", _TWO + f"SELECT n, rate, round(kappa, 9) AS kappa, pearson, pearson_p, spearman, spearman_p FROM ({_agree('ga', 'gb', 'z')})", "workbook")
 def a19(spark, sf):
-    return _round_agree(M.agreement(_two(spark, sf), "ga", "gb"))
+    return _round_agree(M.agreement(_two(spark, sf), "ga", "gb")).withColumn("kappa", F.round("kappa", 9))
+
+
+@query("A19_value_agreement", f"SELECT n, rate, round(kappa, 9) AS kappa, pearson, pearson_p, spearman, spearman_p FROM ({_agree('l_linenumber', 'l_tax * 100', 'lineitem')})")
+def a19_values(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_linenumber", (F.col("l_tax") * 100).alias("tax"))
+    return _round_agree(M.agreement(rows, "l_linenumber", "tax")).withColumn("kappa", F.round("kappa", 9))
+
+
+_DOUBLE = "SELECT count(*) AS n_double, sum(a * b) AS ab, sum(a) AS a, sum(b) AS b, sum((a = b)::INT) AS same FROM (SELECT (grader_a_label = 'CONTRADICTED')::INT AS a, (grader_b_label = 'CONTRADICTED')::INT AS b FROM workbook WHERE trim(grader_b_label) <> '')"
+
+
+@query("A18_double_annotated", f", d AS ({_DOUBLE}), e AS (SELECT *, (a * b + (n_double - a) * (n_double - b)) / (n_double * n_double::DOUBLE) AS ch, same / n_double AS rate FROM d) SELECT n_double, CASE WHEN n_double >= 10 THEN round((rate - ch) / (1 - ch), 9) END AS kappa, CASE WHEN n_double >= 10 THEN round(rate, 9) END AS rate, CASE WHEN n_double >= 10 THEN 'computed' ELSE 'insufficient' END AS status FROM e", "workbook")
+def a18_double(spark, sf):
+    got = M.double_annotated(workbook(spark, sf), "grader_a_label", "grader_b_label", ("CONTRADICTED",))
+    return got.withColumns({c: F.round(c, 9) for c in ("kappa", "rate")})
 
 
 _A20 = _TWO + f", a AS ({_binary_sql('score < 0.4e0', 'ga = 1', 'z')}), b AS ({_binary_sql('score < 0.4e0', 'gb = 1', 'z')}), l AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, a.{m} AS first, b.{m} AS second FROM a, b" for m in ("precision", "recall", "f1", "accuracy")) + ") SELECT metric, round(second - first, 9) AS delta, abs(second - first) > 0.05e0 AS sensitive FROM l"
