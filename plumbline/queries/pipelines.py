@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import agreement as G
 from ..operators import metrics as M
 from ..operators.resample import cluster_bootstrap
+from ..sources import results as R
 from ..sources import tables as S
 from ..sources.tables import stored
 from .agreement import _REP, _SEED, _alpha, _bootstrap_sql
@@ -97,9 +98,10 @@ def s11(spark, sf):
 @query("S13_resumable_results", "SELECT CASE WHEN line % 2 = 0 THEN 'new' ELSE 'old' END AS run, count(*) AS n FROM claims GROUP BY 1", "claims")
 def s13(spark, sf):
     rows = claims(spark, sf).select("claim_id", "line")
-    first = S.add_results(rows.withColumn("run", F.lit("old")), S.scratch(spark), "claim_id")
-    second = S.add_results(rows.where("line % 2 = 0").withColumn("run", F.lit("new")), first, "claim_id")
-    return spark.read.parquet(second).groupBy("run").agg(F.count("*").alias("n"))
+    root = S.scratch(spark)
+    R.merge_results(rows.withColumn("run", F.lit("old")), root, "claim_id")
+    R.merge_results(rows.where("line % 2 = 0").withColumn("run", F.lit("new")), root, "claim_id")
+    return R.read_results(spark, root, rows.withColumn("run", F.lit("")).schema).groupBy("run").agg(F.count("*").alias("n"))
 
 
 _GRAMS = " UNION ALL ".join(f"SELECT report_id, {n} AS n, '{s}' AS side, unnest(list_transform(range(1, len({s}) - {n - 2}), lambda i: array_to_string(list_slice({s}, i, i + {n - 1}), ' '))) AS g FROM w WHERE len({s}) >= {n}" for n in (1, 2, 3, 4) for s in ("ref", "hyp"))
