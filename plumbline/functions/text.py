@@ -32,6 +32,17 @@ def sections(text: Column) -> dict[str, Column]:
     return {"findings": F.when(none, t).otherwise(findings), "impression": F.when(none, t).otherwise(impression)}
 
 
+def chosen_section(text: Column, which: str) -> Column:
+    """findings, impression, both (those that are not blank, with a space between) or full, the trimmed text; a null text has empty sections."""
+    known = F.coalesce(text, F.lit(""))
+    s = sections(known)
+    filled = lambda c: F.when(c != "", c)
+    choice = {**s, "both": F.concat_ws(" ", filled(s["findings"]), filled(s["impression"])), "full": F.trim(known)}
+    if which not in choice:
+        raise ValueError(f"{which} is none of {sorted(choice)}")
+    return choice[which]
+
+
 def combined(findings: Column, impression: Column, names: tuple[str, str] = ("FINDINGS", "IMPRESSION"), gap: str = " ") -> Column:
     """Sections with their names, blank ones left out."""
     part = lambda c, n: F.when(F.trim(c) != "", F.concat(F.lit(f"{n}: "), F.trim(c)))
@@ -176,6 +187,21 @@ def binary_label(label: Column) -> Column:
     return F.when(label == "SUPPORTED", 0).when(label.isin("CONTRADICTED", "NOVEL_PLAUSIBLE", "NOVEL_HALLUCINATED", "UNCERTAIN"), 1)
 
 
+def _by_letter(code: Column, meaning: dict[str, str]) -> Column:
+    letter = F.lower(F.regexp_replace(code, r"^\s+|\s+$", ""))
+    return F.coalesce(*(F.when(letter == k, v) for k, v in meaning.items()))
+
+
+def label_of_letter(code: Column) -> Column:
+    """The label that a letter stands for, in either case and with white space around; null for anything else."""
+    return _by_letter(code, V.LABEL_LETTERS)
+
+
+def sureness_of_letter(code: Column) -> Column:
+    """low, medium or high; medium for anything else and null."""
+    return F.coalesce(_by_letter(code, V.SURENESS_LETTERS), F.lit("medium"))
+
+
 def clean_tokens(tokens: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(tokens, F.trim), lambda t: t != ""))
 

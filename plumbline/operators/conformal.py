@@ -183,3 +183,15 @@ def split_by_patient(rows: DataFrame, fraction: float, seed: int, key: str = "pa
     ids = rows.select(key).distinct().withColumn("_u", uniform(seed, F.col(key).cast("string"))).withColumn("n", F.lit(1))
     ranked = running(ids, "_u", ["n"], then=[key])
     return rows.join(ranked.select(key, (F.col("n_cum") <= F.round(F.col("n_all") * fraction)).alias("is_cal")), key)
+
+
+def hold_out(rows: DataFrame, share: float, seed: int, key: str = "patient_id", row_key: str = "claim_id") -> DataFrame:
+    """Adds is_val: true for the rows of the first floor(n share) patients in seeded order, at least one.
+
+    A row without a patient counts as a patient of its own, named by its row_key. Only distinct patients are ranked."""
+    own = F.coalesce(F.concat(F.lit("p"), F.col(key).cast("string")), F.concat(F.lit("r"), F.col(row_key).cast("string")), F.lit("r"))
+    named = rows.withColumn("_who", own)
+    ids = named.select("_who").distinct().withColumn("_u", uniform(seed, F.col("_who"))).withColumn("n", F.lit(1))
+    first = F.greatest(F.floor(F.col("n_all") * F.lit(share)), F.lit(1))
+    ranked = running(ids, "_u", ["n"], then=["_who"]).select("_who", (F.col("n_cum") <= first).alias("is_val"))
+    return named.join(ranked, "_who").drop("_who")

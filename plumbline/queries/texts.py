@@ -234,6 +234,23 @@ def t24(spark, sf):
     return workbook(spark, sf).select("claim_id", T.binary_label(F.col("grader_a_label")).alias("coarse"), F.when(F.col("label") == 1, 1).otherwise(0).alias("contradicted"))
 
 
+_LETTER = "lower(trim(substr(user_label, 1, 1)))"
+
+
+@query("T24_letter_codes", f"SELECT claim_id, CASE {_LETTER} WHEN 's' THEN 'SUPPORTED' WHEN 'c' THEN 'CONTRADICTED' WHEN 'p' THEN 'NOVEL_PLAUSIBLE' WHEN 'h' THEN 'NOVEL_HALLUCINATED' WHEN 'u' THEN 'UNCERTAIN' END AS label, CASE lower(substr(claim, 12, 1)) WHEN 'l' THEN 'low' WHEN 'h' THEN 'high' ELSE 'medium' END AS sureness FROM workbook", "workbook")
+def t24_letters(spark, sf):
+    rows = workbook(spark, sf)
+    return rows.select("claim_id", T.label_of_letter(F.substring("user_label", 1, 1)).alias("label"), T.sureness_of_letter(F.substring("claim", 12, 1)).alias("sureness"))
+
+
+@query("S09_chosen_sections", _SECTIONS + " SELECT report_id, trim(findings, ' ' || chr(10)) AS findings, impression, trim(concat_ws(' ', nullif(trim(findings, ' ' || chr(10)), ''), nullif(impression, '')), ' ' || chr(10)) AS both_sections, t AS whole FROM p JOIN s USING (report_id)", "reports")
+def s09_sections(spark, sf):
+    edge = F.lit(" \n")
+    rows = reports(spark, sf).select("report_id", *(T.chosen_section(F.col("text"), w).alias(w) for w in ("findings", "impression", "both", "full")))
+    # white space where sections meet differs between engines
+    return rows.select("report_id", F.trim("findings", edge).alias("findings"), "impression", F.trim(F.regexp_replace("both", r"\n+ ", " "), edge).alias("both_sections"), F.col("full").alias("whole"))
+
+
 @query("T25_valid_labels", "SELECT claim_id, user_label FROM workbook WHERE trim(user_label) IN ('SUPPORTED', 'CONTRADICTED', 'NOVEL_PLAUSIBLE', 'NOVEL_HALLUCINATED', 'UNCERTAIN')", "workbook")
 def t25(spark, sf):
     from ..fixtures import GRADES

@@ -218,3 +218,12 @@ def c16(spark, sf):
 @query("C23_patient_split", f", p AS (SELECT patient_id, row_number() OVER (ORDER BY {uniform_sql(42, 'patient_id::VARCHAR')}, patient_id) <= round(count(*) OVER () * 0.4e0) AS is_cal FROM (SELECT DISTINCT patient_id FROM claims)) SELECT is_cal, count(DISTINCT patient_id) AS n_patients, count(*) AS n_claims FROM claims JOIN p USING (patient_id) GROUP BY 1", "claims")
 def c23(spark, sf):
     return C.split_by_patient(claims(spark, sf), 0.4, 42).groupBy("is_cal").agg(F.countDistinct("patient_id").alias("n_patients"), F.count("*").alias("n_claims"))
+
+
+_WHO = "CASE WHEN line % 5 = 0 THEN 'r' || claim_id ELSE 'p' || patient_id::VARCHAR END"
+
+
+@query("C23_hold_out", f", w AS (SELECT claim_id, {_WHO} AS who FROM claims), p AS (SELECT who, row_number() OVER (ORDER BY {uniform_sql(43, 'who')}, who) <= greatest(floor(count(*) OVER () * 0.1e0), 1) AS is_val FROM (SELECT DISTINCT who FROM w)) SELECT claim_id, is_val FROM w JOIN p USING (who)", "claims")
+def c23_hold_out(spark, sf):
+    rows = claims(spark, sf).select("claim_id", F.when(F.col("line") % 5 != 0, F.col("patient_id")).alias("patient_id"))
+    return C.hold_out(rows, 0.1, 43).select("claim_id", "is_val")
