@@ -295,6 +295,22 @@ def test_machine_like_all_pairs():
     assert np.allclose(m.score(20, np.tile(rows, 2), np.tile(cols, 2)), 1 / (1 + np.exp(-np.array(z))))
 
 
+def test_toxicity_sample_is_bounded_where_an_id_stands_on_many_rows(spark, monkeypatch):
+    rows = [(0, f"text {k % 7} of the many") for k in range(3000)] + [(k, f"text {k} alone") for k in range(1, 60)]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(60)], "doc_id bigint, toxic int")
+    seen = []
+
+    def keep(df, name):
+        out = df.persist()
+        seen.extend([out] if name == "sample" else [])
+        return out
+
+    monkeypatch.setattr(toxicity, "materialize", keep)
+    machine = toxicity.fit(frame(spark, rows), labels, sample_rows=40)
+    assert seen[0].count() == 40
+    assert toxicity.score(frame(spark, rows), machine).count() == len(rows)
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(4)
     rows, labels = list(EDGE), [(None, 1), (4, None), (77_777, 1)]
