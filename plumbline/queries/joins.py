@@ -104,13 +104,13 @@ def _queries(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _scored(spark, sf):
-    return R.bm25(passages(spark, sf), _queries(spark, sf), T.alnum_tokens).withColumn("score", F.round("score", 6))
+def _scored(spark, sf, k):
+    return R.bm25_search(passages(spark, sf), _queries(spark, sf), T.alnum_tokens, k).withColumn("score", F.round("score", 6))
 
 
 @query("J11_bm25_search", _BM + " SELECT query_id, passage_id, score, rank FROM tk WHERE rank <= 10", "passages")
 def j11(spark, sf):
-    return R.top_k(_scored(spark, sf), 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return R.top_k(_scored(spark, sf, 10), 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("J10_best_match", _BM + " SELECT b.item_id AS query_id, coalesce(max(score), 0) AS score FROM benchmark b LEFT JOIN sc ON query_id = item_id GROUP BY 1", "passages")
@@ -167,7 +167,7 @@ _RR = _BM + f", ca AS (SELECT tk.query_id, passage_id, rank, len(list_intersect(
 
 
 def _candidates(spark, sf):
-    found = R.top_k(_scored(spark, sf), 20).select("query_id", "passage_id", "rank")
+    found = R.top_k(_scored(spark, sf, 20), 20).select("query_id", "passage_id", "rank")
     texts = _queries(spark, sf).withColumnRenamed("text", "query_text")
     return found.join(passages(spark, sf).select("passage_id", "text"), "passage_id").join(texts, "query_id")
 
@@ -206,7 +206,7 @@ def j16(spark, sf):
     items, asked = passages(spark, sf).select("passage_id", "text"), _queries(spark, sf)
     vectors = lambda rows, key: rows.select(F.col(key).alias("id"), R.hashed_vector(T.alnum_tokens(F.col("text"))).alias("vector"))
     near = R.dense(vectors(items, "passage_id"), vectors(asked, "query_id"), 20)
-    lists = stored(R.union_of_lists(near, R.top_k(_scored(spark, sf), 20)))
+    lists = stored(R.union_of_lists(near, R.top_k(_scored(spark, sf, 20), 20)))
     fused = R.fuse(lists, 60, 20)
     alone = lists.select(F.when(F.col("list_no") == 1, "dense").otherwise("sparse").alias("method"), "query_id", "doc_id", "rank")
     every = alone.unionByName(fused.select(F.lit("rrf").alias("method"), "query_id", "doc_id", "rank")).withColumnRenamed("doc_id", "passage_id")
