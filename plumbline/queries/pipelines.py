@@ -62,8 +62,8 @@ def s06(spark, sf):
     entity = F.struct(F.col("finding").alias("tokens"), F.when(F.col("line") % 2 == 0, "OBS-DP").otherwise("ANAT-DP").alias("label"), F.lit(0).alias("start_ix"), F.lit(1).alias("end_ix"), F.array(F.array(F.lit("located_at"), F.lit("1"))).alias("relations"))
     doc = rows.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("claim_id"), entity))).alias("entities"))
     doc.select(F.to_json(F.create_map(F.col("report_id").cast("string"), F.struct("entities"))).alias("value")).repartition("value").write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path).select(F.explode(F.from_json("value", S._ENTITY)).alias("report_id", "r"))
-    return lines.select(F.explode("r.entities").alias("id", "e")).groupBy("e.label").agg(F.count("*").alias("n"))
+    entities, _ = S.read_annotations(spark, path)
+    return entities.groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("S07_scored_claims", "SELECT count(*) AS n, round(sum(score), 6) AS total FROM claims", "claims")
@@ -72,7 +72,7 @@ def s07(spark, sf):
     part = claims(spark, sf).select("report_id", "claim", "pathology", F.col("patient_id").cast("string").alias("patient_id"), "label", "score")
     by = part.groupBy("report_id").agg(F.collect_list(F.struct("claim", "pathology", "patient_id", "label", "score")).alias("claims"))
     by.select(F.to_json(F.struct("claims")).alias("value")).repartition("value").write.text(path)
-    return S.read_scored_claims(spark, path, False).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+    return S.read_scored_claims(spark, path).agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
 @query("S08_report_formats", "SELECT text FROM reports", "reports")

@@ -105,22 +105,25 @@ def read_xml_reports(spark: SparkSession, path: str, whole: bool = True) -> Data
     return null_texts(out, "findings", "impression").where("findings is not null or impression is not null")
 
 
-_ENTITY = "map<string,struct<text:string,entities:map<string,struct<tokens:string,label:string,start_ix:int,end_ix:int,relations:array<array<string>>>>>>"
+_REPORT = "struct<text:string,entities:map<string,struct<tokens:string,label:string,start_ix:int,end_ix:int,relations:array<array<string>>>>>"
 
 
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Entities (report_id, entity_id, tokens, label, start_ix, end_ix) and relations (report_id, source_id, kind, target_id) of nested JSON files."""
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _ENTITY)).alias("report_id", "r"))
+    """Entities (report_id, entity_id, tokens, label, start_ix, end_ix) and relations (report_id, source_id, kind, target_id) of nested JSON files, each an object by report, read by ranges."""
+    from .records import read_json_objects
+
+    raw = read_json_objects(spark, path).select(F.col("key").alias("report_id"), F.from_json("value", _REPORT).alias("r"))
     entities = raw.select("report_id", F.explode("r.entities").alias("entity_id", "e")).select("report_id", "entity_id", "e.*")
     relations = entities.select("report_id", F.col("entity_id").alias("source_id"), F.explode("relations").alias("x")).select("report_id", "source_id", F.get("x", F.lit(0)).alias("kind"), F.get("x", F.lit(1)).alias("target_id"))
     return entities.drop("relations"), relations
 
 
-def read_scored_claims(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """Claims of a JSON list, or of one under `claims`, in each file (or line, if not whole); a missing required field is an error."""
+def read_scored_claims(spark: SparkSession, path: str) -> DataFrame:
+    """Claims of JSON files that are a list or hold one under `claims`, read by ranges; a missing required field is an error."""
+    from .records import read_json_objects
+
     one = "struct<claim:string,pathology:string,patient_id:string,label:int,score:double>"
-    text = spark.read.text(path, wholetext=whole)
-    rows = text.select(F.explode(F.coalesce(F.from_json("value", f"struct<claims:array<{one}>>")["claims"], F.from_json("value", f"array<{one}>"))).alias("c")).select("c.*")
+    rows = read_json_objects(spark, path, 1, 2).select(F.from_json("value", one).alias("c")).select("c.*")
     missing = F.lit(False)
     for c in rows.columns:
         missing = missing | F.col(c).isNull()
