@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import uniform
+from ..sources.tables import stored
 
 #: Distribution function of the Poisson law of mean 1, up to 12.
 POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
@@ -29,8 +32,44 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, parts: dict[str, Column], m
     draws = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = draws.withColumn("times", poisson(uniform(seed, F.col("rep").cast("string"), F.col(cluster).cast("string"))))
     sums = draws.groupBy("rep").agg(*(F.sum(F.col(p) * F.col("times")).alias(p) for p in parts))
+    return interval(sums.select(metric.alias("m")), "m", confidence)
+
+
+def fixed_bootstrap(rows: DataFrame, cluster: str, parts: dict[str, Column], metric: Column, replicates: int, seed: int, confidence: float = 0.95, slot: int = 20_000) -> DataFrame:
+    """As `cluster_bootstrap`, but every replicate draws exactly as many clusters as there are, with replacement.
+
+    Clusters are dealt to slots of about `slot` by a hash. How many draws of a replicate fall into each slot is multinomial
+    by the slots' sizes, and within a slot all clusters are equally likely, which together is the same as drawing from all.
+    A slot's task repeats the first draw by the seed and the replicate, so only the sizes, one number for each slot, are
+    shared, and only one row of sums for each slot and replicate is shuffled. Sums of parts are doubles. Null is a cluster."""
+    per = stored(rows.groupBy(cluster).agg(*(F.sum(c).cast("double").alias(n) for n, c in parts.items())))
+    slots = max(1, -(-per.count() // slot))
+    placed = per.withColumn("_slot", F.pmod(F.xxhash64(cluster), F.lit(slots)).cast("int"))
+    sizes = placed.groupBy("_slot").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("_slot", "n"))).alias("_sizes"))
+    names = list(parts)
+
+    def sums(key, pdf):
+        if not len(pdf):
+            return pd.DataFrame({"rep": [], **{n: [] for n in names}})
+        numbers = np.array([r["n"] for r in pdf["_sizes"].iloc[0]])
+        mine = [r["_slot"] for r in pdf["_sizes"].iloc[0]].index(key[0])
+        values = pdf.sort_values(cluster, kind="stable")[names].fillna(0.0).to_numpy(np.float64)
+        out = np.empty((replicates, len(names)))
+        for rep in range(replicates):
+            draws = np.random.default_rng([seed, rep]).multinomial(numbers.sum(), numbers / numbers.sum())[mine]
+            picked = np.random.default_rng([seed, rep, key[0] + 1]).integers(len(values), size=draws)
+            out[rep] = np.bincount(picked, minlength=len(values)) @ values
+        return pd.DataFrame({"rep": np.arange(replicates), **{n: out[:, i] for i, n in enumerate(names)}})
+
+    schema = "rep long, " + ", ".join(f"`{n}` double" for n in names)
+    drawn = placed.crossJoin(F.broadcast(sizes)).groupBy("_slot").applyInPandas(sums, schema).groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
+    return interval(drawn.select(metric.alias("m")), "m", confidence)
+
+
+def interval(values: DataFrame, value: str, confidence: float) -> DataFrame:
+    """mean, low, high, std of one value for each replicate."""
     tail = (1 - confidence) / 2
-    return sums.select(metric.alias("m")).agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.stddev_samp("m").alias("std"))
+    return values.agg(F.avg(value).alias("mean"), F.percentile(value, tail).alias("low"), F.percentile(value, 1 - tail).alias("high"), F.stddev_samp(value).alias("std"))
 
 
 def permutation_test(rows: DataFrame, key: str, group: str, value: str, replicates: int, seed: int, slots: int = 1000) -> DataFrame:

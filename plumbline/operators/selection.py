@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..fixtures import uniform
 from .ranks import running
@@ -106,15 +109,55 @@ def density_ratio(cal: DataFrame, test: DataFrame, vector: str = "vector", parts
     return out.crossJoin(F.broadcast(n)).withColumn("weight", weight).withColumn("is_test", F.col("_y") == 1).drop("_y", "_v", "_s", "_c", "_p", "_r", "_q", "_a", "_b")
 
 
+@F.pandas_udf(DoubleType())
+def ks_tail(statistic: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """The exact chance that the distribution functions of two samples of one law lie at least so far apart, for one row of sizes.
+
+    Orders of the joint sample are paths over a grid of n by m; those that stay nearer than the statistic are counted row by row."""
+    return pd.Series([path_tail(*x) for x in zip(statistic, n, m)], dtype="float64")
+
+
+def path_tail(statistic: float, n: int, m: int) -> float:
+    n, m = int(n), int(m)
+    far = round(statistic * n * m)  # the differences are multiples of 1 / (n m)
+    if far <= 0:
+        return 1.0
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + m + 1)))])
+    paths = lambda x, y: log_factorial[x + y] - log_factorial[x] - log_factorial[y]
+    # share[y]: of all paths to (x, y), how many have stayed near
+    share = np.where(np.arange(m + 1) * n < far, 1.0, 0.0)
+    for x in range(1, n + 1):
+        y = np.arange(max(0, (x * m - far) // n + 1), min(m, -(-(x * m + far) // n) - 1) + 1)
+        # places that a path visits with less than e^-60 do not count, so that the numbers of paths stay within a float's range
+        y = y[paths(x, y) + paths(n - x, m - y) - paths(n, m) > -60]
+        own = np.zeros(m + 1)
+        if len(y):
+            size = paths(x, y)  # rising
+            count = np.exp(size - (size[0] + size[-1]) / 2)
+            # a path comes from the left with chance x / (x + y), else from below
+            own[y] = np.cumsum(count * share[y] * x / (x + y)) / count
+        share = own
+    return float(min(max(1.0 - share[m], 0.0), 1.0))
+
+
+#: Up to this size of the larger sample the tail is exact.
+EXACT = 10_000
+
+
 def two_sample_ks(rows: DataFrame, value: str, is_test: str) -> DataFrame:
-    """statistic, p: largest difference of the two distribution functions, from counts by distinct value; p by the asymptotic series."""
+    """statistic, p: largest difference of the two distribution functions, from counts by distinct value; p is exact where neither sample
+    has more than EXACT rows, else by the asymptotic series; null without rows in one of them."""
     counts = rows.groupBy(F.round(value, 9).alias("x")).agg(F.count_if(~F.col(is_test)).alias("a"), F.count_if(F.col(is_test)).alias("b"))
-    cum = running(counts, "x", ["a", "b"]).withColumn("ca", F.col("a_cum") / F.col("a_all")).withColumn("cb", F.col("b_cum") / F.col("b_all"))
+    cum = running(counts, "x", ["a", "b"]).withColumn("ca", F.try_divide("a_cum", "a_all")).withColumn("cb", F.try_divide("b_cum", "b_all"))
     s = cum.agg(F.max(F.abs(F.col("ca") - F.col("cb"))).alias("statistic"), F.sum("a").alias("n"), F.sum("b").alias("m"))
-    e = F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
-    lam = (e + 0.12 + 0.11 / e) * F.col("statistic")
-    series = sum((2 * (-1) ** (k - 1) * F.exp(-2 * k * k * lam * lam) for k in range(1, 60)), F.lit(0.0))
-    return s.select("statistic", F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)).alias("p"))
+    e = F.sqrt(F.try_divide(F.col("n") * F.col("m"), F.col("n") + F.col("m")))
+    lam = (e + 0.12 + F.try_divide(F.lit(0.11), e)) * F.col("statistic")
+    series = F.least(F.greatest(sum((2 * (-1) ** (k - 1) * F.exp(-2 * k * k * lam * lam) for k in range(1, 60)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    # only sizes within the bound go to the exact count
+    small = F.greatest("n", "m") <= EXACT
+    sized = lambda c: F.when(small, F.col(c)).otherwise(1)
+    exact = ks_tail(F.coalesce("statistic", F.lit(0.0)), sized("n"), sized("m"))
+    return s.select("statistic", F.when(F.col("statistic").isNull(), None).when(small, exact).otherwise(series).alias("p"))
 
 
 def adaptive_triage(cal: DataFrame, test: DataFrame, alpha: float = 0.05, level: float = 0.05) -> DataFrame:

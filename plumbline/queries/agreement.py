@@ -78,6 +78,13 @@ def b01(spark, sf):
     return out.select(*(F.round(c, 9).alias(c) for c in ("mean", "low", "high", "std")))
 
 
+@query("B01_fixed_bootstrap")
+def b01_fixed(spark, sf):
+    """As B01, with as many patients in each replicate as there are."""
+    green = F.col("score") >= 0.5
+    return R.fixed_bootstrap(claims(spark, sf), "patient_id", {"g": green.cast("int"), "f": (green & (F.col("label") == 1)).cast("int")}, F.col("f") / F.col("g"), _REP, _SEED)
+
+
 _B03 = f", ps AS (SELECT patient_id, patient_id % 2 = 0 AS a, round(avg(score), 6) AS v FROM claims GROUP BY 1), ob AS (SELECT count(*) FILTER (a) AS na, count(*) AS n, sum(v) AS total, avg(v) FILTER (a) - avg(v) FILTER (NOT a) AS observed FROM ps), cp AS (SELECT rep, v, row_number() OVER (PARTITION BY rep ORDER BY {uniform_sql(5, 'rep::VARCHAR', 'patient_id::VARCHAR')}, patient_id) AS k FROM ps, (SELECT unnest(range(30)) AS rep)), df AS (SELECT rep, sum(v) / max(na) - (max(total) - sum(v)) / (max(n) - max(na)) AS d, max(observed) AS observed FROM cp, ob WHERE k <= na GROUP BY 1) SELECT round(max(observed), 9) AS observed, avg((abs(d) >= abs(observed))::INT) AS p FROM df"
 
 

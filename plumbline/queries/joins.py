@@ -147,6 +147,18 @@ def j13(spark, sf):
     return R.near_duplicates(docs.where("id % 5 = 0"), docs.where("id % 5 <> 0"), T.alnum_tokens)
 
 
+_LEAKED = (
+    _NEAR.replace(", s AS", ", s0 AS", 1).replace(" SELECT a.doc_id AS test_id", ", s AS (SELECT doc_id, t, list_sort(w) AS w FROM s0), pr AS (SELECT a.doc_id AS test_id, a.w AS aw, b.w AS bw", 1) + ")"
+    " SELECT test_id, (SELECT min(doc_id) FROM s WHERE t AND w = aw) AS class_id, count(DISTINCT bw) AS n_sets, count(*) AS n_train, max(jaccard) AS jaccard, arg_min(train_id, {'j': -jaccard, 'i': train_id}) AS nearest FROM pr GROUP BY test_id, aw"
+)
+
+
+@query("J13_leaked_documents", _LEAKED)
+def j13_leaked(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.leaked_documents(docs.where("id % 5 = 0"), docs.where("id % 5 <> 0"), T.alnum_tokens)
+
+
 _HALF = "list_dot_product(a.v[:16], b.v[:16]) / (sqrt(list_dot_product(a.v[:16], a.v[:16])) * sqrt(list_dot_product(b.v[:16], b.v[:16])))"
 _LISTS = _DENSE + f", l2 AS (SELECT query_id, passage_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM (SELECT a.id AS query_id, b.id AS passage_id, round({_HALF}, 9) AS score FROM e a, e b WHERE a.id % 10 = 0)), un AS (SELECT query_id, 1 AS list_no, rank, passage_id FROM dk WHERE rank <= 10 UNION ALL SELECT query_id, 2, rank, passage_id FROM l2 WHERE rank <= 10), fu AS (SELECT query_id, passage_id AS doc_id, round(sum(1e0 / (60 + rank)), 12) AS score, min({{'l': list_no, 'r': rank}}) AS first FROM un GROUP BY 1, 2), fr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rank FROM fu)"
 

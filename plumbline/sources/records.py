@@ -95,21 +95,24 @@ def read_json_objects(spark: SparkSession, path: str, in_list: int = 1, in_objec
     the depth; running sums of these numbers, of which every range has three, tell how each begins. The second pass cuts the
     objects; only those on the border of ranges move, to be joined. The numbers are broadcast: one row for each
     spark.sql.files.maxPartitionBytes of input. Objects in lists that are values at that depth are deeper and do not count.
-    Empty files give no rows; a file that ends within an object is an error."""
+    Empty files give no rows; a file that ends within an object or list is an error."""
     pieces = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     effects = stored(pieces.mapInPandas(_effects, "file string, at long, quotes long, outside long, inside long, first string"))
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     depth = F.when(F.first("first", True).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) == "[", in_list).otherwise(in_object)
     begun = effects.withColumn("_in", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).withColumn("_change", F.when(F.col("_in"), F.col("inside")).otherwise(F.col("outside")))
-    starts = begun.select("file", "at", "_in", F.coalesce(F.sum("_change").over(before), F.lit(0)).alias("_level"), depth.alias("_depth"))
+    # at the end of a file all is closed; a brace too many may stand there, as none ends the last piece of a file without one
+    every = Window.partitionBy("file")
+    torn = F.raise_error(F.concat(F.lit("the file ends within an object: "), F.col("file"))).cast("long")
+    level = F.when((F.sum("_change").over(every) > 0) | (F.sum("quotes").over(every) % 2 == 1), torn).otherwise(F.coalesce(F.sum("_change").over(before), F.lit(0)))
+    starts = begun.select("file", "at", "_in", level.alias("_level"), depth.alias("_depth"))
     parts = stored(pieces.join(F.broadcast(starts), ["file", "at"]).select("value", "file", "at", "_in", "_level", "_depth").mapInPandas(_cut, "file string, at long, no long, closed boolean, text string"))
     own = F.col("closed") & (F.col("no") > 0)
     # an object on a border: the parts behind one that is closed, up to the next that is
     order = Window.partitionBy("file").orderBy("at", "no").rowsBetween(Window.unboundedPreceding, -1)
     border = parts.where(~own).withColumn("_chain", F.coalesce(F.sum(F.col("closed").cast("long")).over(order), F.lit(0)))
     joined = border.groupBy("file", "_chain").agg(F.max("closed").alias("closed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "no", "text"))), lambda x: x["text"]), "").alias("text"))
-    whole = F.when(F.col("closed"), F.col("text")).when(F.contains("text", F.lit(_MARK)), F.raise_error(F.concat(F.lit("the file ends within an object: "), F.col("file"))).cast("string"))
-    texts = parts.where(own).select("file", "text").unionByName(joined.select("file", whole.alias("text")).where("text is not null"))
+    texts = parts.where(own).select("file", "text").unionByName(joined.where("closed").select("file", "text"))
     halves = F.split("text", _MARK, 2)
     raw = F.nullif(F.regexp_extract(halves[0], r'("(?:[^"\\]|\\.)*+")\s*:\s*$', 1), F.lit(""))
     return texts.select("file", F.from_json(F.concat(F.lit('{"k":'), raw, F.lit("}")), "k string")["k"].alias("key"), F.get(halves, F.lit(1)).alias("value"))
