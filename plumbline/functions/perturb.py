@@ -131,39 +131,53 @@ def perturb(rows: DataFrame, kinds: tuple[str, ...], seed: int, key: str = "clai
     return out.where(F.col("claim").isNotNull() & (F.lower("claim") != F.lower("_old"))).select(key, "kind", "claim", F.lit(1).alias("label"))
 
 
-def compound(rows: DataFrame, errors: int, seed: int, key: str = "claim_id", text: str = "claim") -> DataFrame:
-    """(key, claim): `errors` different simple kinds in fixed order, one after another; rows where any step does not apply are left out."""
-    drawn = rows.select(key, F.col(text).alias("_old"), F.explode(F.array(*map(F.lit, SIMPLE))).alias("kind"))
-    order = Window.partitionBy(key).orderBy(uniform(seed, F.col("kind"), F.col(key)), "kind")
-    chosen = drawn.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= errors).groupBy(key).agg(F.first("_old").alias("_old"), F.collect_set("kind").alias("kinds"))
+def compounded(errors: int, seed: int, key: str, text: Column) -> Column:
+    """The text after `errors` different simple kinds, the first by seeded hash, in fixed order one after another; null where a step does not apply."""
+    drawn = F.array_sort(F.array(*(F.struct(uniform(seed, F.lit(k), F.col(key)).alias("u"), F.lit(k).alias("kind")) for k in SIMPLE)))
 
-    def step(k):
+    def step(k, kinds):
         def changed(c):
             after = let(apply(k, c, uniform(seed + 1, F.lit(k), F.col(key))), lambda a: F.when(F.lower(a) != F.lower(c), a))
-            return F.when(F.array_contains("kinds", k), after).otherwise(c)
+            return F.when(F.array_contains(kinds, k), after).otherwise(c)
 
         return changed
 
-    claim = F.col("_old")
-    for k in SIMPLE:
-        claim = let(claim, step(k))
-    out = chosen.select(key, F.explode(F.array(claim)).alias("claim"))
-    return out.where(F.col("claim").isNotNull()).select(key, "claim")
+    def every(kinds):
+        claim = text
+        for k in SIMPLE:
+            claim = let(claim, step(k, kinds))
+        return claim
+
+    return let(F.transform(F.slice(drawn, 1, errors), lambda x: x["kind"]), every)
+
+
+def compound(rows: DataFrame, errors: int, seed: int, key: str = "claim_id", text: str = "claim") -> DataFrame:
+    """(key, claim): `errors` different simple kinds in fixed order, one after another; rows where any step does not apply are left out."""
+    claim = let(F.col(text), lambda c: compounded(errors, seed, key, c))
+    return rows.select(key, F.explode(F.array(claim)).alias("claim")).where(F.col("claim").isNotNull())
 
 
 def hard_negatives(rows: DataFrame, kinds: tuple[str, ...], per_claim: int, seed: int, key: str = "claim_id", text: str = "claim") -> DataFrame:
-    """(key, kind, claim, label): up to per_claim different texts (without case) of each claim, kinds in seeded order."""
+    """(key, kind, claim, label): up to per_claim different texts (without case) of each claim, kinds in seeded order.
+
+    All within the row: the texts of all kinds are sorted by their draws, later ones that repeat a text go. No shuffle."""
     unknown = [k for k in kinds if k not in TYPES]
     if unknown:
         raise ValueError(f"no perturbations {unknown}")
-    made = perturb(rows, tuple(k for k in kinds if not k.startswith("compound")), seed, key, text)
-    for k in kinds:
+
+    def made(k, c):
         if k.startswith("compound"):
-            made = made.unionByName(compound(rows, int(k.split("_")[1][0]), seed, key, text).select(key, F.lit(k).alias("kind"), "claim", F.lit(1).alias("label")))
-    u = uniform(seed, F.lit("order"), F.col("kind"), F.col(key))
-    distinct = made.withColumn("_u", u).withColumn("_d", F.row_number().over(Window.partitionBy(key, F.lower("claim")).orderBy("_u", "kind"))).where("_d = 1")
-    order = Window.partitionBy(key).orderBy("_u", "kind")
-    return distinct.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_claim).select(key, "kind", "claim", "label")
+            return compounded(int(k.split("_")[1][0]), seed, key, c)
+        return let(apply(k, c, uniform(seed, F.lit(k), F.col(key))), lambda a: F.when(F.lower(a) != F.lower(c), a))
+
+    def all_of(c):
+        return F.array(*(F.struct(uniform(seed, F.lit("order"), F.lit(k), F.col(key)).alias("u"), F.lit(k).alias("kind"), made(k, c).alias("claim")) for k in kinds))
+
+    ordered = F.array_sort(F.filter(let(F.col(text), all_of), lambda x: x["claim"].isNotNull()))
+    known = lambda kept, x: F.exists(kept, lambda y: F.lower(y["claim"]) == F.lower(x["claim"]))
+    none = F.array().cast("array<struct<u:double,kind:string,claim:string>>")
+    distinct = F.aggregate(ordered, none, lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    return rows.select(key, F.explode(F.slice(distinct, 1, per_claim)).alias("x")).select(key, "x.kind", "x.claim", F.lit(1).alias("label"))
 
 
 def rewrite_report(rows: DataFrame, rules: list[dict[str, str]], share: float, seed: int, key: str = "report_id", text: str = "text") -> DataFrame:
