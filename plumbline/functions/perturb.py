@@ -79,7 +79,7 @@ def negation(text: Column) -> Column:
 
 
 def device_line_error(text: Column) -> Column:
-    device = reduce(lambda a, b: a | b, (has_word(text, w) for w in V.DEVICE_WORDS))
+    device = text.rlike("(?i)" + "|".join(map(word, V.DEVICE_WORDS)))
     return F.when(device, F.coalesce(swap_first(text, V.DEVICE_POSITIONS), F.concat(F.regexp_replace(text, r"\.+$", ""), F.lit(V.DEVICE_FALLBACK))))
 
 
@@ -133,7 +133,7 @@ def perturb(rows: DataFrame, kinds: tuple[str, ...], seed: int, key: str = "clai
 
 def compounded(errors: int, seed: int, key: str, text: Column) -> Column:
     """The text after `errors` different simple kinds, the first by seeded hash, in fixed order one after another; null where a step does not apply."""
-    drawn = F.array_sort(F.array(*(F.struct(uniform(seed, F.lit(k), F.col(key)).alias("u"), F.lit(k).alias("kind")) for k in SIMPLE)))
+    drawn = F.sort_array(F.array(*(F.struct(uniform(seed, F.lit(k), F.col(key)).alias("u"), F.lit(k).alias("kind")) for k in SIMPLE)))
 
     def step(k, kinds):
         def changed(c):
@@ -173,9 +173,10 @@ def hard_negatives(rows: DataFrame, kinds: tuple[str, ...], per_claim: int, seed
     def all_of(c):
         return F.array(*(F.struct(uniform(seed, F.lit("order"), F.lit(k), F.col(key)).alias("u"), F.lit(k).alias("kind"), made(k, c).alias("claim")) for k in kinds))
 
-    ordered = F.array_sort(F.filter(let(F.col(text), all_of), lambda x: x["claim"].isNotNull()))
-    known = lambda kept, x: F.exists(kept, lambda y: F.lower(y["claim"]) == F.lower(x["claim"]))
-    none = F.array().cast("array<struct<u:double,kind:string,claim:string>>")
+    held = F.filter(let(F.col(text), all_of), lambda x: x["claim"].isNotNull())
+    ordered = F.sort_array(F.transform(held, lambda x: x.withField("low", F.lower(x["claim"]))))
+    known = lambda kept, x: F.exists(kept, lambda y: y["low"] == x["low"])
+    none = F.array().cast("array<struct<u:double,kind:string,claim:string,low:string>>")
     distinct = F.aggregate(ordered, none, lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
     return rows.select(key, F.explode(F.slice(distinct, 1, per_claim)).alias("x")).select(key, "x.kind", "x.claim", F.lit(1).alias("label"))
 
