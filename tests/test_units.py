@@ -116,7 +116,8 @@ def test_partitioning_does_not_matter(spark):
 def test_scored_claims_are_stored_by_report(spark, tmp_path, monkeypatch):
     from plumbline.queries import pipelines as Q
 
-    monkeypatch.setattr(Q.S, "scratch", lambda _: f"file://{tmp_path}/claims")
+    names = iter(["claims", *(f"other{i}" for i in range(9))])  # the claims' file is the first path asked for, the reader's own tables follow
+    monkeypatch.setattr(Q.S, "scratch", lambda _: f"file://{tmp_path}/{next(names)}")
     n = Q.s07(spark, "/root/testdata/sf0.001").first().n
     stored = spark.read.text(f"{tmp_path}/claims").select(F.size(F.from_json("value", "struct<claims:array<struct<claim:string>>>")["claims"]).alias("k"))
     reports = Q.claims(spark, "/root/testdata/sf0.001").groupBy("report_id").count()
