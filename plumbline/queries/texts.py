@@ -261,7 +261,7 @@ def t25(spark, sf):
 @query("T26_clean_tokens", "SELECT claim_id, list_filter(list_transform(string_split(claim, ' '), lambda t: trim(t)), lambda t: t <> '') AS raw, len(list_distinct(list_filter(list_transform(string_split(claim || ' ' || evidence_text, ' '), lambda t: trim(t)), lambda t: t <> ''))) AS n_distinct FROM claims", "claims")
 def t26(spark, sf):
     words = F.split(F.concat_ws(" ", "claim", "evidence_text"), " ")
-    return claims(spark, sf).select("claim_id", F.filter(F.transform(F.split("claim", " "), F.trim), lambda t: t != "").alias("raw"), F.size(T.clean_tokens(words)).cast("bigint").alias("n_distinct"))
+    return claims(spark, sf).select("claim_id", F.filter(F.transform(F.split("claim", " "), lambda s: F.trim(s)), lambda t: t != "").alias("raw"), F.size(T.clean_tokens(words)).cast("bigint").alias("n_distinct"))
 
 
 @query("T27_missing_tokens", r"SELECT claim_id, list_filter(string_split(finding || ' left', ' '), lambda t: NOT regexp_matches(claim, '(?i)\b' || t || '\b')) AS missing FROM claims", "claims")
