@@ -15,13 +15,16 @@ def running(rows: DataFrame, value: str, sums: list[str], by: list[str] | None =
     Approximate quantiles cut the values into as many ranges as there are shuffle partitions; each range is summed by its own
     window, and the ranges' totals, which are few, give what stands before it. Rows of one value count together unless the
     columns of `then` order them. For few groups: those of `by` and their ranges are broadcast. Rows whose group is null go.
-    The rows are written once, since cuts, totals and sums all read them."""
+    The rows are written once, since cuts, totals and sums all read them; so are the cuts, since approximate quantiles that
+    are computed twice may differ, and totals of other ranges than the sums' would count rows wrongly."""
     by, then = by or [], then or []
     rows = stored(rows)
     parts = min(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 2), 500)
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+    cuts = stored(rows.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts")))
     placed = rows.join(F.broadcast(cuts), by) if by else rows.crossJoin(F.broadcast(cuts))
-    placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(parts.bit_length()))))  # the number of cuts below the value, by halving
+    below = F.aggregate(halves, F.lit(0), lambda n, step: F.when(F.get("_cuts", n + step - 1) < F.col(value), n + step).otherwise(n))
+    placed = placed.withColumn("_part", below).drop("_cuts")
     totals = placed.groupBy(*by, "_part").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each range
     earlier = group.orderBy(F.desc("_part") if descending else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
