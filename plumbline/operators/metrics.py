@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,3 +223,24 @@ def threshold_sweep(cal: DataFrame, target: float, steps: int = 200) -> DataFram
 
 def unpivot(rows: DataFrame, ids: list[str], columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     return rows.unpivot(ids, columns, name, value)
+
+
+def gram_matches(rows: DataFrame, found: str, known: str, most: int = 4) -> DataFrame:
+    """(n, grams, matches) of each task, for sums over all: runs of n words (up to `most`) in the arrays of `found`, and how many
+    of them stand in the `known` array of the same row, each at most as often as there. Counted within the row; no run moves."""
+
+    def count(batches):
+        from collections import Counter
+
+        total = {}
+        for batch in batches:
+            for own, other in zip(batch[found], batch[known]):
+                own, other = list(own) if own is not None else [], list(other) if other is not None else []
+                for n in range(1, most + 1):
+                    a, b = (Counter(zip(*(w[i:] for i in range(n)))) for w in (own, other))
+                    if a or b:
+                        was = total.get(n, (0, 0))
+                        total[n] = was[0] + sum(a.values()), was[1] + sum(min(k, b[g]) for g, k in a.items() if g in b)
+        yield pd.DataFrame([(n, *x) for n, x in total.items()], columns=["n", "grams", "matches"]).astype("int64")
+
+    return rows.select(found, known).mapInPandas(count, "n long, grams long, matches long")

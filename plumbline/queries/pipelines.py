@@ -117,13 +117,8 @@ def a32(spark, sf):
     """Corpus BLEU-4 of the joined claims against their report, and mean claims per report."""
     rows = reports(spark, sf).select("report_id", T.alnum_tokens(F.col("text")).alias("ref"), T.claims_of(F.col("text")).alias("c"))
     rows = rows.select("report_id", "ref", T.alnum_tokens(F.array_join("c", " ")).alias("hyp"), F.size("c").alias("n_claims"))
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(c, i, n), " "))
-    parts = [rows.select("report_id", F.lit(n).alias("n"), F.lit(s).alias("side"), F.explode(F.when(F.size(s) >= n, grams(F.col(s), n))).alias("g")) for n in (1, 2, 3, 4) for s in ("ref", "hyp")]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    counts = long.groupBy("report_id", "n", "g").agg(F.count_if(F.col("side") == "hyp").alias("h"), F.count_if(F.col("side") == "ref").alias("r"))
-    precision = counts.groupBy("n").agg((F.sum(F.least("h", "r")) / F.sum("h")).alias("p"))
+    rows = stored(rows)  # reports are put together and cut once
+    precision = M.gram_matches(rows, "hyp", "ref").groupBy("n").agg((F.sum("matches") / F.sum("grams")).alias("p"))
     sizes = rows.agg(F.sum(F.size("hyp")).alias("h"), F.sum(F.size("ref")).alias("r"), F.avg("n_claims").alias("mean_claims"))
     score = precision.agg(F.exp(F.avg(F.when(F.col("p") > 0, F.log("p")).otherwise(float("-inf")))).alias("g"))
     return score.crossJoin(F.broadcast(sizes)).select(F.round(F.col("g") * F.least(F.lit(1.0), F.exp(1 - F.col("r") / F.col("h"))), 9).alias("bleu"), F.round("mean_claims", 9).alias("mean_claims"))
