@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import uniform
 from ..functions import provenance as P
+from ..sources.tables import stored
 from .ranks import quantile, running
 
 RARE = "Rare/Other"
@@ -25,13 +26,12 @@ def one_per(rows: DataFrame, key: str, seed: int, *tie: str) -> DataFrame:
 def p_values(cal: DataFrame, test: DataFrame, group: str | None = None, score: str = "score", weight: str | None = None) -> DataFrame:
     """Adds p to test: (calibration weight at or above the score + 1) / (all of the group's weight + 1).
 
-    Calibration is first summed by distinct score; a group with none gives p = 1."""
+    Rows of both sides are ranked together once; a group without calibration gives p = 1."""
     g = F.col(group) if group else F.lit("")
     w = F.col(weight) if weight else F.lit(1.0)
-    both = cal.select(g.alias("_g"), F.col(score).alias("_s"), w.alias("_w")).groupBy("_g", "_s").agg(F.sum("_w").alias("_w"))
-    at = test.select(g.alias("_g"), F.col(score).alias("_s")).distinct().select("_g", "_s", F.lit(0.0).alias("_w"))
-    ranked = running(both.unionByName(at).groupBy("_g", "_s").agg(F.sum("_w").alias("w")), "_s", ["w"], ["_g"], descending=True)
-    table = ranked.select("_g", "_s", ((F.col("w_cum") + 1.0) / (F.col("w_all") + 1.0)).alias("p"))
+    both = cal.select(g.alias("_g"), F.col(score).alias("_s"), w.cast("double").alias("w"), F.lit(0).alias("n"))
+    both = both.unionByName(test.select(g.alias("_g"), F.col(score).alias("_s"), F.lit(0.0).alias("w"), F.lit(1).alias("n")))
+    table = ranked_p(both, ["_g"], "_s").where("n = 1").groupBy("_g", "_s").agg(F.first("p").alias("p"))
     return test.withColumn("_g", g).withColumn("_s", F.col(score)).join(table, ["_g", "_s"], "left").withColumn("p", F.coalesce("p", F.lit(1.0))).drop("_g", "_s")
 
 
@@ -53,6 +53,26 @@ def step_up(rows: DataFrame, alpha: float | Column, by: list[str] | None = None,
     return joined.withColumn("accepted", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
+def ranked_p(rows: DataFrame, by: list[str], value: str = "score") -> DataFrame:
+    """Adds p, n_cum and n_all to rows (by, value, w, n and further columns): (w at or above the value + 1) / (all w + 1), and test rows so far.
+
+    w is the weight of a calibration row, n is 1 for a test row. Within a group p falls with the value, so one pass by falling
+    values gives the p-values and the ranks that step-up selection compares them with; rows are neither counted nor joined first."""
+    ranked = running(rows, value, ["w", "n"], by, descending=True)
+    return ranked.withColumn("p", (F.col("w_cum") + 1.0) / (F.col("w_all") + 1.0)).drop("w_cum", "w_all")
+
+
+def step_up_sums(rows: DataFrame, alpha: float, by: list[str], sums: list[str], value: str = "score") -> DataFrame:
+    """(by, n, n_green, and for each of sums its sum over the accepted rows) of step-up selection within each group; groups without test rows give none.
+
+    rows as in ranked_p. Sums of the accepted rows are running sums where the last p-value that passes stands; as a row
+    without n adds nothing to them, it cannot change them either."""
+    ranked = running(rows, value, ["w", "n", *sums], by, descending=True)
+    passes = (F.col("w_cum") + 1.0) / (F.col("w_all") + 1.0) <= F.col("n_cum") / F.col("n_all") * F.lit(alpha)
+    last = [F.coalesce(F.max(F.when(passes, F.col(f"{s}_cum"))), F.lit(0)).alias(a) for s, a in (("n", "n_green"), *((s, s) for s in sums))]
+    return ranked.where("n_all > 0").groupBy(*by).agg(F.first("n_all").alias("n"), *last)
+
+
 def triage_label(accepted: Column, score: Column, tau: Column) -> Column:
     return F.when(accepted, "green").when(score > tau, "yellow").otherwise("red")
 
@@ -82,12 +102,24 @@ def triage(cal: DataFrame, test: DataFrame, alpha: float = 0.05, group: str = "p
     """Adds effective, p, accepted, tau, triage to test.
 
     null_label: calibration rows of this label give the p-values (0: faithful; 1: contradicted, the canonical way).
-    scope: step-up within each effective group, or over all test rows ("global")."""
+    scope: step-up within each effective group, or over all test rows ("global").
+    Scores are written once; p-values, ranks and cuts come from them, and test rows meet them in one join."""
     canonical = scope == "global"
-    groups, taus = calibrate(cal, group, least, low, null_label if canonical else None)
-    cal, test = _effective(cal, groups, group), _effective(test, groups, group)
-    rows = p_values(cal.where(F.col("label") == null_label), test, "effective")
-    rows = step_up(rows, alpha, None if canonical else ["effective"])
+    both = stored(cal.select(group, "score", "label", F.lit(True).alias("_cal")).unionByName(test.select(group, "score", F.lit(None).cast("int").alias("label"), F.lit(False).alias("_cal"))))
+    groups, taus = calibrate(both.where("_cal"), group, least, low, null_label if canonical else None)
+    used = _effective(both.where(~F.col("_cal") | (F.col("label") == null_label)), groups, group)
+    used = used.select("effective", "score", F.col("_cal").cast("int").alias("w"), (~F.col("_cal")).cast("int").alias("n"))
+    ranked = ranked_p(used, ["effective"]).where("n = 1").groupBy("effective", "score").agg(F.first("p").alias("p"), F.first("n_cum").alias("n_cum"), F.first("n_all").alias("n_all"), F.count("*").alias("n"))
+    ranked = stored(ranked)  # for the cuts and for the rows
+    by = [] if canonical else ["effective"]
+    if canonical:  # over all groups the order of p is another one
+        counts = running(ranked.groupBy("p").agg(F.sum("n").alias("n")), "p", ["n"])
+    else:
+        counts = ranked
+    cut = F.broadcast(counts.where(F.col("p") <= F.col("n_cum") / F.col("n_all") * F.lit(alpha)).groupBy(*by).agg(F.max("p").alias("_cut")))
+    rows = _effective(test, groups, group).join(ranked.select("effective", "score", "p"), ["effective", "score"], "left").withColumn("p", F.coalesce("p", F.lit(1.0)))
+    rows = rows.join(cut, by, "left") if by else rows.join(cut, F.lit(True), "left")
+    rows = rows.withColumn("accepted", F.coalesce(F.col("p") <= F.col("_cut"), F.lit(False))).drop("_cut")
     rows = rows.join(F.broadcast(taus.select("effective", "tau")), "effective", "left").withColumn("tau", F.coalesce("tau", F.lit(0.5)))
     return rows.withColumn("triage", triage_label(F.col("accepted"), F.col("score"), F.col("tau")))
 
@@ -101,7 +133,7 @@ def canonical(rows: DataFrame, is_cal: Column, alpha: float = 0.05, group: str =
 
 def sweep(rows: DataFrame, alphas: list[float], p: str = "p", null_label: int = 1) -> DataFrame:
     """Per alpha, with the same p-values: n_green, coverage, fdr, power. Rows are counted by p and label once."""
-    counts = rows.groupBy(p).agg(F.count("*").alias("n"), F.count_if(F.col("label") == null_label).alias("bad"))
+    counts = stored(rows.groupBy(p).agg(F.count("*").alias("n"), F.count_if(F.col("label") == null_label).alias("bad")))
     ranked = running(counts, p, ["n"]).withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
     cuts = ranked.groupBy("alpha").agg(F.max(F.when(F.col(p) <= F.col("n_cum") / F.col("n_all") * F.col("alpha"), F.col(p))).alias("cut"))
     per = counts.crossJoin(F.broadcast(cuts))  # one row for each alpha
@@ -153,26 +185,36 @@ def blocks(rows: DataFrame, accepted: Column, keys: list[str], group: str = "pat
 def sweep_blocks(cal: DataFrame, test: DataFrame, alphas: list[float], group: str = "pathology", least: int = 50, null_label: int = 0) -> DataFrame:
     """The blocks of group triage for each alpha: alpha, stratum, n, n_green, fdr, power.
 
-    p-values do not depend on alpha: test rows are counted by them once, and only counts meet the alphas."""
-    groups, _ = calibrate(cal, group, least)
-    cal, test = _effective(cal, groups, group), _effective(test, groups, group)
-    rows = p_values(cal.where(F.col("label") == null_label), test, "effective")
-    counts = rows.groupBy("effective", group, "p").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"))
-    ranked = running(counts.groupBy("effective", "p").agg(F.sum("n").alias("n")), "p", ["n"], ["effective"])
-    cuts = ranked.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).groupBy("alpha", "effective").agg(F.max(F.when(F.col("p") <= F.col("n_cum") / F.col("n_all") * F.col("alpha"), F.col("p"))).alias("cut"))
+    p-values do not depend on alpha: test rows are counted by them once, and only counts meet the alphas. cal and test are
+    read once; a row's rank and its p-value come from the same pass."""
+    both = cal.select(group, "score", "label", F.lit(True).alias("_cal")).unionByName(test.select(group, "score", "label", F.lit(False).alias("_cal")))
+    both = stored(both)
+    groups = pooled_groups(both.where("_cal"), group, least)
+    both = _effective(both.where(~F.col("_cal") | (F.col("label") == null_label)), groups, group)
+    marked = both.select("effective", group, "score", F.col("_cal").cast("int").alias("w"), (~F.col("_cal")).cast("int").alias("n"), (F.col("label") == 1).cast("int").alias("bad"))
+    ranked = ranked_p(marked, ["effective"]).where("n = 1")
+    counts = stored(ranked.groupBy("effective", group, "p").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.max("n_cum").alias("n_cum"), F.first("n_all").alias("n_all")))
+    cuts = counts.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas)))).groupBy("alpha", "effective").agg(F.max(F.when(F.col("p") <= F.col("n_cum") / F.col("n_all") * F.col("alpha"), F.col("p"))).alias("cut"))
     ok = F.coalesce(F.col("p") <= F.col("cut"), F.lit(False))
     per = counts.join(F.broadcast(cuts), "effective").withColumn("stratum", F.explode(F.array(F.lit("ALL"), F.col(group))))  # a row for each alpha and group
     agg = per.groupBy("alpha", "stratum").agg(F.sum("n").alias("n"), F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("n_green"), F.sum(F.when(ok, F.col("bad")).otherwise(0)).alias("_bad"), F.sum(F.col("n") - F.col("bad")).alias("_good"))
     return agg.select("alpha", "stratum", "n", "n_green", F.when(F.col("n_green") > 0, F.col("_bad") / F.col("n_green")).otherwise(0.0).alias("fdr"), F.when(F.col("_good") > 0, (F.col("n_green") - F.col("_bad")) / F.col("_good")).otherwise(0.0).alias("power"))
 
 
-def temporal_shift(rows: DataFrame, early: str, late: str, alpha: float = 0.05, group: str = "pathology") -> DataFrame:
-    """Calibrates on rows before `early`, triages them and the rows from `late` on: cohort, n, n_green, fdr, degraded."""
+def temporal_shift(rows: DataFrame, early: str, late: str, alpha: float = 0.05, group: str = "pathology", least: int = 50) -> DataFrame:
+    """Calibrates on rows before `early`, triages them and the rows from `late` on: cohort, n, n_green, fdr, degraded.
+
+    Both cohorts are ranked in one pass over rows that are read once; thresholds of scores, which nothing here shows, are not computed."""
     before, after = rows.where(F.col("study_date") < F.lit(early).cast("timestamp")), rows.where(F.col("study_date") >= F.lit(late).cast("timestamp"))
-    out = None
-    for name, part in (("early", before), ("late", after)):
-        done = triage(before, part, alpha, group).agg(F.lit(name).alias("cohort"), F.count("*").alias("n"), F.count_if("accepted").alias("n_green"), F.count_if(F.col("accepted") & (F.col("label") == 1)).alias("_bad"))
-        out = done if out is None else out.unionByName(done)
+    part = lambda rows, is_cal, *names: rows.select(group, "score", "label", F.lit(is_cal).alias("_cal"), F.array(*(F.lit(n) for n in names)).alias("cohorts"))
+    both = stored(part(before, True, "early").unionByName(part(after, False, "late")))
+    both = _effective(both, pooled_groups(both.where("_cal"), group, least), group)
+    # rows before are test rows of their own cohort, and calibrate both cohorts where their label is 0
+    each = F.filter(F.array(*(F.struct(F.lit(name).alias("cohort"), (F.col("_cal") & (F.col("label") == 0)).cast("int").alias("w"), (F.array_contains("cohorts", name)).cast("int").alias("n")) for name in ("early", "late"))), lambda x: (x["w"] > 0) | (x["n"] > 0))
+    marked = both.withColumn("x", F.explode(each)).select("x.*", "effective", "score", F.when(F.col("x.n") == 1, (F.col("label") == 1).cast("int")).otherwise(0).alias("_bad"))
+    done = step_up_sums(marked, alpha, ["cohort", "effective"], ["_bad"])
+    names = rows.sparkSession.createDataFrame([("early",), ("late",)], "cohort string")
+    out = names.join(done.groupBy("cohort").agg(*(F.sum(c).alias(c) for c in ("n", "n_green", "_bad"))), "cohort", "left").na.fill(0)
     checked = out.withColumn("n", F.when(F.col("n") == 0, F.raise_error(F.concat(F.lit("no rows on the side "), "cohort")).cast("bigint")).otherwise(F.col("n")))
     fdr = F.when(F.col("n_green") > 0, F.col("_bad") / F.col("n_green")).otherwise(0.0)
     return checked.select("cohort", "n", "n_green", fdr.alias("fdr"), ((F.col("cohort") == "late") & (fdr > alpha)).alias("degraded"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .conformal import p_values, step_up
+from ..sources.tables import stored
+from .conformal import step_up_sums
 
 
 def all_rows(rows: DataFrame) -> DataFrame:
@@ -44,15 +45,17 @@ def run_ablations(rows: DataFrame, names: list[str], is_cal: Column, alpha: floa
     """condition, n, n_green, fdr, green_share, and the differences of the last two from the condition `base`.
 
     Each condition calibrates on the rows of is_cal with null_label (1: contradicted) and selects the others within its groups. One scan feeds
-    all conditions; p-values and cuts come from counts by distinct score."""
+    all conditions, whose rows are written once and ranked once."""
     unknown = [n for n in names if n not in ABLATIONS]
     if unknown:
         raise ValueError(f"no ablations named {unknown}")
     made = {n: ABLATIONS[n]() for n in names}
     marked = rows.select("label", is_cal.alias("_cal"), *(F.struct(F.lit(n).alias("condition"), F.concat_ws("|", F.lit(n), g).alias("part"), s.alias("score")).alias(f"_{n}") for n, (s, g) in made.items()))
     long = marked.select("label", "_cal", F.explode(F.filter(F.array(*(f"_{n}" for n in names)), lambda x: x["score"].isNotNull())).alias("x")).select("label", "_cal", "x.*")
-    chosen = step_up(p_values(long.where(F.col("_cal") & (F.col("label") == null_label)), long.where("not _cal"), "part"), alpha, ["part"])
-    agg = chosen.groupBy("condition").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n_green"), F.count_if(F.col("accepted") & (F.col("label") == 1)).alias("_bad"))
+    is_test = ~F.col("_cal")
+    part = long.where(is_test | (F.col("label") == null_label)).select("condition", "part", "score", F.col("_cal").cast("int").alias("w"), is_test.cast("int").alias("n"), (is_test & (F.col("label") == 1)).cast("int").alias("_bad"))
+    agg = step_up_sums(part, alpha, ["condition", "part"], ["_bad"]).groupBy("condition").agg(*(F.sum(c).alias(c) for c in ("n", "n_green", "_bad")))
+    agg = stored(agg)  # a row for each condition
     out = agg.select("condition", "n", "n_green", F.when(F.col("n_green") > 0, F.col("_bad") / F.col("n_green")).otherwise(0.0).alias("fdr"), (F.col("n_green") / F.col("n")).alias("green_share"))
     own = out.where(F.col("condition") == base).select(F.col("fdr").alias("_f"), F.col("green_share").alias("_g"))
     both = out.join(F.broadcast(own), F.lit(True), "left")  # one row

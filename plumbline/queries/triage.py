@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import claims, uniform_sql
 from ..operators import conformal as C
+from ..sources.tables import stored
 from .registry import query
 
 _B = ", b AS (SELECT *, CASE WHEN label = 1 THEN 1 ELSE 0 END AS bad, patient_id % 2 = 0 AS is_cal FROM claims)"
@@ -13,8 +14,10 @@ def _binary(spark, sf):
     return claims(spark, sf).withColumn("label", F.when(F.col("label") == 1, 1).otherwise(0))
 
 
-def _sides(spark, sf):
+def _sides(spark, sf, *columns):
+    """Calibration and test claims; where columns are named, these are written once for all passes."""
     rows = _binary(spark, sf)
+    rows = stored(rows.select("patient_id", "label", "score", *columns)) if columns else rows
     return rows.where("patient_id % 2 = 0"), rows.where("patient_id % 2 <> 0")
 
 
@@ -82,7 +85,7 @@ _TRI = "CASE WHEN accepted THEN 'green' WHEN score > coalesce(tau, 0.5e0) THEN '
 
 @query("C07_group_triage", _C07 + f" SELECT claim_id, e.effective, p, {_TRI} AS triage FROM acc JOIN e USING (claim_id) LEFT JOIN tau USING (effective)", "claims")
 def c07(spark, sf):
-    cal, test = _sides(spark, sf)
+    cal, test = _sides(spark, sf, "claim_id", "brand")
     return C.triage(cal, test, 0.1, "brand", 1180).select("claim_id", "effective", "p", "triage")
 
 
@@ -99,7 +102,8 @@ _C08 = (
 
 
 def _canonical(spark, sf):
-    return C.canonical(_binary(spark, sf), F.col("patient_id") % 2 == 0)
+    rows = _binary(spark, sf).select("claim_id", "patient_id", "pathology", "label", "score", "evidence_source_type", "claim_generator_id", "evidence_generator_id")
+    return C.canonical(stored(rows), F.col("patient_id") % 2 == 0)
 
 
 @query("C08_canonical_triage", _C08 + " SELECT pathology, final_label, count(*) AS n, count(*) FILTER (bad = 1) AS n_contradicted FROM g GROUP BY 1, 2", "claims")
@@ -127,7 +131,7 @@ _SWEEP = _B + _pv("pathology") + f", t AS (SELECT p, bad FROM pv JOIN b USING (c
 
 @query("C09_alpha_sweep", _SWEEP + " SELECT alpha, count(*) FILTER (ok) AS n_green, count(*) FILTER (ok) / count(*) AS coverage, CASE WHEN count(*) FILTER (ok) > 0 THEN count(*) FILTER (ok AND bad = 1) / count(*) FILTER (ok) ELSE 0e0 END AS fdr, count(*) FILTER (ok AND bad = 0) / count(*) FILTER (bad = 0) AS power FROM y GROUP BY 1", "claims")
 def c09(spark, sf):
-    cal, test = _sides(spark, sf)
+    cal, test = _sides(spark, sf, "pathology")
     return C.sweep(C.p_values(cal.where("label = 1"), test, "pathology"), _ALPHAS)
 
 
@@ -175,7 +179,7 @@ _TWO = ", methods AS (SELECT 'step_up' AS method, 0.1e0 AS alpha, s.* FROM ({a})
 
 
 def _step_up_blocks(spark, sf):
-    return C.blocks(C.triage(*_sides(spark, sf), 0.1, "brand", 1180), F.col("accepted"), [], "brand")
+    return C.blocks(C.triage(*_sides(spark, sf, "brand"), 0.1, "brand", 1180), F.col("accepted"), [], "brand")
 
 
 _LEVELS = [0.05, 0.1, 0.2, 0.5]
@@ -186,7 +190,7 @@ _C15 = _B + _EFF_ALL + _pve("is_cal AND bad = 0") + " " + " UNION ALL ".join(
 
 @query("C15_recalibrated_blocks", _C15, "claims")
 def c15(spark, sf):
-    return C.sweep_blocks(*_sides(spark, sf), _LEVELS, "brand", 1180)
+    return C.sweep_blocks(*_sides(spark, sf, "brand"), _LEVELS, "brand", 1180)
 
 
 @query("A06_fdr_power_blocks", _B + ", y AS (SELECT *, score >= 0.5e0 AS ok FROM b) " + _strat_blocks("y"), "claims")
@@ -212,7 +216,7 @@ _SHIFT = _B.replace("patient_id % 2 = 0 AS is_cal", "study_date < TIMESTAMP '199
 
 @query("C16_temporal_shift", _SHIFT + " SELECT cohort, n, n_green, CASE WHEN n_green > 0 THEN nb / n_green ELSE 0e0 END AS fdr, cohort = 'late' AND CASE WHEN n_green > 0 THEN nb / n_green ELSE 0e0 END > 0.2e0 AS degraded FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS cohort, count(*) AS n, count(*) FILTER (ok) AS n_green, count(*) FILTER (ok AND bad = 1) AS nb FROM a_{n}" for n in ("early", "late")) + ")", "claims")
 def c16(spark, sf):
-    return C.temporal_shift(_binary(spark, sf), "1997-01-01", "1999-01-01", 0.2)
+    return C.temporal_shift(_binary(spark, sf).select("study_date", "pathology", "label", "score"), "1997-01-01", "1999-01-01", 0.2)
 
 
 @query("C23_patient_split", f", p AS (SELECT patient_id, row_number() OVER (ORDER BY {uniform_sql(42, 'patient_id::VARCHAR')}, patient_id) <= round(count(*) OVER () * 0.4e0) AS is_cal FROM (SELECT DISTINCT patient_id FROM claims)) SELECT is_cal, count(DISTINCT patient_id) AS n_patients, count(*) AS n_claims FROM claims JOIN p USING (patient_id) GROUP BY 1", "claims")
