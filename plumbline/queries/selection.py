@@ -214,7 +214,7 @@ def t29(spark, sf):
 
 @query("T30_merged_spans", _MERGED, "claims")
 def t30(spark, sf):
-    return S.merge_spans(S.top_spans(_attribution(spark, sf), 5), _attribution(spark, sf).select("claim_id", "claim")).withColumn("score", F.round("score", 9))
+    return S.top_merged_spans(_attribution(spark, sf), 5).withColumn("score", F.round("score", 9))
 
 
 @query("T31_sides", "SELECT claim_id, list_transform(range(len(w)), lambda i: CASE WHEN i < 3 THEN 'claim' ELSE 'evidence' END) AS sides FROM (SELECT claim_id, string_split(claim, ' ') AS w FROM claims)", "claims")
