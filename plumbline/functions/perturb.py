@@ -157,8 +157,8 @@ def compound(rows: DataFrame, errors: int, seed: int, key: str = "claim_id", tex
     return rows.select(key, F.explode(F.array(claim)).alias("claim")).where(F.col("claim").isNotNull())
 
 
-def hard_negatives(rows: DataFrame, kinds: tuple[str, ...], per_claim: int, seed: int, key: str = "claim_id", text: str = "claim") -> DataFrame:
-    """(key, kind, claim, label): up to per_claim different texts (without case) of each claim, kinds in seeded order.
+def hard_negatives(rows: DataFrame, kinds: tuple[str, ...], per_claim: int, seed: int, key: str = "claim_id", text: str = "claim", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kind, claim, label, and the columns of keep): up to per_claim different texts (without case) of each claim, kinds in seeded order.
 
     All within the row: the texts of all kinds are sorted by their draws, later ones that repeat a text go. No shuffle."""
     unknown = [k for k in kinds if k not in TYPES]
@@ -178,7 +178,7 @@ def hard_negatives(rows: DataFrame, kinds: tuple[str, ...], per_claim: int, seed
     known = lambda kept, x: F.exists(kept, lambda y: y["low"] == x["low"])
     none = F.array().cast("array<struct<u:double,kind:string,claim:string,low:string>>")
     distinct = F.aggregate(ordered, none, lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
-    return rows.select(key, F.explode(F.slice(distinct, 1, per_claim)).alias("x")).select(key, "x.kind", "x.claim", F.lit(1).alias("label"))
+    return rows.select(key, *keep, F.explode(F.slice(distinct, 1, per_claim)).alias("x")).select(key, "x.kind", "x.claim", F.lit(1).alias("label"), *keep)
 
 
 def rewrite_report(rows: DataFrame, rules: list[dict[str, str]], share: float, seed: int, key: str = "report_id", text: str = "text") -> DataFrame:
@@ -231,7 +231,7 @@ def insufficient_claims(rows: DataFrame, seed: int) -> DataFrame:
 def balanced_claims(rows: DataFrame, per_class: int, seed: int, kinds: tuple[str, ...] = TYPES, compound_share: float = 0.4) -> DataFrame:
     """(claim_id, claim, evidence_text, label, kind): supported, contradicted and mismatched claims, up to per_class of each.
 
-    Contradicted: every kind is tried on every supported claim, texts that the evidence still supports go,
+    Rows have a claim_id of their own. Contradicted: every kind is tried on every supported claim, texts that the evidence still supports go,
     and each kind keeps its quota by seeded rank; what compounds do not use goes to compound_2err."""
     from ..operators.joins import mismatched_evidence
 
@@ -243,11 +243,12 @@ def balanced_claims(rows: DataFrame, per_class: int, seed: int, kinds: tuple[str
     quota = {k: int(per_class * (1 - compound_share if pairs else 1) / max(1, len(simple))) for k in simple} | {k: int(per_class * compound_share / max(1, len(pairs))) for k in pairs}
     if "compound_2err" in quota:
         quota["compound_2err"] += per_class - sum(quota.values())
-    made = hard_negatives(base, kinds, len(kinds), seed).join(base.select("claim_id", "evidence_text"), "claim_id")
+    made = hard_negatives(base, kinds, len(kinds), seed, keep=("evidence_text",))
     made = made.where(~still_supported(F.col("claim"), F.col("evidence_text")))
     order = Window.partitionBy("kind").orderBy(uniform(seed, F.lit("quota"), F.col("kind"), F.col("claim_id")), "claim_id")
     limits = F.create_map(*(F.lit(x) for kv in quota.items() for x in kv))
-    made = made.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= limits[F.col("kind")])
+    # the greatest quota as a number lets each task drop rows before they move
+    made = made.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max([0, *quota.values()])).where(F.col("_k") <= limits[F.col("kind")])
     other = mismatched_evidence(base, "pathology", seed).join(base.select("claim_id", "claim"), "claim_id").join(base.select(F.col("claim_id").alias("other_id"), "evidence_text"), "other_id")
     other = other.orderBy(uniform(seed, F.lit("other"), F.col("claim_id")), "claim_id").limit(per_class)
     parts = [
