@@ -45,14 +45,17 @@ def fixed_bootstrap(rows: DataFrame, cluster: str, parts: dict[str, Column], met
     per = stored(rows.groupBy(cluster).agg(*(F.sum(c).cast("double").alias(n) for n, c in parts.items())))
     slots = max(1, -(-per.count() // slot))
     placed = per.withColumn("_slot", F.pmod(F.xxhash64(cluster), F.lit(slots)).cast("int"))
-    sizes = placed.groupBy("_slot").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("_slot", "n"))).alias("_sizes"))
+    sizes = placed.groupBy("_slot").agg(F.count("*").alias("n"))
+    every = sizes.agg(F.array_sort(F.collect_list(F.struct("_slot", "n"))).alias("x")).select(F.col("x._slot").alias("slots"), F.col("x.n").alias("numbers"))
+    # all sizes stand once beside each slot, not on each of its clusters
+    shared = sizes.select(F.col("_slot").alias("_of")).crossJoin(F.broadcast(every))
     names = list(parts)
 
-    def sums(key, pdf):
+    def sums(key, pdf, sized):
         if not len(pdf):
             return pd.DataFrame({"rep": [], **{n: [] for n in names}})
-        numbers = np.array([r["n"] for r in pdf["_sizes"].iloc[0]])
-        mine = [r["_slot"] for r in pdf["_sizes"].iloc[0]].index(key[0])
+        numbers = np.asarray(sized["numbers"].iloc[0])
+        mine = int(np.searchsorted(sized["slots"].iloc[0], key[0]))
         values = pdf.sort_values(cluster, kind="stable")[names].fillna(0.0).to_numpy(np.float64)
         out = np.empty((replicates, len(names)))
         for rep in range(replicates):
@@ -62,7 +65,7 @@ def fixed_bootstrap(rows: DataFrame, cluster: str, parts: dict[str, Column], met
         return pd.DataFrame({"rep": np.arange(replicates), **{n: out[:, i] for i, n in enumerate(names)}})
 
     schema = "rep long, " + ", ".join(f"`{n}` double" for n in names)
-    drawn = placed.crossJoin(F.broadcast(sizes)).groupBy("_slot").applyInPandas(sums, schema).groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
+    drawn = placed.groupBy("_slot").cogroup(shared.groupBy("_of")).applyInPandas(sums, schema).groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
     return interval(drawn.select(metric.alias("m")), "m", confidence)
 
 
