@@ -271,7 +271,7 @@ def t27(spark, sf):
 
 @query("T28_edit_distance", "SELECT claim_id, levenshtein(claim, evidence_text)::INT AS distance FROM claims", "claims")
 def t28(spark, sf):
-    return claims(spark, sf).select("claim_id", F.levenshtein("claim", "evidence_text").alias("distance"))
+    return claims(spark, sf).select("claim_id", T.edit_distance(F.col("claim"), F.col("evidence_text")).alias("distance"))
 
 
 @query("T32_still_supported", "SELECT claim_id, n = b AND b >= 2 AS supported FROM (SELECT claim_id, " + " + ".join(word_sql(_LOW, w) + "::INT" for ws in [*V.FIRST_HIT.values(), ["left", "right", "bilateral"]] for w in ws) + " AS n, " + " + ".join(f"({word_sql(_LOW, w)} AND {word_sql('lower(evidence_text)', w)})::INT" for ws in [*V.FIRST_HIT.values(), ["left", "right", "bilateral"]] for w in ws) + " AS b FROM claims)", "claims")
@@ -298,8 +298,9 @@ _T33 = (
 
 @query("T33_rule_based_score", _T33, "claims")
 def t33(spark, sf):
-    s = T.contradiction_score(F.col("claim"), F.col("evidence_text"))
-    return claims(spark, sf).select("claim_id", s.alias("score"), (s >= 1).cast("int").alias("predicted"), (s / 4).alias("confidence"))
+    s = F.col("score")
+    scored = claims(spark, sf).select("claim_id", T.contradiction_score(F.col("claim"), F.col("evidence_text")).alias("score"))
+    return scored.select("claim_id", s, (s >= 1).cast("int").alias("predicted"), (s / 4).alias("confidence"))
 
 
 @query("T35_threshold_label", "SELECT claim_id, CASE WHEN score >= 0.8e0 THEN 'green' WHEN score >= 0.4e0 THEN 'yellow' ELSE 'red' END AS label FROM claims", "claims")
