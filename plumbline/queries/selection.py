@@ -145,8 +145,7 @@ _T08 = ", e AS (SELECT report_id, claim_id, claim, finding, score, row_number()
 
 @query("T08_merged_low_confidence", _T08, "claims")
 def t08(spark, sf):
-    rows = claims(spark, sf).withColumn("pos", F.row_number().over(Window.partitionBy("report_id").orderBy("claim_id")))
-    rows = rows.select("report_id", "pos", F.col("claim"), F.col("finding").alias("category"), F.col("score").alias("confidence"))
+    rows = claims(spark, sf).select("report_id", F.col("claim_id").alias("pos"), F.col("claim"), F.col("finding").alias("category"), F.col("score").alias("confidence"))
     return S.merge_low_confidence(rows, 0.5, "rib fracture")
 
 
