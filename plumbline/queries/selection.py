@@ -2,7 +2,6 @@
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
