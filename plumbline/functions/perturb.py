@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..fixtures import digits, uniform, uniform_at_least
+from ..sources.tables import spread, stored
 from .text import confusable, has_word, let, may_swap_side, replace_first, still_supported
 
 #: Types in the order in which compounds apply them, and the label of what they make (1 contradicted).
@@ -61,13 +62,17 @@ def finding_substitution(text: Column) -> Column:
 
 def negation(text: Column) -> Column:
     """Drops a no, turns without, absent and present round, puts no behind a copula, else in front."""
-    copula = F.coalesce(*(F.when(has_word(text, c), F.regexp_replace(text, rf"(?is)^(.*?{word(c)})", "$1 no")) for c in ("is", "are", "was", "were")))
+    return let(F.lower(text), lambda low: _negated(text, low))
+
+
+def _negated(text: Column, low: Column) -> Column:
+    copula = F.coalesce(*(F.when(has_word(text, c, low), F.regexp_replace(text, rf"(?is)^(.*?{word(c)})", "$1 no")) for c in ("is", "are", "was", "were")))
     front = F.concat(F.lit("No "), F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.length(text)))
     return (
-        F.when(has_word(text, "no"), F.trim(replace_first(text, r"\bno\s+", "")))
-        .when(has_word(text, "without"), replace_first(text, word("without"), "with"))
-        .when(has_word(text, "absent"), replace_first(text, word("absent"), "present"))
-        .when(has_word(text, "present"), replace_first(text, word("present"), "absent"))
+        F.when(has_word(text, "no", low), F.trim(replace_first(text, r"\bno\s+", "")))
+        .when(has_word(text, "without", low), replace_first(text, word("without"), "with"))
+        .when(has_word(text, "absent", low), replace_first(text, word("absent"), "present"))
+        .when(has_word(text, "present", low), replace_first(text, word("present"), "absent"))
         .otherwise(F.coalesce(copula, front))
     )
 
@@ -88,7 +93,7 @@ def fabricate_measurement(text: Column, u: Column, nouns: list[str] | None = Non
     """A size in front of the first listed noun that stands in text, unless there is a measurement."""
     size = pick(V.MEASUREMENTS, u)
     put = lambda n: F.regexp_replace(text, F.lit(rf"(?is)^(.*?)({word(n)})"), F.concat(F.lit("$1"), size, F.lit(f" {n}")))
-    return F.when(~text.rlike("(?i)" + V.HAS_MEASUREMENT), F.coalesce(*(F.when(has_word(text, n), put(n)) for n in nouns or _NOUNS)))
+    return F.when(~text.rlike("(?i)" + V.HAS_MEASUREMENT), let(F.lower(text), lambda low: F.coalesce(*(F.when(has_word(text, n, low), put(n)) for n in nouns or _NOUNS))))
 
 
 def _append(text: Column, phrase: Column) -> Column:
@@ -152,10 +157,42 @@ def compound(rows: DataFrame, errors: int, seed: int, key: str = "claim_id", tex
     return rows.select(key, F.explode(F.array(claim)).alias("claim")).where(F.col("claim").isNotNull())
 
 
+def by_kind(values: dict[str, Column]):
+    """A function from a column of kinds to the value of each; only the value asked for is computed."""
+
+    def of(kind):
+        out = F
+        for k, v in values.items():
+            out = out.when(kind == k, v)
+        return out if values else F.lit(None)
+
+    return of
+
+
+def first_texts(make, text_of, differs, kinds: tuple[str, ...], most: int, seed: int, key: str, type_: str) -> Column:
+    """An array of (kind, claim, low): up to `most` claims of different texts (low, in lower case), of the kinds in seeded order.
+
+    Kinds behind the last one needed are not made. make gives the claim of a kind, null where it does not apply, text_of a claim's text,
+    differs tells from a text in lower case whether it counts."""
+    order = F.sort_array(F.array(*(F.concat(digits(seed, F.lit("order"), F.lit(k), F.col(key)), F.lit(f" {k}")) for k in kinds)))  # sorts by draw, then kind
+
+    def step(kept, drawn):
+        kind = F.substring(drawn, F.lit(10), F.length(drawn))
+
+        def add(made):
+            new = let(F.lower(text_of(made)), lambda low: F.when(differs(low) & ~F.exists(kept, lambda y: y["low"] == low), F.struct(kind.alias("kind"), made.alias("claim"), low.alias("low"))))
+            return let(new, lambda x: F.when(x.isNotNull(), F.concat(kept, F.array(x))).otherwise(kept))
+
+        return F.when(F.size(kept) < most, let(make(kind), add)).otherwise(kept)
+
+    none = F.array().cast(f"array<struct<kind:string,claim:{type_},low:string>>")
+    return F.aggregate(order if kinds else F.array().cast("array<string>"), none, step)
+
+
 def hard_negatives(rows: DataFrame, kinds: tuple[str, ...], per_claim: int, seed: int, key: str = "claim_id", text: str = "claim", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, kind, claim, label, and the columns of keep): up to per_claim different texts (without case) of each claim, kinds in seeded order.
 
-    All within the row: the texts of all kinds are sorted by their draws, later ones that repeat a text go. No shuffle."""
+    All within the row: kinds are tried in the order of their draws until there are enough, later ones that repeat a text go. No shuffle."""
     unknown = [k for k in kinds if k not in TYPES]
     if unknown:
         raise ValueError(f"no perturbations {unknown}")
@@ -165,15 +202,9 @@ def hard_negatives(rows: DataFrame, kinds: tuple[str, ...], per_claim: int, seed
             return compounded(int(k.split("_")[1][0]), seed, key, c)
         return let(apply(k, c, uniform(seed, F.lit(k), F.col(key))), lambda a: F.when(F.lower(a) != F.lower(c), a))
 
-    def all_of(c):
-        return F.array(*(F.struct(digits(seed, F.lit("order"), F.lit(k), F.col(key)).alias("u"), F.lit(k).alias("kind"), made(k, c).alias("claim")) for k in kinds))
-
-    held = F.filter(let(F.col(text), all_of), lambda x: x["claim"].isNotNull())
-    ordered = F.sort_array(F.transform(held, lambda x: x.withField("low", F.lower(x["claim"]))))
-    known = lambda kept, x: F.exists(kept, lambda y: y["low"] == x["low"])
-    none = F.array().cast("array<struct<u:string,kind:string,claim:string,low:string>>")
-    distinct = F.aggregate(ordered, none, lambda kept, x: F.when(known(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
-    return rows.select(key, *keep, F.explode(F.slice(distinct, 1, per_claim)).alias("x")).select(key, "x.kind", "x.claim", F.lit(1).alias("label"), *keep)
+    of = {k: made(k, F.col(text)) for k in kinds}
+    distinct = first_texts(by_kind(of), lambda c: c, lambda low: low.isNotNull(), kinds, per_claim, seed, key, "string")
+    return rows.select(key, *keep, F.explode(distinct).alias("x")).select(key, "x.kind", "x.claim", F.lit(1).alias("label"), *keep)
 
 
 def rewrite_report(rows: DataFrame, rules: list[dict[str, str]], share: float, seed: int, key: str = "report_id", text: str = "text") -> DataFrame:
@@ -236,7 +267,8 @@ def balanced_claims(rows: DataFrame, per_class: int, seed: int, kinds: tuple[str
     and each kind keeps its quota by seeded rank; what compounds do not use goes to compound_2err."""
     from ..operators.joins import mismatched_evidence
 
-    base = rows.where("label = 0")
+    # all parts below read the supported claims, and the texts are most of the work
+    base = stored(spread(rows.where("label = 0").select("claim_id", "patient_id", "pathology", "claim", "evidence_text"), "claim_id"))
     u = uniform(seed, F.lit("base"), F.col("claim_id"))
     supported = base.orderBy(u, "claim_id").limit(per_class)
     simple = [k for k in kinds if not k.startswith("compound")]
