@@ -135,4 +135,4 @@ def c26(spark, sf):
     base = claims(spark, sf).where("label = 0")
     pool = base.groupBy("evidence_text").agg(F.min("claim_id").alias("passage_id")).withColumnRenamed("evidence_text", "text")
     rows = base.select("claim_id", "claim", F.lit(0).alias("label")).unionByName(H.hard_negatives(base, H.SIMPLE, 1, 43).select("claim_id", "claim", "label")).unionByName(H.insufficient_claims(base, 45))
-    return rows.join(pooled_evidence(base, pool, alnum_tokens, 47), "claim_id").select("claim_id", "claim", "label", F.array_join("evidence", " [SEP] ").alias("evidence"))
+    return rows.join(pooled_evidence(base, pool, alnum_tokens, 47, None), "claim_id").select("claim_id", "claim", "label", F.array_join("evidence", " [SEP] ").alias("evidence"))
