@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import uniform
+from ..sources.tables import stored
 from .resample import poisson
 
 
@@ -13,12 +14,16 @@ def pair_counts(ratings: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Coincidences: keys, c, k, o. Each unit with m codings of two and more gives n_c (n_k - [c = k]) / (m - 1)."""
     keys = keys or []
     unit_keys = [*(k for k in keys if k != "unit_id"), "unit_id"]
-    counts = ratings.where(F.col("value").isNotNull()).groupBy(*unit_keys, "value").agg(F.count("*").alias("n"))
+    return _pairs(ratings.where(F.col("value").isNotNull()).groupBy(*unit_keys, "value").agg(F.count("*").alias("n")), keys, unit_keys, F.lit(1))
+
+
+def _pairs(counts: DataFrame, keys: list[str], unit_keys: list[str], times: Column) -> DataFrame:
+    """Coincidences of counts (unit_keys, value, n) of units that stand for so many alike."""
     unit = counts.withColumn("m", F.sum("n").over(Window.partitionBy(*unit_keys))).where("m > 1")
     listed = unit.withColumn("all", F.collect_list(F.struct("value", "n")).over(Window.partitionBy(*unit_keys)))
-    pairs = listed.select(*unit_keys, F.col("value").alias("c"), "n", "m", F.explode("all").alias("x"))
+    pairs = listed.select(*unit_keys, times.alias("times"), F.col("value").alias("c"), "n", "m", F.explode("all").alias("x"))
     same = F.when(F.col("c") == F.col("x.value"), 1).otherwise(0)
-    return pairs.groupBy(*keys, "c", F.col("x.value").alias("k")).agg(F.sum(F.col("n") * (F.col("x.n") - same) / (F.col("m") - 1)).alias("o"))
+    return pairs.groupBy(*keys, "c", F.col("x.value").alias("k")).agg(F.sum(F.col("times") * F.col("n") * (F.col("x.n") - same) / (F.col("m") - 1)).alias("o"))
 
 
 def distance(level: str, before: Column | None = None) -> Column:
@@ -77,12 +82,24 @@ def align_labels(silver: DataFrame, own: DataFrame, valid: tuple[str, ...]) -> D
     return joined.select("claim_id", "user_label", "silver_label", reason.alias("reason"))
 
 
+def coding_patterns(ratings: DataFrame) -> DataFrame:
+    """(unit_id, value, n, times): of units with the same codings, null values included, one, whose unit_id is the list of its codings. Ratings are moved once."""
+    counts = ratings.select("unit_id", "value").repartition("unit_id").groupBy("unit_id", "value").agg(F.count("*").alias("n"))
+    units = counts.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("codings"))
+    alike = units.groupBy("codings").agg(F.count("*").alias("times"))
+    return stored(alike).select(F.col("codings").alias("unit_id"), "times", F.explode("codings").alias("x")).select("unit_id", "x.value", "x.n", "times")
+
+
 def fallback_ladder(ratings: DataFrame, uncertain: float, positive: Column, passing: float = 0.8) -> DataFrame:
-    """rung, alpha, passes, chosen: full ordinal scale, without the uncertain value, and two classes nominal; the first that passes is chosen."""
-    full = ratings.withColumn("rung", F.lit(1))
-    partial = ratings.where(F.col("value") != uncertain).withColumn("rung", F.lit(2))
-    binary = ratings.withColumn("value", F.when(positive, 1.0).otherwise(0.0)).withColumn("rung", F.lit(3))
-    ordinal = krippendorff(full.unionByName(partial), "ordinal", ["rung"])
-    rungs = ordinal.unionByName(krippendorff(binary, "nominal", ["rung"])).withColumn("passes", F.col("alpha") >= passing)
+    """rung, alpha, passes, chosen: full ordinal scale, without the uncertain value, and two classes nominal; the first that passes is chosen.
+
+    Units are grouped once; all rungs come from their different lists of codings."""
+    counts = coding_patterns(ratings)
+    full = counts.where(F.col("value").isNotNull()).withColumn("rung", F.lit(1))
+    partial = counts.where(F.col("value") != uncertain).withColumn("rung", F.lit(2))
+    binary = counts.withColumn("value", F.when(positive, 1.0).otherwise(0.0)).groupBy("unit_id", "value", "times").agg(F.sum("n").alias("n")).withColumn("rung", F.lit(3))
+    pairs = lambda rows: _pairs(rows, ["rung"], ["rung", "unit_id"], F.col("times"))
+    checked = lambda rows, level: alpha_of_pairs(pairs(rows), level, ["rung"]).withColumn("alpha", F.coalesce("alpha", F.raise_error(F.lit("no unit has two codings")).cast("double")))
+    rungs = checked(full.unionByName(partial), "ordinal").unionByName(checked(binary, "nominal")).withColumn("passes", F.col("alpha") >= passing)
     first = F.min(F.when(F.col("passes"), F.col("rung"))).over(Window.partitionBy(F.lit(0)))
     return rungs.withColumn("chosen", F.coalesce(F.col("rung") == first, F.lit(False)))
