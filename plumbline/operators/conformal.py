@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..fixtures import uniform
 from ..functions import provenance as P
 from ..sources.tables import stored
-from .ranks import quantile, running
+from .ranks import quantile, ranges, running
 
 RARE = "Rare/Other"
 
@@ -66,11 +66,26 @@ def step_up_sums(rows: DataFrame, alpha: float, by: list[str], sums: list[str],
     """(by, n, n_green, and for each of sums its sum over the accepted rows) of step-up selection within each group; groups without test rows give none.
 
     rows as in ranked_p. Sums of the accepted rows are running sums where the last p-value that passes stands; as a row
-    without n adds nothing to them, it cannot change them either."""
-    ranked = running(rows, value, ["w", "n", *sums], by, descending=True)
-    passes = (F.col("w_cum") + 1.0) / (F.col("w_all") + 1.0) <= F.col("n_cum") / F.col("n_all") * F.lit(alpha)
-    last = [F.coalesce(F.max(F.when(passes, F.col(f"{s}_cum"))), F.lit(0)).alias(a) for s, a in (("n", "n_green"), *((s, s) for s in sums))]
-    return ranked.where("n_all > 0").groupBy(*by).agg(F.first("n_all").alias("n"), *last)
+    without n adds nothing to them, it cannot change them either. None of w, n and sums is negative.
+
+    Sums of ranges of values tell where that may be: behind the last range whose end passes, in ranges where even the weight
+    before them and all their test rows would. Only rows of such ranges, which are few, are sorted."""
+    every = ["w", "n", *sums]
+    placed, known = ranges(rows, value, every, by, descending=True)
+    known = stored(known.where("n_all > 0"))  # a row for each range
+    passes = lambda w, n: (w + 1.0) / (F.col("w_all") + 1.0) <= n / F.col("n_all") * F.lit(alpha)
+    end = {s: F.col(f"_{s}") + F.col(f"{s}_own") for s in every}
+    whole = passes(end["w"], end["n"])
+    names = (("n", "n_green"), *((s, s) for s in sums))
+    coarse = known.groupBy(*by).agg(F.first("n_all").alias("_n_all"), F.min(F.when(whole, F.col("_part"))).alias("_last"), *(F.coalesce(F.max(F.when(whole, end[s])), F.lit(0)).alias(f"_green_{s}") for s, _ in names))
+    behind = known.join(F.broadcast(coarse.select(*by, "_last")), by).where(passes(F.col("_w"), end["n"]) & (F.col("_last").isNull() | (F.col("_part") < F.col("_last"))))
+    within = Window.partitionBy(*by, "_part").orderBy(F.desc(value))
+    sorted_ = placed.select(*by, "_part", value, *every).join(F.broadcast(behind.select(*by, "_part")), [*by, "_part"], "left_semi")
+    ranked = sorted_.select(*by, "_part", *(F.sum(s).over(within).alias(f"{s}_cum") for s in every)).join(F.broadcast(behind.drop("_last")), [*by, "_part"])
+    cum = {s: F.col(f"{s}_cum") + F.col(f"_{s}") for s in every}
+    fine = ranked.where(passes(cum["w"], cum["n"])).groupBy(*by).agg(*(F.max(cum[s]).alias(a) for s, a in names))
+    # what passes behind is never less
+    return coarse.join(F.broadcast(fine), by, "left").select(*by, F.col("_n_all").alias("n"), *(F.coalesce(F.col(a), F.col(f"_green_{s}")).alias(a) for s, a in names))
 
 
 def triage_label(accepted: Column, score: Column, tau: Column) -> Column:

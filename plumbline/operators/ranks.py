@@ -18,6 +18,17 @@ def running(rows: DataFrame, value: str, sums: list[str], by: list[str] | None =
     The rows are written once, since cuts, totals and sums all read them; so are the cuts, since approximate quantiles that
     are computed twice may differ, and totals of other ranges than the sums' would count rows wrongly."""
     by, then = by or [], then or []
+    placed, before = ranges(rows, value, sums, by, descending)
+    before = before.drop(*(f"{s}_own" for s in sums))
+    within = Window.partitionBy(*by, "_part").orderBy(F.desc(value) if descending else F.col(value), *then)
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow) if then else within
+    out = placed.select("*", *(F.sum(s).over(within).alias(f"{s}_cum") for s in sums)).join(F.broadcast(before), [*by, "_part"])
+    return out.withColumns({f"{s}_cum": F.col(f"{s}_cum") + F.col(f"_{s}") for s in sums}).drop("_part", *(f"_{s}" for s in sums))
+
+
+def ranges(rows: DataFrame, value: str, sums: list[str], by: list[str], descending: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows, written once, with _part, the number of their range; and of each range (by, _part) and each column s of sums
+    _s, its sum over the ranges before it, s_own, over the range, and s_all, over all."""
     rows = stored(rows)
     parts = min(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 2), 500)
     cuts = stored(rows.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts")))
@@ -28,11 +39,8 @@ def running(rows: DataFrame, value: str, sums: list[str], by: list[str] | None =
     totals = placed.groupBy(*by, "_part").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row for each range
     earlier = group.orderBy(F.desc("_part") if descending else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "_part", *(F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}") for s in sums), *(F.sum(f"_{s}").over(group).alias(f"{s}_all") for s in sums))
-    within = Window.partitionBy(*by, "_part").orderBy(F.desc(value) if descending else F.col(value), *then)
-    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow) if then else within
-    out = placed.select("*", *(F.sum(s).over(within).alias(f"{s}_cum") for s in sums)).join(F.broadcast(before), [*by, "_part"])
-    return out.withColumns({f"{s}_cum": F.col(f"{s}_cum") + F.col(f"_{s}") for s in sums}).drop("_part", *(f"_{s}" for s in sums))
+    before = totals.select(*by, "_part", *(F.coalesce(F.sum(f"_{s}").over(earlier), F.lit(0)).alias(f"_{s}") for s in sums), *(F.col(f"_{s}").alias(f"{s}_own") for s in sums), *(F.sum(f"_{s}").over(group).alias(f"{s}_all") for s in sums))
+    return placed, before
 
 
 def quantile(rows: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:

@@ -24,10 +24,10 @@ BASELINES = {"no_verification": all_rows, "best_candidate": best_of_report}
 
 
 def _best_of(n: int) -> Column:
-    """The score where the claim is the best of its report's first n candidates, else null."""
+    """The score where the claim is the best of its report's first n candidates, else null. One order of a report's claims serves every n."""
     among = F.col("line") <= n
-    order = Window.partitionBy("report_id", among).orderBy(F.desc("score"), "claim_id")
-    return F.when(among & (F.row_number().over(order) == 1), F.col("score"))
+    order = Window.partitionBy("report_id").orderBy(F.desc("score"), "claim_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.when(among & (F.sum(among.cast("int")).over(order) == 1), F.col("score"))
 
 
 #: Name -> (score that triage sees, null for rows outside; group of the thresholds), both made when asked for.
